@@ -63,8 +63,26 @@ def encode(text: Column, vocab: HashVocab = DEFAULT_VOCAB) -> Column:
     return F.transform(pieces, lambda p: piece_id(p, vocab))
 
 
+def encode_py(text: str, vocab: HashVocab = DEFAULT_VOCAB) -> list[int]:
+    """Driver-side encoding of a short constant (e.g. the assistant marker).
+
+    Same rule as :func:`encode`; used so constants are literals in the plan
+    instead of being re-encoded inside every lambda call.
+    """
+    import hashlib
+
+    import regex
+
+    special = {"<|im_start|>": vocab.im_start_id, "<|im_end|>": vocab.im_end_id,
+               "<|endoftext|>": vocab.endoftext_id}
+    out = []
+    for p in regex.findall(PIECE_PATTERN, text):
+        out.append(special[p] if p in special else int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % vocab.base_vocab)
+    return out
+
+
 def encode_literal(text: str, vocab: HashVocab = DEFAULT_VOCAB) -> Column:
-    return encode(F.lit(text), vocab)
+    return F.array(*[F.lit(i) for i in encode_py(text, vocab)])
 
 
 def marker_position(ids: Column, marker: Column) -> Column:
@@ -90,9 +108,11 @@ def assistant_labels(ids: Column, marker: Column | None = None,
     if marker is None:
         marker = encode_literal(ASSISTANT_MARKER, vocab)
     pos = marker_position(ids, marker)
-    start = pos + F.size(marker) - 1          # 0-based index of the first label
-    return F.transform(ids, lambda x, i: F.when(pos.isNotNull() & (i >= start), x)
-                       .otherwise(F.lit(IGNORE_INDEX)))
+    n = F.size(ids)
+    start = F.least(pos + F.size(marker) - 1, n)          # number of masked positions
+    # no lambda refers to ``pos``: the search runs once per row, not once per element
+    return F.when(pos.isNull(), F.array_repeat(F.lit(IGNORE_INDEX), n)).otherwise(
+        F.concat(F.array_repeat(F.lit(IGNORE_INDEX), start), F.slice(ids, start + 1, n - start)))
 
 
 def clamp_labels(labels: Column, vocab_size: int | Column) -> Column:
