@@ -1,0 +1,187 @@
+"""Registered chat-log queries (C1-C13) over request, completion and chunk views."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.tokens import DEFAULT_VOCAB
+from ..operators import chat as CH
+from ..sources.fixtures import view
+from .registry import register
+
+EOS = DEFAULT_VOCAB.eos_id
+CALL_FORMS = (0, 1, 2, 4, 6)     # v_tool_text forms (event_id % 8) that hold one call
+
+D_NUM = "TRY_CAST(json_extract_string(body, '$.{k}') AS DOUBLE)"
+
+
+def _d_opt(k, d):
+    return f"CASE WHEN list_contains(json_keys(body), '{k}') THEN {D_NUM.format(k=k)} ELSE {d} END"
+
+
+D_PARAMS = f"""
+SELECT request_id,
+ least(CAST(trunc(coalesce({D_NUM.format(k='max_tokens')}, {D_NUM.format(k='max_completion_tokens')}, 512.0)) AS BIGINT), 4096) AS max_new_tokens,
+ {_d_opt('temperature', 0.2)} AS temperature, {_d_opt('top_p', 0.95)} AS top_p, {_d_opt('top_k', 50.0)} AS top_k,
+ {_d_opt('repetition_penalty', 1.05)} AS repetition_penalty,
+ coalesce(nullif(json_extract_string(body, '$.model'), ''), 'default') AS model_name,
+ coalesce({_d_opt('temperature', 0.2)} > 0, false) AS do_sample
+FROM v_requests"""
+
+D_FACTS = """
+SELECT request_id, CAST(coalesce(json_array_length(body, '$.messages'), 0) AS BIGINT) AS n_messages,
+ coalesce(json_array_length(body, '$.tools'), 0) > 0 AS has_tools,
+ coalesce(json_extract_string(body, '$.stream') = 'true', false) AS stream,
+ coalesce(json_extract_string(body, '$.stream_options.include_usage') = 'true', false) AS include_usage
+FROM v_requests"""
+
+D_STATUS = """
+SELECT request_id, CASE WHEN coalesce(json_array_length(body, '$.messages'), 0) > 0 THEN 'ok'
+ ELSE 'invalid_request_error' END AS status FROM v_requests"""
+
+
+def _requests(spark, sf):
+    return view(spark, sf, "v_requests")
+
+
+@register("request_validate", ("v_requests",), D_STATUS)
+def q_validate(spark, sf):
+    return CH.request_validate(_requests(spark, sf)).select("request_id", "status")
+
+
+@register("request_params", ("v_requests",), D_PARAMS)
+def q_params(spark, sf):
+    return CH.request_params(_requests(spark, sf)).drop("body")
+
+
+@register("request_facts", ("v_requests",), D_FACTS)
+def q_facts(spark, sf):
+    return CH.request_facts(_requests(spark, sf)).drop("body")
+
+
+@register("chat_report", ("v_requests",), f"""
+WITH st AS ({D_STATUS}), pa AS ({D_PARAMS}), fa AS ({D_FACTS})
+SELECT * FROM st JOIN pa USING (request_id) JOIN fa USING (request_id)""")
+def q_chat_report(spark, sf):
+    r = _requests(spark, sf)
+    return CH.request_facts(CH.request_params(CH.request_validate(r))).drop("body")
+
+
+@register("messages_prepare", ("v_tool_history",), """
+SELECT request_id, request_id % 3 <> 1 AS args_decoded,
+ CASE WHEN request_id % 3 <> 1 THEN json_extract_string(e.props, '$.k') END AS arg_k
+FROM v_tool_history JOIN events e ON e.event_id = request_id""")
+def q_prepare(spark, sf):
+    p = CH.messages_prepare(view(spark, sf, "v_tool_history"))
+    a = F.get_json_object("prepared_messages", "$[1].tool_calls[0].function.arguments")
+    return p.select("request_id", a.startswith("{").alias("args_decoded"),
+                    F.get_json_object("prepared_messages", "$[1].tool_calls[0].function.arguments.k").alias("arg_k"))
+
+
+def _d_calls():
+    forms = ", ".join(str(x) for x in CALL_FORMS)
+    return f"""
+WITH t AS (SELECT v.request_id, v.raw_text, e.event_type, e.props, v.request_id % 8 AS form
+           FROM v_tool_text v JOIN events e ON e.event_id = v.request_id),
+c AS (SELECT request_id,
+  CASE WHEN form IN ({forms}) THEN (CASE WHEN form = 2 THEN 'tail' ELSE '' END) ELSE raw_text END AS content,
+  CASE WHEN form IN ({forms}) THEN 1 ELSE 0 END AS n_calls,
+  CASE WHEN form IN ({forms}) THEN 0 END AS call_idx,
+  CASE WHEN form = 0 THEN event_type WHEN form IN ({forms}) THEN 'f' END AS name,
+  CASE WHEN form IN (0, 1) THEN props WHEN form IN ({forms}) THEN '{{}}' END AS arguments FROM t)"""
+
+
+@register("tool_call_extract", ("v_tool_text",), _d_calls() + """
+SELECT request_id, content, n_calls, call_idx, name, arguments FROM c""")
+def q_tool_extract(spark, sf):
+    x = CH.tool_call_extract(view(spark, sf, "v_tool_text"))
+    r = CH.tool_call_rows(x)
+    return r.select("request_id", "content", F.col("n_calls").cast("int").alias("n_calls"),
+                    F.col("call_idx").cast("int").alias("call_idx"), "name", "arguments")
+
+
+@register("tool_call_stats", ("v_tool_text",), _d_calls() + """
+SELECT name, count(*) AS n_calls, count(DISTINCT request_id) AS n_requests,
+ round((SELECT sum(n_calls) * 100.0 / count(*) FROM c), 6) AS calling_pct
+FROM c WHERE n_calls > 0 GROUP BY name""")
+def q_tool_stats(spark, sf):
+    x = CH.tool_call_extract(view(spark, sf, "v_tool_text"))
+    return CH.tool_call_stats(x).withColumn("calling_pct", F.round("calling_pct", 6))
+
+
+@register("tool_call_stream", ("v_chunks",), """
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY seq) - 1 AS INTEGER) AS part_idx,
+ 'text' AS kind, content AS value FROM v_chunks WHERE content <> ''""")
+def q_tool_stream(spark, sf):
+    return CH.tool_call_stream(view(spark, sf, "v_chunks"))
+
+
+def _gen_ids():
+    c = F.col("completion_tokens")
+    return (F.when(c == 0, F.array().cast("array<int>"))
+            .when(F.col("ends_with_eos"), F.concat(F.array_repeat(F.lit(17), c - 1), F.array(F.lit(EOS))))
+            .otherwise(F.array_repeat(F.lit(17), c)))
+
+
+def _completions(spark, sf):
+    log = view(spark, sf, "v_completion_log")
+    x = CH.tool_call_extract(log)
+    x = x.withColumn("finish_reason", CH.finish_reason(F.size("tool_calls"), _gen_ids(), EOS))
+    return x
+
+
+D_FINISH = f"""CASE WHEN request_id % 8 IN ({", ".join(str(x) for x in CALL_FORMS)}) THEN 'tool_calls'
+ WHEN completion_tokens > 0 AND ends_with_eos THEN 'stop' ELSE 'length' END"""
+
+
+@register("finish_reason", ("v_completion_log",), f"""
+SELECT request_id, {D_FINISH} AS finish_reason FROM v_completion_log""")
+def q_finish(spark, sf):
+    return _completions(spark, sf).select("request_id", "finish_reason")
+
+
+@register("completion_record", ("v_completion_log",), _d_calls() + f""",
+l AS (SELECT * FROM v_completion_log)
+SELECT l.request_id AS id, 'chat.completion' AS object, coalesce(l.model, 'default') AS model,
+ nullif(c.content, '') AS content, c.n_calls AS n_tool_calls, {D_FINISH.replace('request_id', 'l.request_id')} AS finish_reason,
+ coalesce(prompt_tokens_exact, prompt_tokens_est) AS prompt_tokens, completion_tokens,
+ coalesce(prompt_tokens_exact, prompt_tokens_est) + completion_tokens AS total_tokens
+FROM l JOIN c ON c.request_id = l.request_id""")
+def q_record(spark, sf):
+    x = _completions(spark, sf)
+    x = x.withColumn("model_name", F.coalesce("model", F.lit(CH.DEFAULT_MODEL))) \
+        .withColumn("prompt_tokens", F.coalesce("prompt_tokens_exact", "prompt_tokens_est"))
+    r = CH.completion_record(x)
+    ch = F.col("choices")[0]
+    return r.select("id", "object", "model", ch["message"]["content"].alias("content"),
+                    F.coalesce(F.size(ch["message"]["tool_calls"]), F.lit(0)).alias("n_tool_calls"),
+                    ch["finish_reason"].alias("finish_reason"),
+                    F.col("usage.prompt_tokens").alias("prompt_tokens"),
+                    F.col("usage.completion_tokens").alias("completion_tokens"),
+                    F.col("usage.total_tokens").alias("total_tokens"))
+
+
+@register("chunk_reassemble", ("v_chunks",), """
+SELECT request_id, string_agg(content, '' ORDER BY seq) AS content,
+ arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason, count(*) AS n_chunks
+FROM v_chunks GROUP BY request_id""")
+def q_reassemble(spark, sf):
+    return CH.chunk_reassemble(view(spark, sf, "v_chunks"))
+
+
+@register("ttft", ("v_chunks",), """
+SELECT request_id,
+ round((min(epoch_us(ts)) FILTER (WHERE content <> '') - min(epoch_us(ts))) / 1e6, 6) AS ttft_sec,
+ round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS total_sec
+FROM v_chunks GROUP BY request_id""")
+def q_ttft(spark, sf):
+    t = CH.ttft(view(spark, sf, "v_chunks"))
+    return t.select("request_id", F.round("ttft_sec", 6).alias("ttft_sec"), F.round("total_sec", 6).alias("total_sec"))
+
+
+@register("usage_totals", ("v_completion_log",), """
+SELECT model, count(*) AS n_requests, sum(coalesce(prompt_tokens_exact, prompt_tokens_est)) AS prompt_tokens,
+ sum(completion_tokens) AS completion_tokens,
+ sum(coalesce(prompt_tokens_exact, prompt_tokens_est) + completion_tokens) AS total_tokens
+FROM v_completion_log GROUP BY model""")
+def q_usage(spark, sf):
+    return CH.usage_totals(view(spark, sf, "v_completion_log"))

@@ -193,6 +193,35 @@ FROM benchmark
 """)
 
 
+_view("v_completion_log", ("v_tool_text",), """
+SELECT t.request_id, t.raw_text, CASE WHEN e.event_id%5=0 THEN NULL ELSE 'm' || CAST(e.user_id%3 AS STRING) END AS model,
+ CAST(length(e.props) AS INT) AS prompt_tokens_est,
+ CASE WHEN e.event_id%4=0 THEN NULL ELSE CAST(floor(e.value*10) AS INT) END AS prompt_tokens_exact,
+ CASE WHEN e.event_id%11=0 THEN 0 ELSE CAST(e.user_id%97 + 1 AS INT) END AS completion_tokens,
+ e.event_id%3=0 AS ends_with_eos
+FROM v_tool_text t JOIN events e ON e.event_id = t.request_id
+""", """
+SELECT t.request_id, t.raw_text, CASE WHEN e.event_id%5=0 THEN NULL ELSE 'm' || CAST(e.user_id%3 AS VARCHAR) END AS model,
+ CAST(length(e.props) AS INT) AS prompt_tokens_est,
+ CASE WHEN e.event_id%4=0 THEN NULL ELSE CAST(floor(e.value*10) AS INT) END AS prompt_tokens_exact,
+ CASE WHEN e.event_id%11=0 THEN 0 ELSE CAST(e.user_id%97 + 1 AS INT) END AS completion_tokens,
+ e.event_id%3=0 AS ends_with_eos
+FROM v_tool_text t JOIN events e ON e.event_id = t.request_id
+""")
+
+_view("v_tool_history", (), """
+SELECT event_id AS request_id,
+ '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":null,"tool_calls":[{"id":"c1","type":"function","function":{"name":"' || event_type || '","arguments":' ||
+ CASE WHEN event_id%3=0 THEN '"' || replace(props, '"', '\\\\"') || '"' WHEN event_id%3=1 THEN '"x{"' ELSE props END || '}}]}]}' AS body
+FROM events
+""", """
+SELECT event_id AS request_id,
+ '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":null,"tool_calls":[{"id":"c1","type":"function","function":{"name":"' || event_type || '","arguments":' ||
+ CASE WHEN event_id%3=0 THEN '"' || replace(props, '"', '\\"') || '"' WHEN event_id%3=1 THEN '"x{"' ELSE props END || '}}]}]}' AS body
+FROM events
+""")
+
+
 def _order(names):
     seen, out = set(), []
 
