@@ -37,7 +37,7 @@ def render_chat(msgs: Column, add_generation_prompt: bool = False,
     body = F.array_join(F.transform(msgs, lambda m: F.concat(
         F.lit(IM_START), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(IM_END + "\n"))), "")
     if default_system is not None:
-        first_is_system = F.coalesce(F.element_at(msgs, 1)["role"] == "system", F.lit(False))
+        first_is_system = F.coalesce(F.try_element_at(msgs, F.lit(1))["role"] == "system", F.lit(False))
         body = F.when(first_is_system, body).otherwise(
             F.concat(F.lit(f"{IM_START}system\n{default_system}{IM_END}\n"), body))
     if add_generation_prompt:

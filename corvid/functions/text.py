@@ -40,10 +40,10 @@ def py_splitlines(c) -> Column:
 def strip_markdown(c) -> Column:
     """Drop a leading fence line and a trailing bare fence line."""
     lines = py_splitlines(py_strip(_c(c)))
-    first_dropped = F.when(F.startswith(F.element_at(lines, 1), F.lit("```")),
+    first_dropped = F.when(F.startswith(F.try_element_at(lines, F.lit(1)), F.lit("```")),
                            F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
     n = F.size(first_dropped)
-    last_dropped = F.when((n > 0) & (py_strip(F.element_at(first_dropped, -1)) == "```"),
+    last_dropped = F.when((n > 0) & (py_strip(F.try_element_at(first_dropped, F.lit(-1))) == "```"),
                           F.slice(first_dropped, 1, n - 1)).otherwise(first_dropped)
     return F.array_join(last_dropped, "\n")
 

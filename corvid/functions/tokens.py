@@ -92,10 +92,10 @@ def marker_position(ids: Column, marker: Column) -> Column:
     """
     k = F.size(marker)
     n = F.size(ids)
-    first = F.element_at(marker, 1)
+    first = F.try_element_at(marker, F.lit(1))
     hits = F.filter(F.sequence(F.lit(1), n - k + 1),
-                    lambda i: (F.element_at(ids, i) == first) & (F.slice(ids, i, k) == marker))
-    return F.when((k > 0) & (n >= k), F.element_at(hits, 1))
+                    lambda i: (F.try_element_at(ids, i) == first) & (F.slice(ids, i, k) == marker))
+    return F.when((k > 0) & (n >= k), F.try_element_at(hits, F.lit(1)))
 
 
 def assistant_labels(ids: Column, marker: Column | None = None,

@@ -134,7 +134,7 @@ def tool_call_stream(chunks: DataFrame, key: str = "request_id", seq: str = "seq
 
 def finish_reason(n_calls: Column, gen_ids: Column, eos_id: int) -> Column:
     """tool_calls, else stop when the last generated id is EOS, else length."""
-    last = F.element_at(gen_ids, -1)
+    last = F.try_element_at(gen_ids, F.lit(-1))
     return (F.when(n_calls > 0, F.lit("tool_calls"))
             .when((F.size(gen_ids) > 0) & (last == eos_id), F.lit("stop"))
             .otherwise(F.lit("length")))

@@ -31,7 +31,7 @@ def token_nll(scored: DataFrame) -> DataFrame:
     m = F.array_max(lg)
     lse = m + F.log(F.aggregate(F.transform(lg, lambda x: F.exp(x - m)), F.lit(0.0).cast("double"),
                                 lambda a, x: a + x))
-    return df.withColumn("nll", lse - F.element_at(lg, F.col("_t") + 1)).drop("_target", "_t")
+    return df.withColumn("nll", lse - F.try_element_at(lg, F.col("_t") + 1)).drop("_target", "_t")
 
 
 def masked_nll(scored: DataFrame, by: str = "step") -> DataFrame:

@@ -43,7 +43,7 @@ def topk_experts(scores: Column, k: int = TOP_K) -> Column:
 
 def topk_weights(probs: Column, top: Column) -> Column:
     """The chosen experts' probabilities renormalised to sum to 1."""
-    w = F.transform(top, lambda i: F.element_at(probs, i + 1))
+    w = F.transform(top, lambda i: F.try_element_at(probs, i + 1))
     s = F.aggregate(w, F.lit(0.0).cast("double"), lambda a, x: a + x)
     return F.transform(w, lambda x: x / s)
 
@@ -85,7 +85,7 @@ def combine_weighted(assign: DataFrame, expert_out: DataFrame, token_keys=("step
 
 # ---------------------------------------------------------------- T6 / T7
 def _expert_sums(col: Column, num_experts: int, prefix: str):
-    return [F.sum(F.element_at(col, e + 1)).alias(f"{prefix}{e}") for e in range(num_experts)]
+    return [F.sum(F.try_element_at(col, F.lit(e + 1))).alias(f"{prefix}{e}") for e in range(num_experts)]
 
 
 def _pack(prefix: str, num_experts: int) -> Column:
@@ -123,7 +123,7 @@ def complete_steps(layer_counts: DataFrame, num_layers: int) -> DataFrame:
 def dominant_expert(counts: Column, num_experts: int = NUM_EXPERTS) -> Column:
     """Argmax of hit counts, ties to the lowest expert id."""
     best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(num_experts - 1)),
-                                   lambda e: F.struct((-F.element_at(counts, e + 1)).alias("n"), e.alias("e"))))
+                                   lambda e: F.struct((-F.try_element_at(counts, e + 1)).alias("n"), e.alias("e"))))
     return best["e"].cast("int")
 
 
@@ -159,7 +159,7 @@ def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFra
     wcum = w.rowsBetween(Window.unboundedPreceding, 0)
     avg_gap = F.avg("_gap").over(w10)
     rate = F.when(avg_gap.isNull(), F.lit(1.0)).when(avg_gap > 0, 1.0 / avg_gap).otherwise(F.lit(0.0))
-    savg = F.array(*[F.avg(F.element_at("expert_pct", e + 1)).over(wcum) for e in range(num_experts)])
+    savg = F.array(*[F.avg(F.try_element_at("expert_pct", F.lit(e + 1))).over(wcum) for e in range(num_experts)])
     return (df.withColumn("tokens_per_sec_raw", rate)
             .withColumn("session_avg", savg)
             .withColumn("token_index", F.row_number().over(w))
@@ -233,9 +233,9 @@ def router_metrics(logits_df: DataFrame, k: int = TOP_K, num_experts: int = NUM_
     hit = lambda e: F.when(F.array_contains("top", e), 1).otherwise(0)
     per_layer = routed.groupBy(by, "layer").agg(
         F.avg(tok_ent).alias("_ent"),
-        *[F.avg(F.element_at("probs", e + 1)).alias(f"_u{e}") for e in range(num_experts)],
+        *[F.avg(F.try_element_at("probs", F.lit(e + 1))).alias(f"_u{e}") for e in range(num_experts)],
         *[F.sum(hit(e)).alias(f"_f{e}") for e in range(num_experts)],
-        *[F.sum(F.element_at("probs", e + 1)).alias(f"_p{e}") for e in range(num_experts)],
+        *[F.sum(F.try_element_at("probs", F.lit(e + 1))).alias(f"_p{e}") for e in range(num_experts)],
         F.count(F.lit(1)).alias("_n"))
     per_step = per_layer.groupBy(by).agg(
         F.avg("_ent").alias("routing_entropy_raw"),

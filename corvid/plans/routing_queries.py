@@ -108,7 +108,7 @@ def q_combine(spark, sf):
                   .select("step", "token", "layer", "expert", F.posexplode(F.array_repeat(F.lit(0), 4)).alias("dim", "_z"),
                           "logits")
                   .select("step", "token", "layer", "expert", "dim",
-                          ((F.col("expert") + 1) * F.element_at("logits", ((F.col("expert") + F.col("dim")) % 8) + 1))
+                          ((F.col("expert") + 1) * F.try_element_at("logits", ((F.col("expert") + F.col("dim")) % 8) + 1))
                           .alias("value")))
     out = R.combine_weighted(assign, expert_out, ("step", "token", "layer"))
     return out.select("step", "token", F.col("layer").cast("bigint").alias("layer"),
