@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import udfs as U
+from ..plans.barrier import compute_once
 
 # Generation defaults of the reference server.
 DEFAULT_MAX_NEW_TOKENS = 512
@@ -23,8 +24,18 @@ DEFAULT_REPETITION_PENALTY = 1.05
 DEFAULT_MODEL = "default"        # served model name when the request names none
 
 
+REQ = "_req"      # the parsed request body (VARIANT), computed once per row
+
+
 def _v(body: Column) -> Column:
-    return F.try_parse_json(body)
+    return F.col(REQ)
+
+
+def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
+    """Parse the JSON body once into a VARIANT column shared by C1-C3."""
+    if REQ in df.columns:
+        return df
+    return compute_once(df, **{REQ: F.try_parse_json(F.col(body))})
 
 
 def _get(body: Column, path: str) -> Column:
@@ -44,17 +55,21 @@ def py_truthy(v: Column) -> Column:
 
 
 def _has_key(body: Column, key: str) -> Column:
-    return F.coalesce(F.array_contains(F.json_object_keys(body), key), F.lit(False))
+    keys = F.when(F.schema_of_variant(F.col(REQ)).startswith("OBJECT"),
+                  F.json_object_keys(F.to_json(F.col(REQ))))
+    return F.coalesce(F.array_contains(keys, key), F.lit(False))
 
 
 def request_validate(df: DataFrame, body: str = "body") -> DataFrame:
     """``ok`` or ``invalid_request_error`` (messages missing or empty)."""
+    df = parse_requests(df, body)
     ok = py_truthy(_get(F.col(body), "$.messages"))
     return df.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit("invalid_request_error")))
 
 
 def request_params(df: DataFrame, body: str = "body", default_model: str = DEFAULT_MODEL) -> DataFrame:
     """Generation parameters; a key that is present but null stays null."""
+    df = parse_requests(df, body)
     b = F.col(body)
     num = lambda k: F.try_variant_get(_v(b), f"$.{k}", "double")
     mt = F.coalesce(num("max_tokens"), num("max_completion_tokens"), F.lit(float(DEFAULT_MAX_NEW_TOKENS)))
@@ -74,10 +89,12 @@ def request_params(df: DataFrame, body: str = "body", default_model: str = DEFAU
 
 def request_facts(df: DataFrame, body: str = "body") -> DataFrame:
     """n_messages, has_tools, stream, include_usage."""
+    df = parse_requests(df, body)
     b = F.col(body)
     return df.select(
         "*",
-        F.coalesce(F.json_array_length(F.get_json_object(b, "$.messages")), F.lit(0)).cast("bigint").alias("n_messages"),
+        F.coalesce(F.when(F.schema_of_variant(_get(b, "$.messages")).startswith("ARRAY"),
+                          F.json_array_length(F.to_json(_get(b, "$.messages")))), F.lit(0)).cast("bigint").alias("n_messages"),
         py_truthy(_get(b, "$.tools")).alias("has_tools"),
         py_truthy(_get(b, "$.stream")).alias("stream"),
         py_truthy(_get(b, "$.stream_options.include_usage")).alias("include_usage"))

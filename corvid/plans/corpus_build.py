@@ -32,16 +32,44 @@ class CorpusSource:
 
 
 class CorpusResult:
-    """Outputs of :func:`build_corpus`; the split and the mixes are planned on first use."""
+    """Outputs of :func:`build_corpus`.  Every part is planned (and, with
+    ``materialize``, checkpointed) on first use, so asking for the allocation
+    or the diagnostics does not run the mix."""
 
-    def __init__(self, diagnostics, allocation, samples, collected_fn, names, weights, seed, materialize):
-        self.diagnostics, self.allocation, self.samples = diagnostics, allocation, samples
-        self._collected_fn, self._names, self._weights = collected_fn, names, weights
-        self._seed, self._materialize = seed, materialize
+    def __init__(self, samples_plan, quota, allocation, names, weights, seed, materialize):
+        self._samples_plan, self.quota, self.allocation = samples_plan, quota, allocation
+        self._names, self._weights, self._seed, self._materialize = names, weights, seed, materialize
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """Every sample (and one placeholder per rejected raw row) with its status.
+
+        Tokenizing is the expensive step and four consumers read its output
+        (quota counts, the cutoff bucket, the cut itself, diagnostics), so it
+        is written once to the shared checkpoint folder.
+        """
+        s = self._samples_plan.drop("messages")
+        return cut_lineage(s) if self._materialize else s
+
+    @cached_property
+    def streamed(self) -> DataFrame:
+        return C.take_quota(self.samples, self.quota)
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        return C.collect_diagnostics(self.streamed, self.quota)
 
     @cached_property
     def collected(self) -> DataFrame:
-        return self._collected_fn()
+        collected = self.streamed.filter(F.col("status") == C.VALID).select(
+            "source", "raw_idx", "sample_idx", "input_ids", "attention_mask", "labels")
+        if self._materialize:
+            # one count per source reaches the driver
+            counts = {r[0]: r[1] for r in collected.groupBy("source").count().collect()}
+            empty = [n for n in self._names if counts.get(n, 0) == 0]
+            if empty:
+                raise RuntimeError(f"{empty[0]} produced zero samples")
+        return collected
 
     @cached_property
     def split(self) -> DataFrame:
@@ -95,23 +123,7 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
     for s in sources:
         part = source_samples(s, context_length, vocab, default_system, encoder)
         samples = part if samples is None else samples.unionByName(part)
-
-    streamed = C.take_quota(samples, quota)
-    diagnostics = C.collect_diagnostics(streamed, quota)
-
-    def collected_fn():
-        collected = streamed.filter(F.col("status") == C.VALID).select(
-            "source", "raw_idx", "sample_idx", "input_ids", "attention_mask", "labels")
-        if materialize:
-            collected = cut_lineage(collected)
-            # one count per source reaches the driver
-            counts = {r[0]: r[1] for r in collected.groupBy("source").count().collect()}
-            empty = [n for n in names if counts.get(n, 0) == 0]
-            if empty:
-                raise RuntimeError(f"{empty[0]} produced zero samples")
-        return collected
-
-    return CorpusResult(diagnostics, alloc, samples, collected_fn, names, weights, seed, materialize)
+    return CorpusResult(samples, quota, alloc, names, weights, seed, materialize)
 
 
 def write_corpus(result: CorpusResult, path: str, mode: str = "overwrite") -> None:

@@ -351,9 +351,8 @@ def _mix(spark, sf, materialize=True):
 
 
 def _streamed(spark, sf):
-    res = _mix(spark, sf, materialize=False)
-    quota = res.allocation.select("source", F.col("total_alloc").alias("n"))
-    return C.take_quota(res.samples, quota), quota, res
+    res = _mix(spark, sf)
+    return res.streamed, res.quota, res
 
 
 @register("take_quota", MIX_VIEWS, D_MIX + """
@@ -376,13 +375,13 @@ SELECT a.source, a.total_alloc AS requested, coalesce(raw_streamed, 0) AS raw_st
  coalesce(samples_collected, 0) < a.total_alloc AS exhausted
 FROM alloc2 a LEFT JOIN g USING (source)""")
 def q_diag(spark, sf):
-    return _mix(spark, sf, materialize=False).diagnostics.withColumn("overflow_rate", F.round("overflow_rate", 6))
+    return _mix(spark, sf).diagnostics.withColumn("overflow_rate", F.round("overflow_rate", 6))
 
 
 @register("allocate", MIX_VIEWS, D_MIX + """
 SELECT source, total_alloc, eval_alloc, total_alloc - eval_alloc AS train_alloc FROM alloc2""")
 def q_alloc(spark, sf):
-    return _mix(spark, sf, materialize=False).allocation.select("source", "total_alloc", "eval_alloc", "train_alloc")
+    return _mix(spark, sf).allocation.select("source", "total_alloc", "eval_alloc", "train_alloc")
 
 
 @register("seeded_shuffle", MIX_VIEWS, D_MIX + """
