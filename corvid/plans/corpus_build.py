@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as TK
 from ..functions.chat import QWEN_DEFAULT_SYSTEM
 from ..operators import corpus as C
+from ..plans.ordering import int_bucket, nth_row
 from ..session import cut_lineage
 from ..sources.registry import resolve
 
@@ -36,9 +37,10 @@ class CorpusResult:
     ``materialize``, checkpointed) on first use, so asking for the allocation
     or the diagnostics does not run the mix."""
 
-    def __init__(self, samples_plan, quota, allocation, names, weights, seed, materialize):
+    def __init__(self, samples_plan, quota, allocation, names, weights, seed, materialize, prefix=None):
         self._samples_plan, self.quota, self.allocation = samples_plan, quota, allocation
         self._names, self._weights, self._seed, self._materialize = names, weights, seed, materialize
+        self._prefix = prefix
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -48,6 +50,8 @@ class CorpusResult:
         (quota counts, the cutoff bucket, the cut itself, diagnostics), so it
         is written once to the shared checkpoint folder.
         """
+        if self._prefix is not None:
+            return self._prefix()
         s = self._samples_plan.drop("messages")
         return cut_lineage(s) if self._materialize else s
 
@@ -89,15 +93,99 @@ class CorpusResult:
         return self._mix("eval")
 
 
+def keys_at(requests) -> dict:
+    """Keys at 0-based stream positions for several sources in one job.
+
+    ``requests``: list of (name, df, key column, position); None past the end.
+    """
+    if not requests:
+        return {}
+    spark = requests[0][1].sparkSession
+    keys = None
+    for name, df, key, _ in requests:
+        k = df.select(F.lit(name).alias("source"), F.col(key).cast("long").alias("_key"))
+        keys = k if keys is None else keys.unionByName(k)
+    q = spark.createDataFrame([(name, pos + 1) for name, _, _, pos in requests], "source string, n long")
+    found = {r["source"]: r["_key"] for r in nth_row(keys, ["_key"], int_bucket("_key"), q, ["source"]).collect()}
+    return {name: found.get(name) for name, _, _, _ in requests}
+
+
+def key_at(df: DataFrame, key: str, pos: int):
+    """The key of the row at 0-based stream position ``pos`` (None past the end).
+
+    Only per-bucket counts of the key column and one bucket's ranks are computed.
+    """
+    q = df.sparkSession.createDataFrame([(0, pos + 1)], "_g int, n long")
+    r = nth_row(df.select(key).withColumn("_g", F.lit(0)), [key], int_bucket(key), q, ["_g"]).collect()
+    return r[0][key] if r else None
+
+
+def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materialize: bool,
+                   first_rows: int | None = None) -> DataFrame:
+    """Early stop (the reference streams until the quota is full).
+
+    All sources advance together in rounds; in each round every unfinished
+    source contributes its next key range, the ranges are tokenized once
+    (one checkpoint per round) and one grouped count of valid samples per
+    source reaches the driver.  A source stops when its n-th valid sample is
+    inside its processed prefix or its table ends.  The result equals
+    processing whole tables for everything the quota and diagnostics read.
+    """
+    state = {s.name: {"n": int(quota[s.name]), "size": max(first_rows or 0, 8 * int(quota[s.name]), 4096),
+                      "start": 0, "lo": None, "valid": 0, "done": False} for s in sources}
+    pieces = []
+    while True:
+        todo = [s for s in sources if not state[s.name]["done"]]
+        if not todo:
+            break
+        his = keys_at([(src.name, src.df, src.key, state[src.name]["start"] + state[src.name]["size"])
+                       for src in todo])
+        parts = []
+        for src in todo:
+            st = state[src.name]
+            st["hi"] = his[src.name]
+            parts.append(make(src, st["lo"], st["hi"], st["start"]))
+        part = parts[0]
+        for p in parts[1:]:
+            part = part.unionByName(p)
+        if materialize:
+            part = cut_lineage(part)
+        pieces.append(part)
+        got = {r[0]: r[1] for r in part.filter(F.col("status") == C.VALID).groupBy("source").count().collect()}
+        for src in todo:
+            st = state[src.name]
+            g = int(got.get(src.name, 0))
+            st["valid"] += g
+            if st["valid"] >= st["n"] or st["hi"] is None:
+                st["done"] = True
+                continue
+            need = (st["n"] - st["valid"]) * 1.25 * st["size"] / max(g, 1)
+            st["start"], st["lo"], st["size"] = st["start"] + st["size"], st["hi"], int(max(2 * st["size"], need))
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def check_weights(sources: Sequence[CorpusSource]) -> None:
     if abs(sum(s.weight for s in sources) - 1.0) >= 1e-6:
         raise ValueError("dataset weights must sum to 1.0")
 
 
 def source_samples(src: CorpusSource, context_length: int, vocab: TK.HashVocab,
-                   default_system: str | None, encoder=None) -> DataFrame:
+                   default_system: str | None, encoder=None, key_lo=None, key_hi=None,
+                   offset: int = 0) -> DataFrame:
+    """Samples of one source, optionally only for keys in ``[key_lo, key_hi)``
+    whose first row has stream position ``offset`` (the bounds reach the scan)."""
     fmt = src.formatter or resolve(src.name).formatter
-    df = C.with_raw_index(src.df, src.key)
+    raw = src.df
+    if key_lo is not None:
+        raw = raw.filter(F.col(src.key) >= F.lit(key_lo))
+    if key_hi is not None:
+        raw = raw.filter(F.col(src.key) < F.lit(key_hi))
+    df = C.with_raw_index(raw, src.key)
+    if offset:
+        df = df.withColumn("raw_idx", F.col("raw_idx") + F.lit(offset))
     df = df.select(F.lit(src.name).alias("source"), "raw_idx", fmt(df).alias("samples"))
     ex = C.explode_samples(df, keep=("source", "raw_idx"))
     return C.tokenize_and_mask(ex, context_length, vocab, default_system, encoder)
@@ -107,7 +195,15 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
                  eval_fraction: float = C.EVAL_FRACTION, context_length: int = C.CONTEXT_LENGTH,
                  seed: int = C.SEED, vocab: TK.HashVocab = TK.DEFAULT_VOCAB,
                  default_system: str | None = QWEN_DEFAULT_SYSTEM, encoder=None,
-                 materialize: bool = True) -> CorpusResult:
+                 materialize: bool = True, early_stop: bool = True,
+                 first_rows: int | None = None) -> CorpusResult:
+    """Build the train / eval mix.
+
+    ``early_stop`` processes each source in growing key ranges until its quota
+    is met (exact; see :func:`prefix_samples`); otherwise whole tables are
+    tokenized.  ``materialize`` checkpoints the tokenized samples and the split
+    into ``spark.checkpoint.dir``.
+    """
     check_weights(sources)
     for s in sources:              # unknown names fail before any job
         if s.formatter is None:
@@ -120,10 +216,20 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
     quota = alloc.select("source", F.col("total_alloc").alias("n"))
 
     samples = None
-    for s in sources:
-        part = source_samples(s, context_length, vocab, default_system, encoder)
-        samples = part if samples is None else samples.unionByName(part)
-    return CorpusResult(samples, quota, alloc, names, weights, seed, materialize)
+    if not early_stop:
+        for s in sources:
+            part = source_samples(s, context_length, vocab, default_system, encoder)
+            samples = part if samples is None else samples.unionByName(part)
+    prefix = None
+    if early_stop:
+        totals = {s.name: int(total_samples * s.weight) for s in sources}
+
+        def make(src, lo, hi, start):
+            return source_samples(src, context_length, vocab, default_system, encoder, lo, hi, start).drop("messages")
+
+        def prefix():
+            return prefix_samples(sources, totals, make, materialize, first_rows)
+    return CorpusResult(samples, quota, alloc, names, weights, seed, materialize, prefix)
 
 
 def write_corpus(result: CorpusResult, path: str, mode: str = "overwrite") -> None:

@@ -9,6 +9,8 @@ tables it reads.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .tables import register_tables
@@ -238,9 +240,19 @@ def _order(names):
     return out
 
 
+def _tables_of(names) -> list[str]:
+    from .tables import TABLES
+    used = set()
+    for n in _order(names):
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", VIEWS[n][1]):
+                used.add(t)
+    return sorted(used)
+
+
 def register_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register driver tables plus the named views (and their dependencies)."""
-    register_tables(spark, sf_dir)
+    """Register the driver tables the named views read, then the views."""
+    register_tables(spark, sf_dir, _tables_of(names))
     for n in _order(names):
         spark.sql(VIEWS[n][1]).createOrReplaceTempView(n)
 
