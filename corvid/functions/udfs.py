@@ -175,12 +175,9 @@ def tokenizer_udf(tokenizer_file: str) -> Callable[[Column], Column]:
             from tokenizers import Tokenizer
             tok = Tokenizer.from_file(SparkFiles.get(name))
             _TOKENIZERS[name] = tok
-        mask = texts.notna()
-        out = pd.Series([None] * len(texts), dtype=object)
-        if mask.any():
-            enc = tok.encode_batch(texts[mask].tolist(), add_special_tokens=False)
-            out[mask] = [e.ids for e in enc]
-        return out
+        present = [t for t in texts if t is not None]
+        ids = iter(e.ids for e in tok.encode_batch(present, add_special_tokens=False)) if present else iter(())
+        return pd.Series([next(ids) if t is not None else None for t in texts], dtype=object)
 
     return _encode
 

@@ -121,7 +121,7 @@ def key_at(df: DataFrame, key: str, pos: int):
 
 
 def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materialize: bool,
-                   first_rows: int | None = None) -> DataFrame:
+                   first_rows: int | None = None, min_rows: int = 4096) -> DataFrame:
     """Early stop (the reference streams until the quota is full).
 
     All sources advance together in rounds; in each round every unfinished
@@ -131,7 +131,8 @@ def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materiali
     inside its processed prefix or its table ends.  The result equals
     processing whole tables for everything the quota and diagnostics read.
     """
-    state = {s.name: {"n": int(quota[s.name]), "size": max(first_rows or 0, 8 * int(quota[s.name]), 4096),
+    state = {s.name: {"n": int(quota[s.name]),
+                      "size": first_rows or max(8 * int(quota[s.name]), min_rows),
                       "start": 0, "lo": None, "valid": 0, "done": False} for s in sources}
     pieces = []
     while True:
