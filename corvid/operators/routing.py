@@ -128,13 +128,21 @@ def dominant_expert(counts: Column, num_experts: int = NUM_EXPERTS) -> Column:
 
 
 # ---------------------------------------------------------------- T8 - T13
-def step_summary(layer_counts: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFrame:
-    """Per complete step: expert totals over layers, T8 shares, T9 layer map, T10 entropy."""
+def step_summary(layer_counts: DataFrame, num_experts: int = NUM_EXPERTS,
+                 num_layers: int | None = None) -> DataFrame:
+    """Per step: expert totals over layers, T8 shares, T9 layer map, T10 entropy.
+
+    With ``num_layers`` the T7 completeness rule is applied inside the same
+    aggregation (no separate window).
+    """
     lc = layer_counts.withColumn("_dom", dominant_expert(F.col("counts"), num_experts))
     agg = lc.groupBy("session", "step").agg(
         *_expert_sums(F.col("counts"), num_experts, "_t"),
         F.array_sort(F.collect_list(F.struct("layer", "_dom"))).alias("_layers"),
-        F.max("t_sec").alias("t_sec"))
+        F.max("t_sec").alias("t_sec"),
+        F.count(F.lit(1)).alias("_nl"))
+    if num_layers is not None:
+        agg = agg.filter(F.col("_nl") == num_layers)
     total = sum((F.col(f"_t{e}") for e in range(num_experts)), F.lit(0))
     pct = F.array(*[F.when(total > 0, F.col(f"_t{e}") / total * 100.0).otherwise(F.lit(0.0))
                     for e in range(num_experts)])
@@ -168,9 +176,14 @@ def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFra
 
 def routing_events(logits_df: DataFrame, num_layers: int, k: int = TOP_K,
                    num_experts: int = NUM_EXPERTS, report_col: str | None = None) -> DataFrame:
-    """The routing event per complete step, values rounded to 1 decimal at the edge."""
-    lc = complete_steps(layer_expert_counts(route(logits_df, k), num_experts, report_col), num_layers)
-    ev = session_windows(step_summary(lc, num_experts), num_experts)
+    """The routing event per complete step, values rounded to 1 decimal at the edge.
+
+    Layer counts are hash-partitioned once more by session only (small,
+    aggregated rows); the step aggregation and the session windows then reuse
+    that partitioning, so the chain has two shuffles.
+    """
+    lc = layer_expert_counts(route(logits_df, k), num_experts, report_col).repartition("session")
+    ev = session_windows(step_summary(lc, num_experts, num_layers), num_experts)
     r1 = lambda c: F.transform(c, lambda x: F.round(x, 1))
     return ev.select(
         "session", "step", F.lit("routing").alias("type"),

@@ -140,7 +140,7 @@ def q_complete(spark, sf):
 
 
 def _steps(spark, sf):
-    return R.step_summary(R.complete_steps(_layer_counts(spark, sf), L), E)
+    return R.step_summary(_layer_counts(spark, sf).repartition("session"), E, L)
 
 
 @register("expert_pct", ("v_logits",), D_LAYER + """
