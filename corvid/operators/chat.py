@@ -25,6 +25,7 @@ DEFAULT_MODEL = "default"        # served model name when the request names none
 
 
 REQ = "_req"      # the parsed request body (VARIANT), computed once per row
+KEYS = "_req_keys"  # its top-level keys
 
 
 def _v(body: Column) -> Column:
@@ -35,7 +36,8 @@ def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
     """Parse the JSON body once into a VARIANT column shared by C1-C3."""
     if REQ in df.columns:
         return df
-    return compute_once(df, **{REQ: F.try_parse_json(F.col(body))})
+    keys = F.json_object_keys(F.col(body))          # NULL unless the body is an object
+    return compute_once(df, **{REQ: F.try_parse_json(F.col(body)), KEYS: keys})
 
 
 def _get(body: Column, path: str) -> Column:
@@ -55,9 +57,7 @@ def py_truthy(v: Column) -> Column:
 
 
 def _has_key(body: Column, key: str) -> Column:
-    keys = F.when(F.schema_of_variant(F.col(REQ)).startswith("OBJECT"),
-                  F.json_object_keys(F.to_json(F.col(REQ))))
-    return F.coalesce(F.array_contains(keys, key), F.lit(False))
+    return F.coalesce(F.array_contains(F.col(KEYS), key), F.lit(False))
 
 
 def request_validate(df: DataFrame, body: str = "body") -> DataFrame:

@@ -50,12 +50,12 @@ def q_validate(spark, sf):
 
 @register("request_params", ("v_requests",), D_PARAMS)
 def q_params(spark, sf):
-    return CH.request_params(_requests(spark, sf)).drop("body", CH.REQ)
+    return CH.request_params(_requests(spark, sf)).drop("body", CH.REQ, CH.KEYS)
 
 
 @register("request_facts", ("v_requests",), D_FACTS)
 def q_facts(spark, sf):
-    return CH.request_facts(_requests(spark, sf)).drop("body", CH.REQ)
+    return CH.request_facts(_requests(spark, sf)).drop("body", CH.REQ, CH.KEYS)
 
 
 @register("chat_report", ("v_requests",), f"""
@@ -63,7 +63,7 @@ WITH st AS ({D_STATUS}), pa AS ({D_PARAMS}), fa AS ({D_FACTS})
 SELECT * FROM st JOIN pa USING (request_id) JOIN fa USING (request_id)""")
 def q_chat_report(spark, sf):
     r = _requests(spark, sf)
-    return CH.request_facts(CH.request_params(CH.request_validate(r))).drop("body", CH.REQ)
+    return CH.request_facts(CH.request_params(CH.request_validate(r))).drop("body", CH.REQ, CH.KEYS)
 
 
 @register("messages_prepare", ("v_tool_history",), """
