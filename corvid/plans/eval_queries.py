@@ -115,10 +115,11 @@ WITH a AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM
 b AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, {D.strip('unnest(ls)')} AS prompt FROM a)
 SELECT doc_id, line_no, prompt FROM b WHERE prompt <> ''""")
 def q_prompt_lines(spark, sf):
+    from ..sources.registry import clean_prompt_lines
     d = read_table(spark, sf, "documents")
+    # the documents' lines as a text reader would produce them
     ls = d.select("doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "value"))
-    return ls.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
-                     py_strip(F.col("value")).alias("prompt")).filter(F.col("prompt") != "")
+    return clean_prompt_lines(ls.withColumn("line_no", F.col("line_no").cast("bigint")))
 
 
 # Fixed junk lines mixed into every session's event log

@@ -68,8 +68,14 @@ def scan_source(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.
     return r.load(path)
 
 
-def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts, one per line, stripped, blank lines dropped."""
+def clean_prompt_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """S6 on a line table: each line stripped, blank lines dropped."""
     from pyspark.sql import functions as F
     from ..functions.text import py_strip
-    return spark.read.text(path).select(py_strip(F.col("value")).alias("prompt")).filter(F.col("prompt") != "")
+    keep = [c for c in lines.columns if c != value]
+    return lines.select(*keep, py_strip(F.col(value)).alias("prompt")).filter(F.col("prompt") != "")
+
+
+def prompt_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Prompts from a text file, one per line (``\n``, ``\r\n`` or ``\r``)."""
+    return clean_prompt_lines(spark.read.text(path))

@@ -19,7 +19,13 @@ PART_SCHEMA = "request_id long, seq long, kind string, value string"
 STATE_SCHEMA = "buf string"
 
 
-def _scan(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _scanner(idle_timeout_ms):
+    def fn(key, pdfs, state):
+        return _scan(key, pdfs, state, idle_timeout_ms)
+    return fn
+
+
+def _scan(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_timeout_ms=None) -> Iterator[pd.DataFrame]:
     rid = key[0]
     sc = U.CallScanner()
     if state.exists:
@@ -43,17 +49,23 @@ def _scan(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.D
             state.remove()
         else:
             state.update((sc.buf,))
-            state.setTimeoutDuration(10 * 60 * 1000)
+            if idle_timeout_ms:
+                state.setTimeoutDuration(idle_timeout_ms)
     if out:
         pdf = pd.DataFrame(out, columns=["request_id", "seq", "kind", "value"])
         pdf["value"] = [U.json.dumps(v) if k == "tool_call" else v for k, v in zip(pdf["kind"], pdf["value"])]
         yield pdf
 
 
-def stream_tool_calls(chunks: DataFrame) -> DataFrame:
-    """(request_id, seq, content, finish_reason) stream -> text / tool_call parts."""
+def stream_tool_calls(chunks: DataFrame, idle_timeout_ms: int | None = None) -> DataFrame:
+    """(request_id, seq, content, finish_reason) stream -> text / tool_call parts.
+
+    A request's state is removed when its finishing chunk arrives; with
+    ``idle_timeout_ms`` an abandoned request is flushed after that long.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     return chunks.select("request_id", "seq", "content", "finish_reason").groupBy("request_id") \
-        .applyInPandasWithState(_scan, PART_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(_scanner(idle_timeout_ms), PART_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def tail_routing_events(spark: SparkSession, folder: str) -> DataFrame:

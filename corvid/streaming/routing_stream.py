@@ -6,6 +6,10 @@ still-open steps, the last step time, the last 10 gaps, the running sum of
 expert shares and the step count.  Routing itself (softmax + top-k) is a
 stateless projection before the state operator.  State per session is
 bounded (open steps x layers x experts, plus 10 gaps).
+
+Input contract (as the telemetry hook reports): the rows of one forward pass
+(a step's layer reports) arrive in the same micro-batch, and a session's
+steps arrive in step order.
 """
 from __future__ import annotations
 
@@ -60,7 +64,7 @@ def _emit(step, layers, st, num_experts):
                 tokens_per_sec=rate, layer_experts=dom)
 
 
-def _processor(num_layers: int, num_experts: int):
+def _processor(num_layers: int, num_experts: int, idle_timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         session = key[0]
         if state.hasTimedOut:
@@ -76,7 +80,11 @@ def _processor(num_layers: int, num_experts: int):
                 for e in top:
                     counts[int(e)] += 1
             key_s = str(int(step))
-            st["open"].setdefault(key_s, {})[str(int(layer))] = counts      # a repeated layer overwrites
+            # token rows of one (step, layer) report may arrive in several micro-batches
+            prev = st["open"].setdefault(key_s, {}).get(str(int(layer)))
+            if prev is not None:
+                counts = [a + b for a, b in zip(prev, counts)]
+            st["open"][key_s][str(int(layer))] = counts
             tmax = g["t_sec"].max()
             if not pd.isna(tmax):
                 st["open_t"][key_s] = max(float(tmax), st["open_t"].get(key_s, float("-inf")))
@@ -91,7 +99,8 @@ def _processor(num_layers: int, num_experts: int):
                 st["open_t"].pop(key_s, None)
                 out.append(ev)
         state.update((json.dumps(st),))
-        state.setTimeoutDuration(30 * 60 * 1000)
+        if idle_timeout_ms:
+            state.setTimeoutDuration(idle_timeout_ms)
         if out:
             pdf = pd.DataFrame(out)
             pdf.insert(0, "session", session)
@@ -101,12 +110,17 @@ def _processor(num_layers: int, num_experts: int):
 
 
 def stream_routing_events(logits: DataFrame, num_layers: int, k: int = R.TOP_K,
-                          num_experts: int = R.NUM_EXPERTS) -> DataFrame:
-    """Streaming (or batch) routing events keyed by session; emit order follows step order."""
+                          num_experts: int = R.NUM_EXPERTS, idle_timeout_ms: int | None = None) -> DataFrame:
+    """Streaming (or batch) routing events keyed by session; emit order follows step order.
+
+    ``idle_timeout_ms`` evicts a session's state after that much processing
+    time without rows (for long-running queries; with a timeout Spark keeps
+    scheduling no-data batches, so ``availableNow`` runs do not end by themselves).
+    """
     routed = R.route(logits, k).select("session", "step", "token", "layer", "t_sec", "top")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     return routed.groupBy("session").applyInPandasWithState(
-        _processor(num_layers, num_experts), EVENT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _processor(num_layers, num_experts, idle_timeout_ms), EVENT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def rounded(events: DataFrame) -> DataFrame:

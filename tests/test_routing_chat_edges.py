@@ -53,23 +53,37 @@ def test_matrix_later_event_wins(spark):
     assert m[(5, 0)] == 3 and m[(5, 1)] == 2 and m[(5, 2)] == -1 and m[(6, 1)] == 4
 
 
+def _run_stream(spark, lg, files, name):
+    d = tempfile.mkdtemp(prefix="corvid-stream-", dir="/tmp")
+    src = os.path.join(d, "in")
+    lg.repartition(files, "session").write.parquet(src)
+    stream_in = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (stream_routing_events(stream_in, num_layers=8).writeStream.format("memory").queryName(name)
+         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return spark.table(name)
+
+
 def test_streaming_equals_batch(spark):
     from corvid.sources.fixtures import view
+    from corvid.streaming.routing_stream import rounded
     lg = view(spark, "/root/testdata/sf0.001", "v_logits")
-    batch = R.routing_events(lg, num_layers=8)
+    batch = {(r.session, r.step): tuple(r)[2:] for r in R.routing_events(lg, num_layers=8).collect()}
+    # sessions never span files here, so each session's rows arrive in one micro-batch: exact equality
+    one = {(r.session, r.step): tuple(r)[2:] for r in rounded(_run_stream(spark, lg, 2, "rt_a")).collect()}
+    assert one == batch
+    # sessions spread over several micro-batches (each forward pass arrives whole,
+    # as the telemetry hook reports it): state carries gaps, sums and the index
     d = tempfile.mkdtemp(prefix="corvid-stream-", dir="/tmp")
-    src = os.path.join(d, "in")
-    lg.repartition(3).write.parquet(src)
-    stream_in = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_routing_events(stream_in, num_layers=8).writeStream.format("memory").queryName("rt_events")
+    for lo, hi in ((0, 37), (37, 80), (80, 141), (141, 1 << 40)):     # written in order, one file each
+        lg.filter((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1) \
+            .write.mode("append").parquet(os.path.join(d, "in"))
+    s2 = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
+    q = (stream_routing_events(s2, num_layers=8).writeStream.format("memory").queryName("rt_b")
          .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
-    got = spark.table("rt_events")
-    # the whole table arrives as one set of files per trigger; compare the rounded records
-    b = {(r.session, r.step): (r.token_index, r.layer_experts, r.entropy_pct) for r in batch.collect()}
-    s = {(r.session, r.step): (r.token_index, r.layer_experts, round(r.entropy_pct, 1)) for r in got.collect()}
-    assert set(s) <= set(b)
-    assert len(s) > 0
+    two = {(r.session, r.step): tuple(r)[2:] for r in rounded(spark.table("rt_b")).collect()}
+    assert two == batch
 
 
 def test_tool_call_rules():
