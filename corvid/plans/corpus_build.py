@@ -41,6 +41,7 @@ class CorpusResult:
         self._samples_plan, self.quota, self.allocation = samples_plan, quota, allocation
         self._names, self._weights, self._seed, self._materialize = names, weights, seed, materialize
         self._prefix = prefix
+        self.valid_counts: dict = {}      # filled by the early-stop rounds
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -68,8 +69,9 @@ class CorpusResult:
         collected = self.streamed.filter(F.col("status") == C.VALID).select(
             "source", "raw_idx", "sample_idx", "input_ids", "attention_mask", "labels")
         if self._materialize:
-            # one count per source reaches the driver
-            counts = {r[0]: r[1] for r in collected.groupBy("source").count().collect()}
+            # one count per source reaches the driver (already known after early-stop rounds)
+            self.samples
+            counts = self.valid_counts or {r[0]: r[1] for r in collected.groupBy("source").count().collect()}
             empty = [n for n in self._names if counts.get(n, 0) == 0]
             if empty:
                 raise RuntimeError(f"{empty[0]} produced zero samples")
@@ -121,7 +123,7 @@ def key_at(df: DataFrame, key: str, pos: int):
 
 
 def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materialize: bool,
-                   first_rows: int | None = None, min_rows: int = 4096) -> DataFrame:
+                   first_rows: int | None = None, min_rows: int = 4096, valid_out: dict | None = None) -> DataFrame:
     """Early stop (the reference streams until the quota is full).
 
     All sources advance together in rounds; in each round every unfinished
@@ -162,6 +164,8 @@ def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materiali
                 continue
             need = (st["n"] - st["valid"]) * 1.25 * st["size"] / max(g, 1)
             st["start"], st["lo"], st["size"] = st["start"] + st["size"], st["hi"], int(max(2 * st["size"], need))
+    if valid_out is not None:
+        valid_out.update({k: v["valid"] for k, v in state.items()})
     out = pieces[0]
     for p in pieces[1:]:
         out = out.unionByName(p)
@@ -229,8 +233,9 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
             return source_samples(src, context_length, vocab, default_system, encoder, lo, hi, start).drop("messages")
 
         def prefix():
-            return prefix_samples(sources, totals, make, materialize, first_rows)
-    return CorpusResult(samples, quota, alloc, names, weights, seed, materialize, prefix)
+            return prefix_samples(sources, totals, make, materialize, first_rows, valid_out=result.valid_counts)
+    result = CorpusResult(samples, quota, alloc, names, weights, seed, materialize, prefix)
+    return result
 
 
 def write_corpus(result: CorpusResult, path: str, mode: str = "overwrite") -> None:
