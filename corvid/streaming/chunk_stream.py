@@ -36,7 +36,10 @@ def _scan(key, pdfs: Iterator[pd.DataFrame], state: GroupState, idle_timeout_ms=
             out.append((rid, -1, kind, value))
         state.remove()
     else:
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True).sort_values("seq")
         done = False
         for seq, content, fin in zip(rows["seq"], rows["content"], rows["finish_reason"]):
             for kind, value in sc.feed(content or ""):

@@ -72,7 +72,10 @@ def _processor(num_layers: int, num_experts: int, idle_timeout_ms: int | None):
             return
         st = json.loads(state.get[0]) if state.exists else {
             "open": {}, "open_t": {}, "last_t": None, "gaps": [], "sums": [0.0] * num_experts, "n": 0}
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["step", "layer", "token"])
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        rows = pd.concat(frames, ignore_index=True).sort_values(["step", "layer", "token"])
         touched = []
         for (step, layer), g in rows.groupby(["step", "layer"], sort=True):
             counts = [0] * num_experts

@@ -135,3 +135,14 @@ def test_weights_must_sum_to_one(spark):
         build_corpus(spark, [CorpusSource("code_feedback", 0.5, df)], 10)
     with pytest.raises(KeyError):
         build_corpus(spark, [CorpusSource("no_such_loader", 1.0, df)], 10)
+
+
+def test_source_with_zero_samples_is_an_error(spark):
+    import pytest
+    good = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(5)], "raw_id long, query string, answer string")
+    empty = spark.createDataFrame([(i, " ", None) for i in range(5)], "raw_id long, query string, answer string")
+    res = build_corpus(spark, [CorpusSource("code_feedback", 0.5, good),
+                               CorpusSource("magicoder_oss", 0.5, empty.withColumnRenamed("query", "problem")
+                                            .withColumnRenamed("answer", "solution"))], 20)
+    with pytest.raises(RuntimeError, match="zero samples"):
+        res.collected
