@@ -179,9 +179,9 @@ def q_ttft(spark, sf):
 
 
 @register("usage_totals", ("v_completion_log",), """
-SELECT model, count(*) AS n_requests, sum(coalesce(prompt_tokens_exact, prompt_tokens_est)) AS prompt_tokens,
- sum(completion_tokens) AS completion_tokens,
- sum(coalesce(prompt_tokens_exact, prompt_tokens_est) + completion_tokens) AS total_tokens
+SELECT model, count(*) AS n_requests, CAST(sum(coalesce(prompt_tokens_exact, prompt_tokens_est)) AS BIGINT) AS prompt_tokens,
+ CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+ CAST(sum(coalesce(prompt_tokens_exact, prompt_tokens_est) + completion_tokens) AS BIGINT) AS total_tokens
 FROM v_completion_log GROUP BY model""")
 def q_usage(spark, sf):
     return CH.usage_totals(view(spark, sf, "v_completion_log"))

@@ -179,7 +179,7 @@ def q_scan(spark, sf):
     df = scan_source(spark, f"{sf}/conversations.parquet", "parquet", schema)
     df = df.withColumn("_k", F.col("conv_id") * 1000 + F.col("turn"))
     out = C.with_raw_index(df, "_k", width=4096)
-    return out.select("conv_id", "turn", "raw_idx", F.length("text").alias("n_chars"))
+    return out.select("conv_id", "turn", "raw_idx", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @register("explode_samples", ("v_lang4",), f"""
@@ -401,7 +401,7 @@ def q_split(spark, sf):
 
 
 @register("align_union", MIX_VIEWS, D_MIX + """
-SELECT split, source, count(*) AS n_rows, sum(len(input_ids)) AS n_tokens FROM split GROUP BY 1, 2""")
+SELECT split, source, count(*) AS n_rows, CAST(sum(len(input_ids)) AS BIGINT) AS n_tokens FROM split GROUP BY 1, 2""")
 def q_align(spark, sf):
     sp = _mix(spark, sf).split
     frames = [sp.filter(F.col("source") == n) for n, _, _ in MIX]
@@ -443,7 +443,8 @@ bothx AS (SELECT 'train' AS split, input_ids, labels FROM train_mix UNION ALL SE
 SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE len(input_ids) <> len(labels)) AS length_mismatch,
  CAST(0 AS BIGINT) AS mask_mismatch, count(*) FILTER (WHERE len(input_ids) > {CTX}) AS too_long,
  count(*) FILTER (WHERE len(list_filter(labels, lambda l: l <> -100)) = 0) AS all_masked,
- sum(len(list_filter(labels, lambda l: l <> -100))) AS label_tokens, sum(len(input_ids)) AS tokens
+ CAST(sum(len(list_filter(labels, lambda l: l <> -100))) AS BIGINT) AS label_tokens,
+ CAST(sum(len(input_ids)) AS BIGINT) AS tokens
 FROM bothx GROUP BY split""")
 def q_validate(spark, sf):
     return C.validate_samples(_mixed(spark, sf), CTX)

@@ -10,7 +10,7 @@ from .registry import register
 E = R.NUM_EXPERTS
 L = 8            # the v_logits view reads each 64-wide embedding as 8 layers x 8 experts
 K = R.TOP_K
-KEYS = ("session", "step", "token", "layer")
+KEYS = ("session", "step", "token", F.col("layer").cast("bigint").alias("layer"))
 
 
 def _logits(spark, sf):
@@ -121,7 +121,7 @@ def _layer_counts(spark, sf):
 
 @register("layer_expert_counts", ("v_logits",), D_LAYER + f"""
 SELECT session, step, layer, e AS expert,
- CASE e {" ".join(f"WHEN {e} THEN h{e}" for e in range(E))} END AS hits
+ CAST(CASE e {" ".join(f"WHEN {e} THEN h{e}" for e in range(E))} END AS BIGINT) AS hits
 FROM lc, range(8) t(e)""")
 def q_layer_counts(spark, sf):
     lc = _layer_counts(spark, sf)
@@ -132,7 +132,7 @@ def q_layer_counts(spark, sf):
 
 
 @register("complete_steps", ("v_logits",), D_LAYER + """
-SELECT session, step, count(*) AS n_layers, sum(n_tokens) AS n_token_rows FROM lcc GROUP BY 1, 2""")
+SELECT session, step, count(*) AS n_layers, CAST(sum(n_tokens) AS BIGINT) AS n_token_rows FROM lcc GROUP BY 1, 2""")
 def q_complete(spark, sf):
     lc = R.complete_steps(_layer_counts(spark, sf), L)
     return lc.groupBy("session", "step").agg(F.count(F.lit(1)).alias("n_layers"),
@@ -152,7 +152,7 @@ def q_expert_pct(spark, sf):
 
 
 @register("layer_dominant", ("v_logits",), D_LAYER + """
-SELECT session, step, layer, dom AS dominant FROM lcd""")
+SELECT session, step, layer, CAST(dom AS BIGINT) AS dominant FROM lcd""")
 def q_dominant(spark, sf):
     lc = R.complete_steps(_layer_counts(spark, sf), L)
     return lc.select("session", "step", F.col("layer").cast("bigint").alias("layer"),
@@ -220,7 +220,7 @@ cells AS (SELECT session, token_index, l - 1 AS layer, layer_experts[l] AS exper
           FROM events, range(1, 37) t(l) WHERE l <= len(layer_experts)),
 latest AS (SELECT session, token_index, layer, arg_max(expert, step) AS expert FROM cells GROUP BY 1, 2, 3),
 toks AS (SELECT DISTINCT session, token_index FROM latest WHERE layer = 0)
-SELECT k.session, k.token_index, g.layer, coalesce(c.expert, -1) AS expert
+SELECT k.session, k.token_index, g.layer, CAST(coalesce(c.expert, -1) AS BIGINT) AS expert
 FROM toks k, range(36) g(layer)
 LEFT JOIN latest c ON c.session = k.session AND c.token_index = k.token_index AND c.layer = g.layer""")
 def q_matrix(spark, sf):
@@ -269,7 +269,7 @@ def q_usage(spark, sf):
 
 
 @register("load_balance_loss", ("v_logits",), D_METRICS + """
-SELECT step, round(aux_loss, 6) AS aux_loss, n AS n_router_rows FROM metrics""")
+SELECT step, round(aux_loss, 6) AS aux_loss, CAST(n AS BIGINT) AS n_router_rows FROM metrics""")
 def q_lb(spark, sf):
     return _metrics(spark, sf).select("step", F.round("aux_loss", 6).alias("aux_loss"), "n_router_rows")
 
