@@ -10,7 +10,8 @@ from .registry import register
 E = R.NUM_EXPERTS
 L = 8            # the v_logits view reads each 64-wide embedding as 8 layers x 8 experts
 K = R.TOP_K
-KEYS = ("session", "step", "token", F.col("layer").cast("bigint").alias("layer"))
+def _keys():
+    return ("session", "step", "token", F.col("layer").cast("bigint").alias("layer"))
 
 
 def _logits(spark, sf):
@@ -63,24 +64,24 @@ SELECT session, step, token, layer, e AS expert, round(probs[e + 1], 6) AS prob
 FROM routed, range(8) t(e)""")
 def q_softmax(spark, sf):
     r = _routed(spark, sf)
-    return r.select(*KEYS, F.posexplode("probs").alias("expert", "p")) \
-        .select(*KEYS, F.col("expert").cast("bigint").alias("expert"), F.round("p", 6).alias("prob"))
+    return r.select(*_keys(), F.posexplode("probs").alias("expert", "p")) \
+        .select(*_keys(), F.col("expert").cast("bigint").alias("expert"), F.round("p", 6).alias("prob"))
 
 
 @register("topk_experts", ("v_logits",), D_ROUTED + """
 SELECT session, step, token, layer, s - 1 AS slot, top[s] AS expert FROM routed, range(1, 3) t(s)""")
 def q_topk(spark, sf):
     r = _routed(spark, sf)
-    return r.select(*KEYS, F.posexplode("top").alias("slot", "expert")) \
-        .select(*KEYS, F.col("slot").cast("bigint").alias("slot"), F.col("expert").cast("bigint").alias("expert"))
+    return r.select(*_keys(), F.posexplode("top").alias("slot", "expert")) \
+        .select(*_keys(), F.col("slot").cast("bigint").alias("slot"), F.col("expert").cast("bigint").alias("expert"))
 
 
 @register("topk_weights", ("v_logits",), D_ROUTED + """
 SELECT session, step, token, layer, s - 1 AS slot, round(top_w[s], 6) AS weight FROM routed2, range(1, 3) t(s)""")
 def q_topk_weights(spark, sf):
     r = _routed(spark, sf)
-    return r.select(*KEYS, F.posexplode("top_w").alias("slot", "w")) \
-        .select(*KEYS, F.col("slot").cast("bigint").alias("slot"), F.round("w", 6).alias("weight"))
+    return r.select(*_keys(), F.posexplode("top_w").alias("slot", "w")) \
+        .select(*_keys(), F.col("slot").cast("bigint").alias("slot"), F.round("w", 6).alias("weight"))
 
 
 @register("dispatch_assignments", ("v_logits",), D_ROUTED + """

@@ -64,3 +64,12 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() >= 0
     assert df.columns == entry(spark).columns
+
+
+def test_contract_imports_without_a_spark_session():
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "assert len(E.oracle_sql()) == 77 and len(E.queries()) == 79") % __import__("os").path.dirname(
+        __import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd="/tmp", timeout=120)
