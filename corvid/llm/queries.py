@@ -5,7 +5,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, exactdup, simhash
+from . import decontaminate, exactdup, html_text, linededup, pack, simhash, tokencount, toxicity, warc
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: the main text (see ``html_text``)."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: probability of each category and the toxic decision (see ``toxicity``)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.corpus_chain(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= toxicity.THRESHOLD)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of a document: its place in a sequence (see ``pack``)."""
+    return pack.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: SimHash fingerprint and near-duplicate component (see ``simhash``)."""
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
@@ -26,9 +44,35 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op6_simhash_groups, op7_exact_dedup)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes and tokens (see ``tokencount``)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines, lines taken out, near links, digest of the text left (see ``linededup``)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_exact", "n_near", "n_links", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: its record as read back from the written archives (see ``warc``)."""
+    return warc.archive_digest(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op6_simhash_groups, op7_exact_dedup, op8_token_counts, op9_line_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+ f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
