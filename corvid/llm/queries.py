@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, exactdup, html_text, linededup, pack, simhash, tokencount, toxicity, warc
+from . import decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, tokencount, toxicity, warc
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: stupid-backoff score under all other documents (see ``lmscore``)."""
+    return lmscore.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: SimHash fingerprint and near-duplicate component (see ``simhash``)."""
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
@@ -64,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op6_simhash_groups, op7_exact_dedup, op8_token_counts, op9_line_dedup, op10_warc)}
+    op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts, op9_line_dedup, op10_warc)}
 
 ORACLES: dict[str, str] = {
     "op10_warc": """

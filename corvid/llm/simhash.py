@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, cut, ragged, row_ranges, text_buffer
 from .graph import components
@@ -82,8 +83,8 @@ def _fingerprints(texts, words: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = 3, seed: int = 42) -> DataFrame:
-    """``(id, fp)`` per row; ``fp`` is the signed 64-bit SimHash of the word shingles.
+                 words: int = 3, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+    """``(id, *carry, fp)`` per row; ``fp`` is the signed 64-bit SimHash of the word shingles.
 
     Words are split at ASCII white space after A-Z is lower-cased; a text of fewer words
     than a shingle is one shingle; no words, an empty or a null text give 0."""
@@ -91,15 +92,16 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for batch in batches:
-            offsets, raw = text_buffer(batch.column(1))
+            offsets, raw = text_buffer(batch.column(batch.num_columns - 1))
             low = LOWER[raw]
             got = [np.zeros(0, np.uint64)]
             for i, j in row_ranges(offsets, 1 << 20):
                 got.append(_fingerprints([low[offsets[k]:offsets[k + 1]].tobytes() for k in range(i, j)], words, seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got).view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(got).view(np.int64))], names)
 
-    src = docs.select(id_col, F.col(text_col).alias("_text"))
-    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, fp long")
+    src = docs.select(id_col, *(carry or []), F.col(text_col).alias("_text"))
+    names = [*src.columns[:-1], "fp"]
+    return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 @cache
@@ -168,14 +170,15 @@ def links(distinct_fp: DataFrame, max_bits: int, blocks) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                max_bits: int = 2, seed: int = 42) -> DataFrame:
+                max_bits: int = 2, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
     """Per row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest
-    id reachable over links of at most ``max_bits`` bits, its own included.
+    id reachable over links of at most ``max_bits`` bits, its own included; ``carry``
+    names further columns to keep.
 
     Texts without words have fingerprint zero and link like any other.  Null ids are
     passed over when the smallest is taken; a component of null ids has null.  Rows that
     repeat an id are fingerprinted one by one.  An empty table gives an empty result."""
-    docs_fp = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed))
+    docs_fp = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, carry=carry))
     distinct = cut(docs_fp.groupBy("fp").agg(F.min(id_col).alias("low")))
     blocks = [GOLAY, GOLAY] + ([HAMMING] if distinct.count() > TWO_BLOCKS else [])
     roots = components(links(distinct, max_bits, blocks)).withColumnRenamed("node", "fp")
@@ -183,4 +186,4 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     moved = roots.join(lows, "root").select("fp", "component_low")
     by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
     return docs_fp.join(by_fp, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        id_col, *(carry or []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

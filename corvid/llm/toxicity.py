@@ -24,9 +24,11 @@ from .common import bound_batches
 
 #: Labelled rows that the chain is fitted on, about (all, if there are fewer).
 SAMPLE_ROWS = 20_000
-#: Features of the models, and the fewest sample texts that must have one.
+#: Features of the models; the fewest sample texts that must have one, and the least
+#: chi-square (over five standard deviations, as a hundred thousand features are tested).
 FEATURES = 2000
 MIN_TEXTS = 4
+MIN_CHI = 30.0
 FOLDS = 5
 #: Probability from which a text is put into a category.
 THRESHOLD = 0.5
@@ -115,7 +117,7 @@ def _probability(x: Sparse, earlier: np.ndarray, w: np.ndarray, k: int) -> np.nd
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, k: int, rounds: int = 200, l2: float = 1.0) -> np.ndarray:
+def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, k: int, rounds: int = 200, l2: float = 0.1) -> np.ndarray:
     """Logistic regression by accelerated gradient steps; one class alone gives its share as a constant."""
     w = np.zeros(k + earlier.shape[1] + 1)
     share = y.mean() if len(y) else 0.0
@@ -206,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col:
 
     if n:
         per = features // k
-        names = sorted({r.f for c in range(k) for r in counted.orderBy(F.desc(chi(c)), "f").limit(per).select("f").collect()})
+        names = sorted({r.f for c in range(k) for r in counted.where(chi(c) >= MIN_CHI).orderBy(F.desc(chi(c)), "f").limit(per).select("f").collect()})
     else:
         names = []
 

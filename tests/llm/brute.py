@@ -69,3 +69,36 @@ def simhash_groups(docs, bits=2):
     pairs += [(min(v), x) for v in by.values() for x in v]
     comp = components(pairs, fps)
     return {(d, f"{fps[d]:016x}", comp[d]) for d in fps}
+
+
+def lm_scores(docs, order=3, alpha=0.4):
+    from collections import Counter
+    from math import log10
+    all_words = {d: words(t) for d, t in docs}
+
+    def counts(w):
+        c = Counter()
+        for k in range(1, order + 1):
+            c.update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+        c[()] = len(w)
+        return c
+    own = {d: counts(w) for d, w in all_words.items()}
+    total = Counter()
+    for c in own.values():
+        total.update(c)
+    out = {}
+    for d, w in all_words.items():
+        s, unseen = 0.0, 0
+        for i in range(len(w)):
+            top = min(order, i + 1)
+            for k in range(top, 0, -1):
+                g = tuple(w[i - k + 1:i + 1])
+                n = total[g] - own[d][g]
+                if n > 0:
+                    s += log10(n / (total[g[:-1]] - own[d][g[:-1]])) + (top - k) * log10(alpha)
+                    break
+            else:
+                unseen += 1
+                s += -log10(max(1, total[()] - own[d][()])) + top * log10(alpha)
+        out[d] = (len(w), unseen, s)
+    return out
