@@ -102,3 +102,48 @@ def lm_scores(docs, order=3, alpha=0.4):
                 s += -log10(max(1, total[()] - own[d][()])) + top * log10(alpha)
         out[d] = (len(w), unseen, s)
     return out
+
+
+def near_lines(docs, max_edits=2, min_chars=24):
+    """Per document: (lines, exact repeats, near repeats, links, text left)."""
+    keyed = [(d, i, ln) for d, t in sorted(docs) if t is not None for i, ln in enumerate(t.split("\n"))]
+    first = {}
+    for d, i, ln in keyed:
+        if ln.strip():
+            first.setdefault(ln, (d, i))
+    distinct = [ln for ln in first if len(ln) >= min_chars]
+    near, links = set(), {}
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1:]:
+            if abs(len(a) - len(b)) <= max_edits and edits(a, b) <= max_edits:
+                near.add(max((a, b), key=first.get))
+                for x in (a, b):
+                    links[first[x][0]] = links.get(first[x][0], 0) + 1
+    out = {}
+    for d, t in docs:
+        if t is None:
+            out[d] = (0, 0, 0, 0, None)
+            continue
+        lines = t.split("\n")
+        exact = [ln.strip() != "" and first[ln] != (d, i) for i, ln in enumerate(lines)]
+        gone = [e or ln in near for e, ln in zip(exact, lines)]
+        out[d] = (len(lines), sum(exact), sum(gone) - sum(exact), links.get(d, 0),
+                  "\n".join(ln for ln, g in zip(lines, gone) if not g))
+    return out
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def article(page):
+    """Main text of the generated pages: the blocks of their one article element."""
+    import html
+    body = page[page.index("<article>") + 9:page.index("</article>")]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n\n".join(b for b in blocks if b)
