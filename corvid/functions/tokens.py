@@ -8,6 +8,7 @@ plugged in through :func:`corvid.functions.udfs.tokenizer_udf`.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -17,8 +18,9 @@ from .chat import ASSISTANT_MARKER, ENDOFTEXT, IM_END, IM_START
 
 IGNORE_INDEX = -100
 
-# Piece pattern of the built-in encoder (special tokens first).
-PIECE_PATTERN = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|[\p{L}\p{N}_]+|[^\p{L}\p{N}_ ]"
+# Piece pattern of the built-in encoder: special tokens, words with one blank
+# before them, runs of blanks, single other characters.  No character is lost.
+PIECE_PATTERN = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>| ?[\p{L}\p{N}_]+| +|[^\p{L}\p{N}_ ]"
 
 
 @dataclass(frozen=True)
@@ -81,6 +83,25 @@ def encode_py(text: str, vocab: HashVocab = DEFAULT_VOCAB) -> list[int]:
     return out
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """All that the corpus build needs of one tokenizer: the ids of a text, the ids of the
+    assistant marker, the full vocabulary length (bound of the label clamp), the pad id."""
+    ids: Callable[[Column], Column]
+    marker_ids: tuple[int, ...]
+    full_length: int
+    pad_id: int
+
+    @property
+    def marker(self) -> Column:
+        return F.array(*[F.lit(i) for i in self.marker_ids])
+
+
+def hash_encoder(vocab: HashVocab = DEFAULT_VOCAB) -> Encoder:
+    """The built-in encoder."""
+    return Encoder(lambda text: encode(text, vocab), tuple(encode_py(ASSISTANT_MARKER, vocab)), vocab.full_length, vocab.pad_id)
+
+
 def encode_literal(text: str, vocab: HashVocab = DEFAULT_VOCAB) -> Column:
     return F.array(*[F.lit(i) for i in encode_py(text, vocab)])
 

@@ -2,13 +2,14 @@
 
 * U1 ``tokenizer_udf``: a user tokenizer file (``tokenizers`` JSON) shipped
   with ``SparkContext.addFile`` and loaded once per Python worker.
-* U2 ``tool_calls_udf`` / ``prepare_messages_udf``: strict JSON rules
+* U2 ``decode_calls_udf`` / ``prepare_messages_udf`` / ``strict_body_udf``: strict JSON rules
   (Python ``json``: no trailing garbage, last duplicate key wins).
 * U3 ``batch_generate``: a user model function over ``mapInPandas`` batches.
 """
 from __future__ import annotations
 
 import json
+import re
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -16,135 +17,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOOL_CALL = T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])
-EXTRACTED = T.StructType([T.StructField("text", T.StringType()),
-                          T.StructField("calls", T.ArrayType(TOOL_CALL))])
-STREAM_PART = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+from .chat import ASSISTANT_MARKER
+from .tokens import Encoder
 
+TOOL_CALL = T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])
 
-# ------------------------------------------------------------------ C5: one candidate
-def _fence_body(raw: str) -> str:
-    """Strip a leading ```json / ``` marker and trailing backticks."""
-    for opener in ("```json", "```"):
-        if raw.startswith(opener):
-            return raw[len(opener):].rstrip("`").strip()
-    return raw
+class _BAD:
+    """Stands for text that is not one strict JSON value (a class, so that it stays itself in Python workers)."""
 
 
-def parse_call(candidate: str) -> dict | None:
-    """A tool call ``{name, arguments}`` or None (C5 rules)."""
+def strict_json(text):
+    """The value of a text that is exactly one JSON value (the last of repeated keys wins)."""
     try:
-        obj = json.loads(_fence_body(candidate.strip()))
-    except Exception:  # noqa: BLE001 - any decode failure means "not a call"
+        return json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return _BAD
+
+
+# ------------------------------------------------------------------ C5: one candidate
+def decode_call(candidate: str | None) -> dict | None:
+    """A tool call ``{name, arguments}`` of a candidate without fences, or None."""
+    value = strict_json(candidate) if candidate else _BAD
+    if not isinstance(value, dict):
         return None
-    if not isinstance(obj, dict) or "name" not in obj or not ("arguments" in obj or "parameters" in obj):
+    given = [value[k] for k in ("arguments", "parameters") if k in value]   # arguments win, even if null
+    if "name" not in value or not given:
         return None
-    args = obj["arguments"] if "arguments" in obj else obj.get("parameters")
-    if isinstance(args, str):
-        try:
-            args = json.loads(args)
-        except Exception:  # noqa: BLE001
-            pass
-    return {"name": str(obj["name"]), "arguments": args if isinstance(args, dict) else {}}
-
-
-# ------------------------------------------------------------------ C6 / C7: scanning text
-class CallScanner:
-    """Incremental scanner over generated text pieces (C7); ``feed`` then ``finish``.
-
-    Only a buffer that starts (after left-trim) with ``{`` accumulates across
-    pieces; a fenced call is taken when its closing fence is in the buffer;
-    anything else is text at once.
-    """
+    inner = strict_json(given[0]) if isinstance(given[0], str) else given[0]
+    return {"name": str(value["name"]), "arguments": inner if isinstance(inner, dict) else {}}
+
+
+def unfenced(text: str) -> str:
+    """The candidate inside a text: stripped, without an opening fence and closing backticks."""
+    body = text.strip()
+    opening = _FENCE.match(body)
+    return body[opening.end():].rstrip("`").strip() if opening else body
+
+
+_FENCE = re.compile(r"```(?:json)?")
+#: a fenced block at the start, and what follows it
+_FENCED = re.compile(r"\s*```(?:json)?(.*?)```\s*(.*)\Z", re.S)
+_OBJECT = re.compile(r"\s*\{")
+
+
+@F.pandas_udf(T.ArrayType(TOOL_CALL))
+def decode_calls_udf(candidates: pd.Series) -> pd.Series:
+    """C5 over arrays of candidate texts; a null stands for every candidate that is no call."""
+    def one(c):
+        call = decode_call(c)
+        return None if call is None else {"name": call["name"], "arguments": json.dumps(call["arguments"])}
+    return candidates.map(lambda cs: None if cs is None else [one(c) for c in cs])
+
+
+# ------------------------------------------------------------------ C7: ordered pieces
+def push_piece(pending: str, piece: str) -> tuple[list[tuple[str, object]], str]:
+    """One step of the chunk scanner: (parts to emit, text held back).
 
-    def __init__(self):
-        self.buf = ""
-
-    def feed(self, piece: str):
-        self.buf += piece
-        lead = self.buf.lstrip()
-        if lead.startswith("```"):
-            skip = 7 if lead.startswith("```json") else 3
-            close = lead.find("```", skip)
-            if close != -1:
-                call = parse_call(lead[skip:close].strip())
-                if call is not None:
-                    self.buf = lead[close + 3:].lstrip()
-                    return [("tool_call", call)]
-        elif lead.startswith("{"):
-            call = parse_call(self.buf)
-            if call is not None:
-                self.buf = ""
-                return [("tool_call", call)]
-            return []                      # maybe a partial object: keep reading
-        out = [("text", self.buf)] if self.buf else []
-        self.buf = ""
-        return out
-
-    def finish(self):
-        if not self.buf:
-            return []
-        call = parse_call(self.buf)
-        rest, self.buf = self.buf, ""
-        return [("tool_call", call)] if call is not None else [("text", rest)]
-
-
-def extract_calls(text: str) -> tuple[str, list[dict]]:
-    """The whole completion as one piece, then a retry of the joined text."""
-    if text is None:
-        return None, []
-    sc = CallScanner()
-    parts = sc.feed(text) + sc.finish()
-    texts = [v for k, v in parts if k == "text"]
-    calls = [v for k, v in parts if k == "tool_call"]
-    joined = "".join(texts)
-    if not calls and joined.strip():
-        call = parse_call(joined.strip())
-        if call is not None:
-            return "", [call]
-    return joined, calls
-
-
-@F.pandas_udf(EXTRACTED)
-def tool_calls_udf(texts: pd.Series) -> pd.DataFrame:
-    out_text, out_calls = [], []
-    for t in texts:
-        txt, calls = extract_calls(t)
-        out_text.append(txt)
-        out_calls.append([{"name": c["name"], "arguments": json.dumps(c["arguments"])} for c in calls])
-    return pd.DataFrame({"text": out_text, "calls": out_calls})
+    Only a text that begins like an object is held until it decodes; a complete fenced
+    call leaves what follows it; everything else passes through at once."""
+    text = pending + piece
+    if fenced := _FENCED.match(text):
+        if (call := decode_call(fenced[1].strip())) is not None:
+            return [("tool_call", call)], fenced[2]
+    elif _OBJECT.match(text):
+        call = decode_call(text.strip())
+        return ([], text) if call is None else ([("tool_call", call)], "")
+    return ([("text", text)] if text else []), ""
+
+
+def flush_pending(pending: str) -> list[tuple[str, object]]:
+    """What the end of a stream makes of the text held back."""
+    if not pending:
+        return []
+    call = decode_call(unfenced(pending))
+    return [("text", pending) if call is None else ("tool_call", call)]
+
+
+def wire_parts(parts) -> list[tuple[str, str]]:
+    """Parts with calls as JSON text."""
+    return [(kind, json.dumps(v) if kind == "tool_call" else v) for kind, v in parts]
 
 
 def scan_chunks(pieces: list[str]) -> list[tuple[str, str]]:
     """C7 for one ordered chunk list: (kind, value) parts, arguments as JSON text."""
-    sc = CallScanner()
-    parts = []
+    out, pending = [], ""
     for p in pieces:
-        parts += sc.feed(p or "")
-    parts += sc.finish()
-    return [(k, json.dumps(v) if k == "tool_call" else v) for k, v in parts]
+        parts, pending = push_piece(pending, p or "")
+        out += parts
+    return wire_parts(out + flush_pending(pending))
 
 
 # ------------------------------------------------------------------ C4
+def _objects(call):
+    """A tool call whose JSON-text arguments are decoded; other values are left alone."""
+    function = call.get("function") if isinstance(call, dict) else None
+    if not isinstance(function, dict) or not isinstance(function.get("arguments"), str):
+        return call
+    value = strict_json(function["arguments"])
+    return call if value is _BAD else {**call, "function": {**function, "arguments": value}}
+
+
 def _prepare(messages_json: str | None) -> str | None:
-    if messages_json is None:
-        return None
-    try:
-        msgs = json.loads(messages_json)
-    except Exception:  # noqa: BLE001
-        return messages_json
-    if not isinstance(msgs, list):
+    messages = strict_json(messages_json)
+    if not isinstance(messages, list):
         return messages_json
-    for m in msgs:
-        if isinstance(m, dict) and m.get("tool_calls"):
-            for tc in m["tool_calls"]:
-                fn = tc.get("function", {}) if isinstance(tc, dict) else {}
-                if isinstance(fn, dict) and isinstance(fn.get("arguments"), str):
-                    try:
-                        fn["arguments"] = json.loads(fn["arguments"])
-                    except json.JSONDecodeError:
-                        pass
-    return json.dumps(msgs)
+    calls = [m.get("tool_calls") if isinstance(m, dict) else None for m in messages]
+    return json.dumps([{**m, "tool_calls": [_objects(c) for c in own]} if isinstance(own, list) and own else m
+                       for m, own in zip(messages, calls, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
@@ -153,6 +132,16 @@ def prepare_messages_udf(messages_json: pd.Series) -> pd.Series:
     return messages_json.map(_prepare)
 
 
+@F.pandas_udf(T.StringType())
+def strict_body_udf(bodies: pd.Series) -> pd.Series:
+    """JSON text by Python's rules, written anew: repeated keys collapse to the last one,
+    text that is not exactly one JSON value gives null."""
+    def one(b):
+        v = strict_json(b)
+        return None if v is _BAD else json.dumps(v, ensure_ascii=False)
+    return bodies.map(one)
+
+
 # ------------------------------------------------------------------ U1
 _TOKENIZERS: dict[str, object] = {}
 
@@ -182,6 +171,16 @@ def tokenizer_udf(tokenizer_file: str) -> Callable[[Column], Column]:
     return _encode
 
 
+def tokenizer_encoder(tokenizer_file: str, marker: str = ASSISTANT_MARKER, pad_token: str | None = None) -> Encoder:
+    """A tokenizer file as the encoder of a corpus build.  Marker ids, vocabulary length
+    (added tokens included) and pad id come from the same file as the ids."""
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_file)
+    pad = tok.token_to_id(pad_token) if pad_token else None
+    return Encoder(tokenizer_udf(tokenizer_file), tuple(tok.encode(marker, add_special_tokens=False).ids),
+                   tok.get_vocab_size(with_added_tokens=True), 0 if pad is None else pad)
+
+
 # ------------------------------------------------------------------ U3
 def batch_generate(prompts: DataFrame, model_fn: Callable[[list[str]], list[str]],
                    prompt_col: str = "prompt", out_col: str = "completion") -> DataFrame:

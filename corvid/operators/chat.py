@@ -7,11 +7,12 @@ chunks, so per-request groups never grow with the table.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import udfs as U
+from ..functions.text import py_lstrip, py_strip
 from ..plans.barrier import compute_once
 
 # Generation defaults of the reference server.
@@ -33,11 +34,26 @@ def _v(body: Column) -> Column:
 
 
 def parse_requests(df: DataFrame, body: str = "body") -> DataFrame:
-    """Parse the JSON body once into a VARIANT column shared by C1-C3."""
+    """Parse the JSON body once, by Python's rules, into a VARIANT column shared by C1-C3.
+
+    SQL's parser refuses repeated keys and passes over text after the object.  A body that
+    its parsed value writes out again at the same length has neither; the others are
+    rewritten by :func:`strict_body_udf` (last key wins, trailing text is invalid)."""
     if REQ in df.columns:
         return df
-    keys = F.json_object_keys(F.col(body))          # NULL unless the body is an object
-    return compute_once(df, **{REQ: F.try_parse_json(F.col(body)), KEYS: keys})
+    raw = F.col(body)
+    df = compute_once(df, _strict=strict_json_text(raw))
+    keys = F.json_object_keys("_strict")          # NULL unless the body is an object
+    return compute_once(df, **{REQ: F.try_parse_json("_strict"), KEYS: keys}).drop("_strict")
+
+
+def strict_json_text(raw: Column) -> Column:
+    """JSON text that SQL's parser reads as Python does, or null where Python reads none.
+
+    Only texts that their parsed value does not write out again at the same length go to
+    Python; for the others it is handed nulls."""
+    plain = F.coalesce(F.length(F.to_json(F.try_parse_json(raw))) == F.length(raw), F.lit(False))
+    return F.when(plain, raw).otherwise(U.strict_body_udf(F.when(~plain, raw)))
 
 
 def _get(body: Column, path: str) -> Column:
@@ -51,7 +67,7 @@ def py_truthy(v: Column) -> Column:
     return (F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
             .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
             .when(t == "STRING", F.length(F.try_variant_get(v, "$", "string")) > 0)
-            .when(t.startswith("ARRAY"), F.json_array_length(F.to_json(v)) > 0)
+            .when(t.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
             .when(t.startswith("OBJECT"), t != "OBJECT<>")
             .otherwise(F.coalesce(as_num != 0, F.lit(True))))
 
@@ -60,28 +76,48 @@ def _has_key(body: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.col(KEYS), key), F.lit(False))
 
 
+# The error a request without messages gets.
+ERROR_TYPE = "invalid_request_error"
+NO_MESSAGES = "messages is required and must be non-empty"
+
+
 def request_validate(df: DataFrame, body: str = "body") -> DataFrame:
-    """``ok`` or ``invalid_request_error`` (messages missing or empty)."""
+    """``status`` ``ok`` or ``invalid_request_error``, and the ``error`` record
+    ``{message, type}`` (null for ``ok``).
+
+    A body that is not one JSON object, one without messages, and a token limit that is
+    no number are errors."""
     df = parse_requests(df, body)
-    ok = py_truthy(_get(F.col(body), "$.messages"))
-    return df.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit("invalid_request_error")))
+    limit = F.coalesce(*[F.when(~F.is_variant_null(_get(F.col(body), f"$.{k}")), _get(F.col(body), f"$.{k}"))
+                         for k in ("max_tokens", "max_completion_tokens")])
+    message = (F.when(F.col(KEYS).isNull(), F.lit("the body is not a JSON object"))
+               .when(~py_truthy(_get(F.col(body), "$.messages")), F.lit(NO_MESSAGES))
+               .when(limit.isNotNull() & F.try_variant_get(limit, "$", "double").isNull(), F.lit("max_tokens is not a number")))
+    return df.withColumn("_message", message).withColumns({
+        "status": F.when(F.col("_message").isNull(), F.lit("ok")).otherwise(F.lit(ERROR_TYPE)),
+        "error": F.when(F.col("_message").isNotNull(), F.struct(F.col("_message").alias("message"), F.lit(ERROR_TYPE).alias("type")))
+    }).drop("_message")
 
 
 def request_params(df: DataFrame, body: str = "body", default_model: str = DEFAULT_MODEL) -> DataFrame:
-    """Generation parameters; a key that is present but null stays null."""
+    """Generation parameters; a key that is present but null stays null.  A token limit
+    that is no number gives null (``request_validate`` reports it)."""
     df = parse_requests(df, body)
     b = F.col(body)
     num = lambda k: F.try_variant_get(_v(b), f"$.{k}", "double")
-    mt = F.coalesce(num("max_tokens"), num("max_completion_tokens"), F.lit(float(DEFAULT_MAX_NEW_TOKENS)))
+    given = lambda k: _get(b, f"$.{k}").isNotNull() & ~F.is_variant_null(_get(b, f"$.{k}"))
+    mt = (F.when(given("max_tokens"), num("max_tokens")).when(given("max_completion_tokens"), num("max_completion_tokens"))
+          .otherwise(F.lit(float(DEFAULT_MAX_NEW_TOKENS))))
     opt = lambda k, d: F.when(_has_key(b, k), num(k)).otherwise(F.lit(float(d)))
     temperature = opt("temperature", DEFAULT_TEMPERATURE)
     model = F.try_variant_get(_v(b), "$.model", "string")
+    capped = F.when(mt.isNotNull(), F.least(mt.cast("bigint"), F.lit(MAX_NEW_TOKENS_CAP)))
     return df.select(
         "*",
-        F.least(mt.cast("bigint"), F.lit(MAX_NEW_TOKENS_CAP)).alias("max_new_tokens"),
+        capped.alias("max_new_tokens"),
         temperature.alias("temperature"),
         opt("top_p", DEFAULT_TOP_P).alias("top_p"),
-        opt("top_k", DEFAULT_TOP_K).alias("top_k"),
+        opt("top_k", DEFAULT_TOP_K).cast("int").alias("top_k"),
         opt("repetition_penalty", DEFAULT_REPETITION_PENALTY).alias("repetition_penalty"),
         F.when(model.isNotNull() & (model != ""), model).otherwise(F.lit(default_model)).alias("model_name"),
         F.coalesce(temperature > 0, F.lit(False)).alias("do_sample"))
@@ -94,7 +130,7 @@ def request_facts(df: DataFrame, body: str = "body") -> DataFrame:
     return df.select(
         "*",
         F.coalesce(F.when(F.schema_of_variant(_get(b, "$.messages")).startswith("ARRAY"),
-                          F.json_array_length(F.to_json(_get(b, "$.messages")))), F.lit(0)).cast("bigint").alias("n_messages"),
+                          F.size(F.try_variant_get(_get(b, "$.messages"), "$", "array<variant>"))), F.lit(0)).cast("bigint").alias("n_messages"),
         py_truthy(_get(b, "$.tools")).alias("has_tools"),
         py_truthy(_get(b, "$.stream")).alias("stream"),
         py_truthy(_get(b, "$.stream_options.include_usage")).alias("include_usage"))
@@ -107,9 +143,34 @@ def messages_prepare(df: DataFrame, body: str = "body") -> DataFrame:
 
 
 def tool_call_extract(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Remaining text and the parsed calls (ARRAY<STRUCT<name, arguments>>)."""
-    return df.withColumn("_x", U.tool_calls_udf(F.col(text))) \
-        .withColumn("content", F.col("_x.text")).withColumn("tool_calls", F.col("_x.calls")).drop("_x")
+    """Remaining text and the parsed calls (ARRAY<STRUCT<name, arguments>>).
+
+    The JVM cuts a text into candidates: the body of a leading fenced block, what follows
+    the block, and the whole text without fences.  Python only decodes candidates, and
+    only for texts that begin with a fence or an object; all others pass through."""
+    raw = F.col(text)
+    lead = py_lstrip(raw)
+    fenced = lead.startswith("```")
+    may_call = fenced | lead.startswith("{")
+    block = r"^```(?:json)?([\s\S]*?)```([\s\S]*)$"
+    closed = fenced & lead.rlike(block)
+    body = F.when(closed, py_strip(F.regexp_extract(lead, block, 1)))
+    rest = F.when(closed, py_lstrip(F.regexp_extract(lead, block, 2)))
+    bare = py_strip(raw)
+    whole = F.when(fenced, py_strip(F.regexp_replace(F.regexp_replace(bare, r"^```(?:json)?", ""), r"`+\z", ""))).otherwise(bare)
+    fence_rest = py_strip(rest)
+    rest_bare = F.when(fence_rest.startswith("```"), py_strip(F.regexp_replace(
+        F.regexp_replace(fence_rest, r"^```(?:json)?", ""), r"`+\z", ""))).otherwise(fence_rest)
+    held = compute_once(df, _gate=may_call, _rest=rest, _cands=F.array(body, rest_bare, whole))
+    # of rows that cannot hold a call Python sees nulls
+    decoded = held.withColumn("_calls", U.decode_calls_udf(F.when(F.col("_gate"), F.col("_cands"))))
+    one, two, all_text = (F.get("_calls", F.lit(i)) for i in range(3))
+    found = F.filter(F.when(one.isNotNull(), F.array(one, two)).otherwise(F.array(all_text)), lambda c: c.isNotNull())
+    content = (F.when(one.isNotNull() & two.isNull(), F.col("_rest"))
+               .when(one.isNotNull() | all_text.isNotNull(), F.lit("")).otherwise(raw))
+    return decoded.withColumns(
+        {"content": content, "tool_calls": F.coalesce(found, F.array().cast(T.ArrayType(U.TOOL_CALL)))}
+    ).drop("_gate", "_rest", "_cands", "_calls")
 
 
 def tool_call_rows(extracted: DataFrame, key: str = "request_id") -> DataFrame:
@@ -121,14 +182,22 @@ def tool_call_rows(extracted: DataFrame, key: str = "request_id") -> DataFrame:
 
 
 def tool_call_stats(extracted: DataFrame, key: str = "request_id") -> DataFrame:
-    """C6 report: calls and calling requests per tool name, and the calling share."""
-    calls = extracted.select(key, F.explode("tool_calls").alias("_c")).select(key, F.col("_c.name").alias("name"))
-    per = calls.groupBy("name").agg(F.count(F.lit(1)).alias("n_calls"),
-                                    F.count_distinct(key).alias("n_requests"))
-    share = extracted.agg((F.sum(F.when(F.size("tool_calls") > 0, 1).otherwise(0)) / F.count(F.lit(1)) * 100.0)
-                          .alias("calling_pct"))
-    # ``share`` is a one-row global aggregate
-    return per.withColumn("_one", F.lit(1)).join(F.broadcast(share.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """C6 report: calls and calling requests per tool name, and the calling share.
+
+    One pass: each request brings a row per distinct name with its number of calls, and
+    one unnamed row; the share of the unnamed rows is read off the per-name totals (one
+    row per tool name)."""
+    names = F.array_distinct(F.transform("tool_calls", lambda c: c["name"]))
+    per_name = F.transform(names, lambda n: F.struct(n.alias("name"), F.size(
+        F.filter("tool_calls", lambda c: c["name"] == n)).alias("n"), F.lit(1).alias("named")))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.when(F.size("tool_calls") > 0, 1).otherwise(0).alias("n"),
+                           F.lit(0).alias("named")))
+    rows = extracted.select(F.inline(F.concat(own, per_name)))
+    totals = rows.groupBy("named", "name").agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_requests"))
+    everyone = Window.partitionBy()        # one row per tool name
+    share = (F.sum(F.when(F.col("named") == 0, F.col("n_calls"))).over(everyone)
+             / F.sum(F.when(F.col("named") == 0, F.col("n_requests"))).over(everyone) * 100.0)
+    return totals.withColumn("calling_pct", share).where("named = 1").select("name", "n_calls", "n_requests", "calling_pct")
 
 
 def tool_call_stream(chunks: DataFrame, key: str = "request_id", seq: str = "seq",
@@ -157,25 +226,76 @@ def finish_reason(n_calls: Column, gen_ids: Column, eos_id: int) -> Column:
             .otherwise(F.lit("length")))
 
 
+def call_records(calls: Column, key: Column) -> Column:
+    """Calls as the wire has them: ``{id, type, function{name, arguments}}``.  Ids follow
+    from request and position, so that they are the same however often a row is computed."""
+    return F.transform(calls, lambda c, i: F.struct(
+        F.concat(F.lit("call_"), F.substring(F.md5(F.concat_ws("-", key.cast("string"), i.cast("string"))), 1, 24)).alias("id"),
+        F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function")))
+
+
 def completion_record(df: DataFrame, key: str = "request_id") -> DataFrame:
     """The completion object with usage totals; empty content -> NULL.
 
     Input columns: content, tool_calls, finish_reason, model_name,
-    prompt_tokens, completion_tokens.
+    prompt_tokens, completion_tokens and, if there is one, created (seconds).
     """
     msg = F.struct(F.lit("assistant").alias("role"),
                    F.when(F.col("content") != "", F.col("content")).alias("content"),
-                   F.when(F.size("tool_calls") > 0, F.col("tool_calls")).alias("tool_calls"))
+                   F.when(F.size("tool_calls") > 0, call_records(F.col("tool_calls"), F.col(key))).alias("tool_calls"))
     usage = F.struct(F.col("prompt_tokens").alias("prompt_tokens"),
                      F.col("completion_tokens").alias("completion_tokens"),
                      (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
-    return df.select(F.col(key).alias("id"), F.lit("chat.completion").alias("object"),
+    created = F.col("created") if "created" in df.columns else F.lit(None)
+    return df.select(F.col(key).alias("id"), F.lit("chat.completion").alias("object"), created.cast("bigint").alias("created"),
                      F.col("model_name").alias("model"),
                      F.array(F.struct(F.lit(0).alias("index"), msg.alias("message"),
                                       F.col("finish_reason").alias("finish_reason"))).alias("choices"),
                      usage.alias("usage"))
 
 
+# Fixed value: the shape of a streamed chunk.
+CHUNK = ("id string, created bigint, model string, choices array<struct<index: int, delta: struct<content: string, tool_calls: "
+         "array<struct<index: int, id: string, type: string, function: struct<name: string, arguments: string>>>>, "
+         "finish_reason: string>>, usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>")
+
+
+def chunk_rows(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The chunks of a served log (``data: {...}`` lines), flat: one row per chunk and
+    tool-call delta.  Comments, ``[DONE]``, error objects and undecodable lines drop out."""
+    data = py_strip(F.substring(F.col(value), 6, 1 << 30))
+    seen = lines.where(F.col(value).startswith("data:")).withColumn("_data", data)
+    c = compute_once(seen.where("_data <> '' and _data <> '[DONE]'"), _text=strict_json_text(F.col("_data"))) \
+        .withColumn("_c", F.from_json("_text", CHUNK)).where("_c.choices is not null")
+    choice = F.get("_c.choices", F.lit(0))
+    keep = [x for x in lines.columns if x != value]
+    flat = c.select(*keep, F.col("_c.id").alias("id"), F.col("_c.created").alias("created"), F.col("_c.model").alias("model"),
+                    choice["delta"]["content"].alias("content"), choice["finish_reason"].alias("finish_reason"), "_c.usage",
+                    F.posexplode_outer(choice["delta"]["tool_calls"]).alias("_nth", "_t"))
+    first = F.col("_nth").isNull() | (F.col("_nth") == 0)
+    return flat.select(*keep, "id", "created", "model", F.when(first, F.col("content")).alias("content"), "finish_reason",
+                       F.col("_t.index").alias("tool_index"), F.col("_t.id").alias("tool_id"), F.col("_t.function.name").alias("tool_name"),
+                       F.col("_t.function.arguments").alias("tool_args"),
+                       *[F.col(f"usage.{u}_tokens").alias(f"usage_{u}_tokens") for u in ("prompt", "completion", "total")])
+
+
+def chat_log_report(requests: DataFrame, chunks: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
+    """Requests with their streamed answers: C1-C3 of the body, C11 reassembly, C6 calls
+    still in the text, C8 finish reason, C12 latency and C13 usage.  ``chunks`` is the
+    result of :func:`chunk_rows` with ``seq`` and ``ts``; a request without chunks keeps
+    nulls there."""
+    asked = request_facts(request_params(request_validate(requests, body), body), body).drop(body, REQ, KEYS)
+    whole = chunk_reassemble(chunks, key)
+    calls = F.coalesce(F.transform("tool_calls", lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"))),
+                       F.array().cast(T.ArrayType(U.TOOL_CALL)))
+    answered = tool_call_extract(whole.withColumns({"_streamed": calls, "_text": F.col("content"), "_finish": F.col("finish_reason")})
+                                 .drop("tool_calls", "content", "finish_reason"), "_text")
+    answered = answered.withColumn("tool_calls", F.concat("_streamed", "tool_calls")).withColumn(
+        "finish_reason", F.when(F.size("tool_calls") > 0, F.lit("tool_calls")).otherwise(F.coalesce("_finish", F.lit("length"))))
+    answered = answered.drop("_streamed", "_text", "_finish").join(ttft(chunks, key), key, "left")
+    return asked.join(answered, key, "left")
+
+
 def chunk_reassemble(chunks: DataFrame, key: str = "request_id", seq: str = "seq") -> DataFrame:
     """C11: content joined in order, last non-null finish reason, usage if any.
 

@@ -45,24 +45,22 @@ def explode_samples(formatted: DataFrame, samples: str = "samples", keep: Sequen
 
 # ---------------------------------------------------------------- P2 - P7
 def tokenize_and_mask(samples: DataFrame, context_length: int = CONTEXT_LENGTH,
-                      vocab: TK.HashVocab = TK.DEFAULT_VOCAB,
-                      default_system: str | None = QWEN_DEFAULT_SYSTEM,
-                      encoder=None) -> DataFrame:
+                      encoder: TK.Encoder | None = None,
+                      default_system: str | None = QWEN_DEFAULT_SYSTEM) -> DataFrame:
     """P2-P7 and the status of every sample.
 
-    ``encoder`` maps a text Column to ``ARRAY<INT>``; default is the built-in
-    hashed encoder (user tokenizers: :func:`corvid.functions.udfs.tokenizer_udf`).
+    ``encoder`` brings ids, marker and vocabulary length of one tokenizer; default is the
+    built-in hashed encoder (files: :func:`corvid.functions.udfs.tokenizer_encoder`).
     Rejected rows are never rendered or tokenized.
     """
-    enc = encoder or (lambda c: TK.encode(c, vocab))
+    enc = encoder or TK.hash_encoder()
     text = F.when(~F.col("rejected"), render_chat(F.col("messages"), False, default_system))
-    df = compute_once(samples, _ids_full=enc(text))
+    df = compute_once(samples, _ids_full=enc.ids(text))
     df = df.withColumn("n_tokens", F.size("_ids_full"))
     df = df.withColumn("overflow", F.coalesce(F.col("n_tokens") >= context_length, F.lit(False)))
     ids = F.slice("_ids_full", 1, context_length)
     df = df.withColumn("input_ids", F.when(~F.col("rejected") & ~F.col("overflow"), ids)).drop("_ids_full")
-    df = compute_once(df, labels=TK.clamp_labels(TK.assistant_labels(F.col("input_ids"), vocab=vocab),
-                                                 vocab.full_length))
+    df = compute_once(df, labels=TK.clamp_labels(TK.assistant_labels(F.col("input_ids"), enc.marker), enc.full_length))
     df = df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     status = (F.when(F.col("rejected"), F.lit(REJECTED))
               .when(F.col("overflow"), F.lit(OVERFLOW))
@@ -86,15 +84,19 @@ def take_quota(samples: DataFrame, quota: DataFrame, width: int = 1 << 16) -> Da
     """Rows streamed up to and including the n-th valid sample of each source.
 
     ``quota`` holds (source, n).  Only the raw-index bucket containing the
-    n-th valid sample is ranked; a source that never reaches n keeps all rows.
+    n-th valid sample is ranked; a source that never reaches n keeps all rows, and one
+    with n <= 0 keeps none.
     """
     valid = samples.filter(F.col("status") == VALID).select("source", "raw_idx", "sample_idx")
     cut = nth_row(valid, ["raw_idx", "sample_idx"], int_bucket("raw_idx", width), quota, ["source"])
     cut = cut.select("source", F.col("raw_idx").alias("_cut_raw"), F.col("sample_idx").alias("_cut_s"))
-    j = samples.join(F.broadcast(cut), "source", "left")
-    inside = (F.col("_cut_raw").isNull() | (F.col("raw_idx") < F.col("_cut_raw"))
-              | ((F.col("raw_idx") == F.col("_cut_raw")) & (F.col("sample_idx") <= F.col("_cut_s"))))
-    return j.filter(inside).drop("_cut_raw", "_cut_s")
+    # one row per source; a source without a cut keeps its rows only if it asks for any
+    want = quota.select("source", (F.col("n") > 0).alias("_any")).join(cut, "source", "left")
+    j = samples.join(F.broadcast(want), "source", "left")
+    inside = F.coalesce("_any", F.lit(True)) & (
+        F.col("_cut_raw").isNull() | (F.col("raw_idx") < F.col("_cut_raw"))
+        | ((F.col("raw_idx") == F.col("_cut_raw")) & (F.col("sample_idx") <= F.col("_cut_s"))))
+    return j.filter(inside).drop("_cut_raw", "_cut_s", "_any")
 
 
 def collect_diagnostics(streamed: DataFrame, quota: DataFrame) -> DataFrame:

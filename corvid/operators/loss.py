@@ -1,8 +1,8 @@
 """Token-loss analytics (N1-N4) over scored-token tables.
 
-Input rows: (sample, pos, logits ARRAY<DOUBLE>, label, step).  The shift
-(predict the label at pos+1 from the logits at pos) is a ``lead`` within a
-sample, a group bounded by the context length.
+Input rows: (sample, pos, logits ARRAY<DOUBLE>, step) and either ``labels``, the label
+array of the row's sample, or ``label``, the row's own.  The label at pos + 1 is
+predicted from the logits at pos.
 """
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import IGNORE_INDEX
+from .routing import let
 
 LOGIT_CLAMP = 1e4          # fixed value
 AUX_LOSS_COEF = 0.001      # fixed value: router aux loss coefficient
@@ -21,17 +22,25 @@ def clamp_logits(logits: Column, bound: float = LOGIT_CLAMP) -> Column:
 
 
 def token_nll(scored: DataFrame) -> DataFrame:
-    """N2 per token: -log softmax(logits)[next label]; ignored targets dropped."""
-    w = Window.partitionBy("sample").orderBy("pos")
-    df = scored.withColumn("_target", F.lead("label").over(w))
-    v = F.size("logits")
-    target = F.when((F.col("_target") >= 0) & (F.col("_target") < v), F.col("_target"))   # P6 clamp
-    df = df.withColumn("_t", target).filter(F.col("_t").isNotNull() & (F.col("_target") != IGNORE_INDEX))
-    lg = clamp_logits(F.col("logits"))
-    m = F.array_max(lg)
-    lse = m + F.log(F.aggregate(F.transform(lg, lambda x: F.exp(x - m)), F.lit(0.0).cast("double"),
-                                lambda a, x: a + x))
-    return df.withColumn("nll", lse - F.try_element_at(lg, F.col("_t") + 1)).drop("_target", "_t")
+    """N2 per token: -log softmax(logits)[next label]; ignored targets dropped.
+
+    Where the rows carry their sample's ``labels`` array, the shift is local to the row
+    and no logits are shuffled.  Otherwise the next row's ``label`` is taken within the
+    sample, which moves the rows."""
+    if "labels" in scored.columns:
+        target = F.get("labels", F.col("pos") + 1)
+    else:
+        target = F.lead("label").over(Window.partitionBy("sample").orderBy("pos"))
+    df = scored.withColumn("_t", target)
+    kept = df.where((F.col("_t") != IGNORE_INDEX) & (F.col("_t") >= 0) & (F.col("_t") < F.size("logits")))   # P6 clamp
+
+    def nll(x: Column) -> Column:
+        def lse(m: Column) -> Column:
+            # one pass over the logits; max and target are bound outside the lambda
+            return m + F.log(F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + F.exp(v - m)))
+        return let(F.array_max(x), lse) - F.get(x, F.col("_t"))
+
+    return kept.withColumn("nll", let(clamp_logits(F.col("logits")), nll)).drop("_t")
 
 
 def masked_nll(scored: DataFrame, by: str = "step") -> DataFrame:

@@ -27,12 +27,18 @@ ENTROPY_EPS = 1e-9       # fixed value: added inside the log
 
 
 # ---------------------------------------------------------------- T1 - T3
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, not once per use inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Numerically stable softmax of an array column."""
-    m = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    """Numerically stable softmax of an array column, linear in its length."""
+    def total(e: Column) -> Column:
+        return F.aggregate(e, F.lit(0.0).cast("double"), lambda a, x: a + x)
+
+    return let(logits, lambda x: let(F.array_max(x), lambda m: let(
+        F.transform(x, lambda v: F.exp(v - m)), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))))
 
 
 def topk_experts(scores: Column, k: int = TOP_K) -> Column:
@@ -73,7 +79,8 @@ def expert_load(assign: DataFrame, by=("layer",)) -> DataFrame:
                                              F.sum("weight").alias("weight_sum"))
 
 
-def combine_weighted(assign: DataFrame, expert_out: DataFrame, token_keys=("step", "token", "layer")) -> DataFrame:
+def combine_weighted(assign: DataFrame, expert_out: DataFrame,
+                     token_keys=("session", "step", "token", "layer")) -> DataFrame:
     """T5: scale each expert's per-token output by its weight and sum back per token.
 
     ``expert_out`` holds (token keys..., expert, dim, value); joining on the
@@ -92,25 +99,31 @@ def _pack(prefix: str, num_experts: int) -> Column:
     return F.array(*[F.col(f"{prefix}{e}") for e in range(num_experts)])
 
 
+def expert_hits(top: Column, num_experts: int = NUM_EXPERTS) -> Column:
+    """One-hot hits of the chosen experts, one number per expert."""
+    def hits(e: int) -> Column:
+        return F.size(F.filter(top, lambda t: t == e)).cast("long")
+    return F.array(*[hits(e) for e in range(num_experts)])
+
+
 def layer_expert_counts(routed: DataFrame, num_experts: int = NUM_EXPERTS,
-                        report_col: str | None = None) -> DataFrame:
+                        report_col: str = "report") -> DataFrame:
     """Expert hit counts per (session, step, layer); zero-hit experts are 0.
 
-    With ``report_col`` a repeated report of one layer keeps only its latest
-    report (T7's overwrite rule).
+    If a layer of a step was reported more than once, its latest report counts (T7's
+    overwrite rule); reports are told apart by ``report_col`` where the table has it.
     """
-    df = routed
-    if report_col is not None:
-        w = Window.partitionBy("session", "step", "layer")
-        df = df.withColumn("_last", F.max(report_col).over(w)).filter(F.col(report_col) == F.col("_last"))
-    onehot = F.transform(F.sequence(F.lit(0), F.lit(num_experts - 1)),
-                         lambda e: F.size(F.filter(F.col("top"), lambda t: t == e)).cast("long"))
-    df = df.withColumn("_hits", onehot)
-    agg = df.groupBy("session", "step", "layer").agg(
+    keys = ["session", "step", "layer"]
+    reports = [report_col] if report_col in routed.columns else []
+    agg = routed.withColumn("_hits", expert_hits(F.col("top"), num_experts)).groupBy(*keys, *reports).agg(
         *_expert_sums(F.col("_hits"), num_experts, "_h"),
         F.count(F.lit(1)).alias("n_tokens"),
-        (F.max("t_sec") if "t_sec" in df.columns else F.lit(None).cast("double")).alias("t_sec"))
-    return agg.select("session", "step", "layer", _pack("_h", num_experts).alias("counts"), "n_tokens", "t_sec")
+        (F.max("t_sec") if "t_sec" in routed.columns else F.lit(None).cast("double")).alias("t_sec"))
+    out = agg.select(*keys, *reports, _pack("_h", num_experts).alias("counts"), "n_tokens", "t_sec")
+    if not reports:
+        return out
+    last = out.groupBy(*keys).agg(F.max_by(F.struct("counts", "n_tokens", "t_sec"), report_col).alias("_r"))
+    return last.select(*keys, "_r.*")
 
 
 def complete_steps(layer_counts: DataFrame, num_layers: int) -> DataFrame:
@@ -143,19 +156,24 @@ def step_summary(layer_counts: DataFrame, num_experts: int = NUM_EXPERTS,
         F.count(F.lit(1)).alias("_nl"))
     if num_layers is not None:
         agg = agg.filter(F.col("_nl") == num_layers)
-    total = sum((F.col(f"_t{e}") for e in range(num_experts)), F.lit(0))
-    pct = F.array(*[F.when(total > 0, F.col(f"_t{e}") / total * 100.0).otherwise(F.lit(0.0))
-                    for e in range(num_experts)])
+    pct, entropy = share_and_entropy([F.col(f"_t{e}") for e in range(num_experts)])
+    return agg.select("session", "step", "t_sec", pct.alias("expert_pct"), entropy.alias("entropy_pct"),
+                      F.transform(F.col("_layers"), lambda z: z["_dom"]).alias("layer_experts"))
+
+
+def share_and_entropy(totals: list[Column]) -> tuple[Column, Column]:
+    """T8 shares and T10 entropy from the hit totals of a step."""
+    total = sum(totals, F.lit(0))
+    pct = F.array(*[F.when(total > 0, t / total * 100.0).otherwise(F.lit(0.0)) for t in totals])
     # fixed value: an empty step is scored as uniform over 8 experts
-    probs = F.when(total > 0, F.array(*[F.col(f"_t{e}") / total for e in range(num_experts)])) \
-        .otherwise(F.array_repeat(F.lit(1.0 / 8), 8))
-    ent = -F.aggregate(probs, F.lit(0.0).cast("double"),
-                       lambda a, p: a + p * F.log2(p + F.lit(ENTROPY_EPS)))
-    return agg.select(
-        "session", "step", "t_sec",
-        pct.alias("expert_pct"),
-        (ent / F.log2(F.lit(float(num_experts))) * 100.0).alias("entropy_pct"),
-        F.transform(F.col("_layers"), lambda z: z["_dom"]).alias("layer_experts"))
+    probs = F.when(total > 0, F.array(*[t / total for t in totals])).otherwise(F.array_repeat(F.lit(1.0 / 8), 8))
+    ent = -F.aggregate(probs, F.lit(0.0).cast("double"), lambda a, p: a + p * F.log2(p + F.lit(ENTROPY_EPS)))
+    return pct, ent / F.log2(F.lit(float(len(totals)))) * 100.0
+
+
+def rate_of(avg_gap: Column) -> Column:
+    """Steps per second of a mean gap; 1 before the first gap, 0 for gaps of no length."""
+    return F.when(avg_gap.isNull(), F.lit(1.0)).when(avg_gap > 0, 1.0 / avg_gap).otherwise(F.lit(0.0))
 
 
 def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFrame:
@@ -166,7 +184,7 @@ def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFra
     w10 = w.rowsBetween(-(RATE_WINDOW - 1), 0)
     wcum = w.rowsBetween(Window.unboundedPreceding, 0)
     avg_gap = F.avg("_gap").over(w10)
-    rate = F.when(avg_gap.isNull(), F.lit(1.0)).when(avg_gap > 0, 1.0 / avg_gap).otherwise(F.lit(0.0))
+    rate = rate_of(avg_gap)
     savg = F.array(*[F.avg(F.try_element_at("expert_pct", F.lit(e + 1))).over(wcum) for e in range(num_experts)])
     return (df.withColumn("tokens_per_sec_raw", rate)
             .withColumn("session_avg", savg)
@@ -175,7 +193,7 @@ def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFra
 
 
 def routing_events(logits_df: DataFrame, num_layers: int, k: int = TOP_K,
-                   num_experts: int = NUM_EXPERTS, report_col: str | None = None) -> DataFrame:
+                   num_experts: int = NUM_EXPERTS, report_col: str = "report") -> DataFrame:
     """The routing event per complete step, values rounded to 1 decimal at the edge.
 
     Layer counts are hash-partitioned once more by session only (small,
@@ -210,17 +228,13 @@ def routing_matrix(events: DataFrame, num_layers: int = MATRIX_LAYERS, seq_col:
     ``num_layers`` cells, so the re-pack is a bounded group.
     """
     seq = seq_col or "step"
-    cells = (events.select("session", "token_index", F.col(seq).alias("_seq"),
-                           F.posexplode("layer_experts").alias("layer", "expert"))
-             .filter(F.col("layer") < num_layers))
-    latest = cells.groupBy("session", "token_index", "layer").agg(
-        F.max_by("expert", "_seq").alias("expert"))
-    per_tok = latest.groupBy("session", "token_index").agg(
-        F.map_from_entries(F.collect_list(F.struct("layer", "expert"))).alias("_m"))
-    per_tok = per_tok.filter(F.col("_m")[0].isNotNull())
-    full = F.transform(F.sequence(F.lit(0), F.lit(num_layers - 1)),
-                       lambda l: F.coalesce(F.col("_m")[l], F.lit(-1)))
-    return per_tok.select("session", "token_index", F.posexplode(full).alias("layer", "expert"))
+    # one array per token: per layer the expert of the latest event that reported it
+    per_tok = events.groupBy("session", "token_index").agg(*[
+        F.max_by(F.get("layer_experts", F.lit(l)), F.when(F.size("layer_experts") > l, F.col(seq))).alias(f"_c{l}")
+        for l in range(num_layers)])
+    full = F.array(*[F.coalesce(F.col(f"_c{l}"), F.lit(-1)) for l in range(num_layers)])
+    return (per_tok.where(F.col("_c0").isNotNull())
+            .select("session", "token_index", F.posexplode(full).alias("layer", "expert")))
 
 
 def routing_summary(events: DataFrame, num_layers: int = MATRIX_LAYERS) -> DataFrame:

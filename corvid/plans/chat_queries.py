@@ -11,6 +11,11 @@ from .registry import register
 EOS = DEFAULT_VOCAB.eos_id
 CALL_FORMS = (0, 1, 2, 4, 6)     # v_tool_text forms (event_id % 8) that hold one call
 
+# the strict reading of a body: repeated keys keep the last (form 5), trailing text is no JSON (form 6)
+D_REQ = """
+r AS (SELECT request_id, CASE WHEN form = 6 THEN NULL WHEN form = 5 THEN
+  '{"messages":' || regexp_extract(body, '"messages":\\[\\], "messages":(.*), "max_tokens":7\\}$', 1, 's') || ',"max_tokens":7}' ELSE body END AS body
+ FROM v_requests)"""
 D_NUM = "TRY_CAST(json_extract_string(body, '$.{k}') AS DOUBLE)"
 
 
@@ -20,50 +25,45 @@ def _d_opt(k, d):
 
 D_PARAMS = f"""
 SELECT request_id,
- least(CAST(trunc(coalesce({D_NUM.format(k='max_tokens')}, {D_NUM.format(k='max_completion_tokens')}, 512.0)) AS BIGINT), 4096) AS max_new_tokens,
- {_d_opt('temperature', 0.2)} AS temperature, {_d_opt('top_p', 0.95)} AS top_p, {_d_opt('top_k', 50.0)} AS top_k,
+ CASE WHEN json_extract_string(body, '$.max_tokens') IS NOT NULL AND {D_NUM.format(k='max_tokens')} IS NULL THEN NULL ELSE
+ least(CAST(trunc(coalesce({D_NUM.format(k='max_tokens')}, {D_NUM.format(k='max_completion_tokens')}, 512.0)) AS BIGINT), 4096) END AS max_new_tokens,
+ {_d_opt('temperature', 0.2)} AS temperature, {_d_opt('top_p', 0.95)} AS top_p, CAST({_d_opt('top_k', 50.0)} AS INTEGER) AS top_k,
  {_d_opt('repetition_penalty', 1.05)} AS repetition_penalty,
  coalesce(nullif(json_extract_string(body, '$.model'), ''), 'default') AS model_name,
  coalesce({_d_opt('temperature', 0.2)} > 0, false) AS do_sample
-FROM v_requests"""
+FROM r"""
 
 D_FACTS = """
 SELECT request_id, CAST(coalesce(json_array_length(body, '$.messages'), 0) AS BIGINT) AS n_messages,
  coalesce(json_array_length(body, '$.tools'), 0) > 0 AS has_tools,
  coalesce(json_extract_string(body, '$.stream') = 'true', false) AS stream,
  coalesce(json_extract_string(body, '$.stream_options.include_usage') = 'true', false) AS include_usage
-FROM v_requests"""
+FROM r"""
 
-D_STATUS = """
-SELECT request_id, CASE WHEN coalesce(json_array_length(body, '$.messages'), 0) > 0 THEN 'ok'
- ELSE 'invalid_request_error' END AS status FROM v_requests"""
+D_MESSAGE = f"""CASE WHEN body IS NULL THEN 'the body is not a JSON object'
+  WHEN coalesce(json_array_length(body, '$.messages'), 0) = 0 THEN 'messages is required and must be non-empty'
+  WHEN json_extract_string(body, '$.max_tokens') IS NOT NULL AND {D_NUM.format(k='max_tokens')} IS NULL THEN 'max_tokens is not a number' END"""
+D_STATUS = f"""
+SELECT request_id, CASE WHEN {D_MESSAGE} IS NULL THEN 'ok' ELSE 'invalid_request_error' END AS status, {D_MESSAGE} AS error_message FROM r"""
 
 
 def _requests(spark, sf):
     return view(spark, sf, "v_requests")
 
 
-@register("request_validate", ("v_requests",), D_STATUS)
+@register("request_validate", ("v_requests",), "WITH " + D_REQ.strip() + D_STATUS)
 def q_validate(spark, sf):
-    return CH.request_validate(_requests(spark, sf)).select("request_id", "status")
+    return CH.request_validate(_requests(spark, sf)).select("request_id", "status", F.col("error.message").alias("error_message"))
 
 
-@register("request_params", ("v_requests",), D_PARAMS)
+@register("request_params", ("v_requests",), "WITH " + D_REQ.strip() + D_PARAMS)
 def q_params(spark, sf):
-    return CH.request_params(_requests(spark, sf)).drop("body", CH.REQ, CH.KEYS)
+    return CH.request_params(_requests(spark, sf)).drop("body", "form", "n_turns", CH.REQ, CH.KEYS)
 
 
-@register("request_facts", ("v_requests",), D_FACTS)
+@register("request_facts", ("v_requests",), "WITH " + D_REQ.strip() + D_FACTS)
 def q_facts(spark, sf):
-    return CH.request_facts(_requests(spark, sf)).drop("body", CH.REQ, CH.KEYS)
-
-
-@register("chat_report", ("v_requests",), f"""
-WITH st AS ({D_STATUS}), pa AS ({D_PARAMS}), fa AS ({D_FACTS})
-SELECT * FROM st JOIN pa USING (request_id) JOIN fa USING (request_id)""")
-def q_chat_report(spark, sf):
-    r = _requests(spark, sf)
-    return CH.request_facts(CH.request_params(CH.request_validate(r))).drop("body", CH.REQ, CH.KEYS)
+    return CH.request_facts(_requests(spark, sf)).drop("body", "form", "n_turns", CH.REQ, CH.KEYS)
 
 
 @register("messages_prepare", ("v_tool_history",), """
@@ -139,10 +139,11 @@ def q_finish(spark, sf):
     return _completions(spark, sf).select("request_id", "finish_reason")
 
 
-@register("completion_record", ("v_completion_log",), _d_calls() + f""",
+@register("completion_record", ("v_completion_log", "v_tool_text"), _d_calls() + f""",
 l AS (SELECT * FROM v_completion_log)
 SELECT l.request_id AS id, 'chat.completion' AS object, coalesce(l.model, 'default') AS model,
- nullif(c.content, '') AS content, c.n_calls AS n_tool_calls, {D_FINISH.replace('request_id', 'l.request_id')} AS finish_reason,
+ nullif(c.content, '') AS content, c.n_calls AS n_tool_calls,
+ CASE WHEN c.n_calls > 0 THEN 'call_' || substr(md5(CAST(l.request_id AS VARCHAR) || '-0'), 1, 24) END AS call_id, c.name AS call_name, {D_FINISH.replace('request_id', 'l.request_id')} AS finish_reason,
  coalesce(prompt_tokens_exact, prompt_tokens_est) AS prompt_tokens, completion_tokens,
  coalesce(prompt_tokens_exact, prompt_tokens_est) + completion_tokens AS total_tokens
 FROM l JOIN c ON c.request_id = l.request_id""")
@@ -152,8 +153,10 @@ def q_record(spark, sf):
         .withColumn("prompt_tokens", F.coalesce("prompt_tokens_exact", "prompt_tokens_est"))
     r = CH.completion_record(x)
     ch = F.col("choices")[0]
+    call = F.get(ch["message"]["tool_calls"], F.lit(0))
     return r.select("id", "object", "model", ch["message"]["content"].alias("content"),
                     F.coalesce(F.size(ch["message"]["tool_calls"]), F.lit(0)).alias("n_tool_calls"),
+                    call["id"].alias("call_id"), call["function"]["name"].alias("call_name"),
                     ch["finish_reason"].alias("finish_reason"),
                     F.col("usage.prompt_tokens").alias("prompt_tokens"),
                     F.col("usage.completion_tokens").alias("completion_tokens"),
@@ -185,3 +188,55 @@ SELECT model, count(*) AS n_requests, CAST(sum(coalesce(prompt_tokens_exact, pro
 FROM v_completion_log GROUP BY model""")
 def q_usage(spark, sf):
     return CH.usage_totals(view(spark, sf, "v_completion_log"))
+
+
+# the served log by the rules of its lines: text after the object (x) is no JSON, the last of repeated keys wins
+D_CHUNKS = """
+l AS (SELECT request_id, seq, ts, trim(substr(line, 6)) AS j FROM v_chunk_lines WHERE starts_with(line, 'data:')),
+j AS (SELECT request_id, seq, ts, CASE WHEN j LIKE '%"content":"a","content":"b"%' THEN replace(j, '"content":"a",', '') ELSE j END AS j
+      FROM l WHERE j <> '[DONE]' AND NOT j LIKE '%} x'),
+k AS (SELECT request_id, seq, ts, json_extract_string(j, '$.choices[0].delta.content') AS content,
+  json_extract_string(j, '$.choices[0].finish_reason') AS finish_reason,
+  CAST(json_extract(j, '$.choices[0].delta.tool_calls') AS JSON[]) AS deltas, json_extract(j, '$.usage') AS usage FROM j),
+d AS (SELECT request_id, seq, generate_subscripts(deltas, 1) AS nth, unnest(deltas) AS t FROM k WHERE deltas IS NOT NULL),
+tc AS (SELECT request_id, CAST(json_extract(t, '$.index') AS INTEGER) AS idx,
+  arg_max(json_extract_string(t, '$.function.name'), seq) FILTER (WHERE json_extract_string(t, '$.function.name') IS NOT NULL) AS name,
+  string_agg(json_extract_string(t, '$.function.arguments'), '' ORDER BY seq, nth) AS args FROM d GROUP BY 1, 2),
+tcs AS (SELECT request_id, count(*) AS n_tools, string_agg(coalesce(name, '?') || args, ' ' ORDER BY idx) AS tools FROM tc GROUP BY 1),
+whole AS (SELECT request_id, string_agg(content, '' ORDER BY seq) AS content,
+  arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason,
+  CAST(json_extract(arg_max(usage, seq) FILTER (WHERE usage IS NOT NULL), '$.total_tokens') AS BIGINT) AS total_tokens,
+  round((min(epoch_us(ts)) FILTER (WHERE content <> '') - min(epoch_us(ts))) / 1e6, 6) AS ttft_sec,
+  round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 6) AS total_sec FROM k GROUP BY 1)"""
+
+
+def _chunk_rows(spark, sf):
+    return CH.chunk_rows(view(spark, sf, "v_chunk_lines"), "line")
+
+
+@register("chunk_log_reassemble", ("v_chunk_lines",), "WITH " + D_CHUNKS.strip() + """
+SELECT request_id, coalesce(content, '') AS content, finish_reason, total_tokens, coalesce(tools, '') AS tools
+FROM whole LEFT JOIN tcs USING (request_id)""")
+def q_chunk_log(spark, sf):
+    w = CH.chunk_reassemble(_chunk_rows(spark, sf))
+    tools = F.array_join(F.transform("tool_calls", lambda c: F.concat(F.coalesce(c["name"], F.lit("?")), c["arguments"])), " ")
+    return w.select("request_id", "content", "finish_reason", F.col("usage_total_tokens").alias("total_tokens"),
+                    F.coalesce(tools, F.lit("")).alias("tools"))
+
+
+@register("chat_report", ("v_requests", "v_chunk_lines"), f"""
+WITH {D_REQ.strip()}, st AS ({D_STATUS}), pa AS ({D_PARAMS}), fa AS ({D_FACTS}), {D_CHUNKS.strip()},
+an AS (SELECT request_id, CASE WHEN json_valid(content) THEN '' ELSE coalesce(content, '') END AS content,
+  coalesce(n_tools, 0) + CASE WHEN json_valid(content) THEN 1 ELSE 0 END AS n_calls, finish_reason, total_tokens, ttft_sec, total_sec
+  FROM whole LEFT JOIN tcs USING (request_id))
+SELECT st.*, pa.* EXCLUDE request_id, fa.* EXCLUDE request_id, content, CAST(n_calls AS INTEGER) AS n_calls,
+ CASE WHEN n_calls > 0 THEN 'tool_calls' WHEN n_calls IS NOT NULL THEN coalesce(finish_reason, 'length') END AS finish_reason,
+ total_tokens, ttft_sec, total_sec
+FROM st JOIN pa USING (request_id) JOIN fa USING (request_id) LEFT JOIN an USING (request_id)""")
+def q_chat_report(spark, sf):
+    r = CH.chat_log_report(_requests(spark, sf).drop("form", "n_turns"), _chunk_rows(spark, sf))
+    return r.select(*[c for c in r.columns if c not in ("error", "tool_calls", "n_chunks", "ttft_sec", "total_sec")
+                      and not c.startswith("usage_")], F.col("error.message").alias("error_message"),
+                    F.when(F.col("tool_calls").isNotNull(), F.size("tool_calls")).alias("n_calls"),
+                    F.col("usage_total_tokens").alias("total_tokens"), F.round("ttft_sec", 6).alias("ttft_sec"),
+                    F.round("total_sec", 6).alias("total_sec"))

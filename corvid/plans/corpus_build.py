@@ -74,7 +74,7 @@ class CorpusResult:
             counts = self.valid_counts or {r[0]: r[1] for r in collected.groupBy("source").count().collect()}
             empty = [n for n in self._names if counts.get(n, 0) == 0]
             if empty:
-                raise RuntimeError(f"{empty[0]} produced zero samples")
+                raise RuntimeError(f"no valid sample from {empty[0]}")
         return collected
 
     @cached_property
@@ -112,16 +112,6 @@ def keys_at(requests) -> dict:
     return {name: found.get(name) for name, _, _, _ in requests}
 
 
-def key_at(df: DataFrame, key: str, pos: int):
-    """The key of the row at 0-based stream position ``pos`` (None past the end).
-
-    Only per-bucket counts of the key column and one bucket's ranks are computed.
-    """
-    q = df.sparkSession.createDataFrame([(0, pos + 1)], "_g int, n long")
-    r = nth_row(df.select(key).withColumn("_g", F.lit(0)), [key], int_bucket(key), q, ["_g"]).collect()
-    return r[0][key] if r else None
-
-
 def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materialize: bool,
                    first_rows: int | None = None, min_rows: int = 4096, valid_out: dict | None = None) -> DataFrame:
     """Early stop (the reference streams until the quota is full).
@@ -148,9 +138,7 @@ def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materiali
             st = state[src.name]
             st["hi"] = his[src.name]
             parts.append(make(src, st["lo"], st["hi"], st["start"]))
-        part = parts[0]
-        for p in parts[1:]:
-            part = part.unionByName(p)
+        part = C.align_union(parts)
         if materialize:
             part = cut_lineage(part)
         pieces.append(part)
@@ -166,10 +154,7 @@ def prefix_samples(sources: Sequence[CorpusSource], quota: dict, make, materiali
             st["start"], st["lo"], st["size"] = st["start"] + st["size"], st["hi"], int(max(2 * st["size"], need))
     if valid_out is not None:
         valid_out.update({k: v["valid"] for k, v in state.items()})
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out
+    return C.align_union(pieces)
 
 
 def check_weights(sources: Sequence[CorpusSource]) -> None:
@@ -177,9 +162,8 @@ def check_weights(sources: Sequence[CorpusSource]) -> None:
         raise ValueError("dataset weights must sum to 1.0")
 
 
-def source_samples(src: CorpusSource, context_length: int, vocab: TK.HashVocab,
-                   default_system: str | None, encoder=None, key_lo=None, key_hi=None,
-                   offset: int = 0) -> DataFrame:
+def source_samples(src: CorpusSource, context_length: int, encoder: TK.Encoder | None,
+                   default_system: str | None, key_lo=None, key_hi=None, offset: int = 0) -> DataFrame:
     """Samples of one source, optionally only for keys in ``[key_lo, key_hi)``
     whose first row has stream position ``offset`` (the bounds reach the scan)."""
     fmt = src.formatter or resolve(src.name).formatter
@@ -193,13 +177,13 @@ def source_samples(src: CorpusSource, context_length: int, vocab: TK.HashVocab,
         df = df.withColumn("raw_idx", F.col("raw_idx") + F.lit(offset))
     df = df.select(F.lit(src.name).alias("source"), "raw_idx", fmt(df).alias("samples"))
     ex = C.explode_samples(df, keep=("source", "raw_idx"))
-    return C.tokenize_and_mask(ex, context_length, vocab, default_system, encoder)
+    return C.tokenize_and_mask(ex, context_length, encoder, default_system)
 
 
 def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_samples: int,
                  eval_fraction: float = C.EVAL_FRACTION, context_length: int = C.CONTEXT_LENGTH,
-                 seed: int = C.SEED, vocab: TK.HashVocab = TK.DEFAULT_VOCAB,
-                 default_system: str | None = QWEN_DEFAULT_SYSTEM, encoder=None,
+                 seed: int = C.SEED, encoder: TK.Encoder | None = None,
+                 default_system: str | None = QWEN_DEFAULT_SYSTEM,
                  materialize: bool = True, early_stop: bool = True,
                  first_rows: int | None = None) -> CorpusResult:
     """Build the train / eval mix.
@@ -213,6 +197,9 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
     for s in sources:              # unknown names fail before any job
         if s.formatter is None:
             resolve(s.name)
+    for s in sources:
+        if int(total_samples * s.weight) <= 0:
+            raise ValueError(f"{s.name}: {total_samples} samples leave none for a share of {s.weight}")
     names = [s.name for s in sources]
     weights = [s.weight for s in sources]
     spec = spark.createDataFrame([(s.name, float(s.weight), i) for i, s in enumerate(sources)],
@@ -222,15 +209,13 @@ def build_corpus(spark: SparkSession, sources: Sequence[CorpusSource], total_sam
 
     samples = None
     if not early_stop:
-        for s in sources:
-            part = source_samples(s, context_length, vocab, default_system, encoder)
-            samples = part if samples is None else samples.unionByName(part)
+        samples = C.align_union([source_samples(s, context_length, encoder, default_system) for s in sources])
     prefix = None
     if early_stop:
         totals = {s.name: int(total_samples * s.weight) for s in sources}
 
         def make(src, lo, hi, start):
-            return source_samples(src, context_length, vocab, default_system, encoder, lo, hi, start).drop("messages")
+            return source_samples(src, context_length, encoder, default_system, lo, hi, start).drop("messages")
 
         def prefix():
             return prefix_samples(sources, totals, make, materialize, first_rows, valid_out=result.valid_counts)

@@ -16,7 +16,8 @@ from .corpus_build import CorpusSource, build_corpus
 from .registry import register
 
 CTX = 512            # context length of the fixture runs (the reference smoke-test setting)
-TOTAL = 300          # total samples of the fixture mix
+# the mix asks for as many samples as there are turn pairs, so it grows with the tables
+D_TOTAL = "(SELECT count(*) FROM v_pairs)"
 # The three-source fixture mix (weights 0.55 / 0.28 / 0.17).
 MIX = (("opencode_instruct", 0.55, "v_scored"), ("codealpaca", 0.28, "v_alpaca"),
        ("code_feedback", 0.17, "v_query_answer"))
@@ -310,7 +311,7 @@ samples AS (SELECT source, raw_idx, sample_idx, input_ids, labels,
   CASE WHEN rejected THEN 'format_rejected' WHEN overflow THEN 'context_overflow'
        WHEN len(list_filter(labels, lambda l: l <> -100)) = 0 THEN 'all_labels_masked' ELSE 'valid' END AS status FROM t4),
 spec AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {w}, {i})" for i, (n, w, _) in enumerate(MIX))}) t(source, weight, ord)),
-alloc AS (SELECT source, weight, CAST(floor({TOTAL}.0 * weight) AS BIGINT) AS total_alloc FROM spec),
+alloc AS (SELECT source, weight, CAST(floor({D_TOTAL} * CAST(weight AS DOUBLE)) AS BIGINT) AS total_alloc FROM spec),
 alloc2 AS (SELECT *, greatest(1, CAST(floor(total_alloc * 0.05) AS BIGINT)) AS eval_alloc FROM alloc),
 vr AS (SELECT source, raw_idx, sample_idx, row_number() OVER (PARTITION BY source ORDER BY raw_idx, sample_idx) AS vrank
   FROM samples WHERE status = 'valid'),
@@ -347,7 +348,8 @@ def _d_interleave(label):
 
 
 def _mix(spark, sf, materialize=True):
-    return build_corpus(spark, _sources(spark, sf), TOTAL, context_length=CTX, materialize=materialize)
+    sources = _sources(spark, sf)
+    return build_corpus(spark, sources, spark.table("v_pairs").count(), context_length=CTX, materialize=materialize)
 
 
 def _streamed(spark, sf):
@@ -401,13 +403,19 @@ def q_split(spark, sf):
 
 
 @register("align_union", MIX_VIEWS, D_MIX + """
-SELECT split, source, count(*) AS n_rows, CAST(sum(len(input_ids)) AS BIGINT) AS n_tokens FROM split GROUP BY 1, 2""")
+SELECT split, source, count(*) AS n_rows, CAST(sum(len(input_ids)) AS BIGINT) AS n_tokens,
+ CAST(sum(raw_idx) AS BIGINT) AS raw_sum FROM split GROUP BY 1, 2""")
 def q_align(spark, sf):
     sp = _mix(spark, sf).split
     frames = [sp.filter(F.col("source") == n) for n, _, _ in MIX]
+    # the other sources come with types of their own and are cast to the first one's
+    frames[1] = frames[1].withColumns({"raw_idx": F.col("raw_idx").cast("string"), "input_ids": F.col("input_ids").cast("array<long>")})
+    frames[2] = frames[2].withColumns({"raw_idx": F.col("raw_idx").cast("double"), "extra": F.lit(1)})
     u = C.align_union(frames)
+    assert u.dtypes == frames[0].dtypes
     return u.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"),
-                                            F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"))
+                                            F.sum(F.size("input_ids")).cast("bigint").alias("n_tokens"),
+                                            F.sum("raw_idx").alias("raw_sum"))
 
 
 @register("weighted_interleave", MIX_VIEWS, D_MIX + _d_interleave("train") + """

@@ -13,7 +13,7 @@ from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import duck as D
 from .registry import register
-from .routing_queries import D_EVENTS, D_METRICS, K, L, E, _events, _logits
+from .routing_queries import D_EVENTS, D_METRICS, _events, router_metrics
 
 _EMPTY = "CAST([] AS VARCHAR[])"
 
@@ -77,7 +77,7 @@ def q_eval_run(spark, sf):
 
 # ------------------------------------------------------------------ N1 - N4
 D_NLL = """
-t AS (SELECT *, lead(label) OVER (PARTITION BY sample ORDER BY pos) AS tgt FROM v_scored_tokens),
+t AS (SELECT *, labels[pos + 2] AS tgt FROM v_scored_tokens),
 k AS (SELECT *, list_transform(logits, lambda x: greatest(least(x, 1e4), -1e4)) AS lg FROM t
       WHERE tgt IS NOT NULL AND tgt <> -100 AND tgt >= 0 AND tgt < len(logits)),
 n AS (SELECT step, list_max(lg) + ln(list_reduce(list_transform(lg, lambda x: exp(x - list_max(lg))), lambda a, b: a + b))
@@ -104,7 +104,7 @@ def q_ppl(spark, sf):
 @register("combined_loss", ("v_logits", "v_scored_tokens"), D_METRICS + "," + D_NLL + """
 SELECT step, round(loss + 0.001 * aux_loss, 6) AS total_loss FROM nl JOIN metrics USING (step)""")
 def q_combined(spark, sf):
-    aux = R.router_metrics(_logits(spark, sf), K, E)
+    aux = router_metrics(spark, sf)
     c = LS.combined_loss(_nll(spark, sf), aux)
     return c.select("step", F.round("total_loss", 6).alias("total_loss"))
 

@@ -23,9 +23,10 @@ def _sum_terms(fmt: str) -> str:
 
 
 # DuckDB: routed logits with probabilities and top-k (ties to the lowest id)
-D_ROUTED = f"""
-WITH r0 AS (SELECT session, step, token, t_sec, layer, logits,
-   list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM v_logits),
+def _d_routed(source: str) -> str:
+    return f"""
+WITH r0 AS (SELECT session, step, token, train_step, t_sec, layer, logits,
+   list_transform(logits, lambda x: exp(x - list_max(logits))) AS ex FROM {source}),
 r1 AS (SELECT *, list_transform(ex, lambda x: x / list_reduce(ex, lambda a, b: a + b)) AS probs FROM r0),
 routed AS (SELECT *, list_transform(list_slice(list_sort(list_transform(probs, lambda v, i: {{'n': -v, 'i': i - 1}})), 1, {K}),
    lambda z: z.i) AS top FROM r1),
@@ -33,8 +34,13 @@ routed_w AS (SELECT *, list_transform(top, lambda t: probs[t + 1]) AS tw FROM ro
 routed2 AS (SELECT *, list_transform(tw, lambda x: x / list_reduce(tw, lambda a, b: a + b)) AS top_w FROM routed_w)
 """
 
+
+D_ROUTED = _d_routed("v_logits")
+# the latest report of each layer
+D_LATEST = _d_routed("(SELECT * FROM v_reports QUALIFY report = max(report) OVER (PARTITION BY session, step, layer))")
+
 _HITS = ",\n ".join(f"sum(len(list_filter(top, lambda x: x = {e}))) AS h{e}" for e in range(E))
-D_LAYER = D_ROUTED + f""",
+_D_STEPS = f""",
 lc AS (SELECT session, step, layer, max(t_sec) AS t_sec, count(*) AS n_tokens,
  {_HITS} FROM routed GROUP BY session, step, layer),
 lcc AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY session, step) AS nl FROM lc) WHERE nl = {L}),
@@ -53,6 +59,8 @@ sw AS (SELECT *, avg(gap) OVER (PARTITION BY session ORDER BY step ROWS BETWEEN
  row_number() OVER (PARTITION BY session ORDER BY step) AS token_index FROM sg),
 ev AS (SELECT *, CASE WHEN avg_gap IS NULL THEN 1.0 WHEN avg_gap > 0 THEN 1.0 / avg_gap ELSE 0.0 END AS rate FROM sw)
 """
+D_LAYER = D_ROUTED + _D_STEPS
+D_REPORTED = D_LATEST + _D_STEPS
 
 
 def _routed(spark, sf):
@@ -96,23 +104,23 @@ def q_dispatch(spark, sf):
 
 # expert outputs derived from the logits: value(expert e, dim d) = (e + 1) * logits[(e + d) % 8]
 @register("combine_weighted", ("v_logits",), D_ROUTED + """,
-a AS (SELECT step, token, layer, top[s] AS expert, top_w[s] AS weight, logits FROM routed2, range(1, 3) t(s)),
-o AS (SELECT step, token, layer, d AS dim, sum(weight * (expert + 1) * logits[((expert + d) % 8) + 1]) AS v
-      FROM a, range(4) u(d) GROUP BY 1, 2, 3, 4)
-SELECT step, token, layer, dim, round(v, 6) AS value FROM o""")
+a AS (SELECT session, step, token, layer, top[s] AS expert, top_w[s] AS weight, logits FROM routed2, range(1, 3) t(s)),
+o AS (SELECT session, step, token, layer, d AS dim, sum(weight * (expert + 1) * logits[((expert + d) % 8) + 1]) AS v
+      FROM a, range(4) u(d) GROUP BY 1, 2, 3, 4, 5)
+SELECT session, step, token, layer, dim, round(v, 6) AS value FROM o""")
 def q_combine(spark, sf):
     lg = _logits(spark, sf)
     routed = R.route(lg, K)
-    assign = R.dispatch_assignments(routed).drop("session", "t_sec")
-    expert_out = (lg.select("step", "token", "layer", "logits",
+    assign = R.dispatch_assignments(routed).drop("t_sec", "train_step")
+    expert_out = (lg.select("session", "step", "token", "layer", "logits",
                             F.explode(F.sequence(F.lit(0), F.lit(E - 1))).alias("expert"))
-                  .select("step", "token", "layer", "expert", F.posexplode(F.array_repeat(F.lit(0), 4)).alias("dim", "_z"),
+                  .select("session", "step", "token", "layer", "expert", F.posexplode(F.array_repeat(F.lit(0), 4)).alias("dim", "_z"),
                           "logits")
-                  .select("step", "token", "layer", "expert", "dim",
+                  .select("session", "step", "token", "layer", "expert", "dim",
                           ((F.col("expert") + 1) * F.try_element_at("logits", ((F.col("expert") + F.col("dim")) % 8) + 1))
                           .alias("value")))
-    out = R.combine_weighted(assign, expert_out, ("step", "token", "layer"))
-    return out.select("step", "token", F.col("layer").cast("bigint").alias("layer"),
+    out = R.combine_weighted(assign, expert_out)
+    return out.select("session", "step", "token", F.col("layer").cast("bigint").alias("layer"),
                       F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
@@ -120,22 +128,22 @@ def _layer_counts(spark, sf):
     return R.layer_expert_counts(_routed(spark, sf), E)
 
 
-@register("layer_expert_counts", ("v_logits",), D_LAYER + f"""
+@register("layer_expert_counts", ("v_reports",), D_REPORTED + f"""
 SELECT session, step, layer, e AS expert,
  CAST(CASE e {" ".join(f"WHEN {e} THEN h{e}" for e in range(E))} END AS BIGINT) AS hits
 FROM lc, range(8) t(e)""")
 def q_layer_counts(spark, sf):
-    lc = _layer_counts(spark, sf)
+    lc = R.layer_expert_counts(R.route(view(spark, sf, "v_reports"), K), E)
     return lc.select("session", "step", F.col("layer").cast("bigint").alias("layer"),
                      F.posexplode("counts").alias("expert", "hits")) \
         .select("session", "step", "layer", F.col("expert").cast("bigint").alias("expert"),
                 F.col("hits").cast("bigint").alias("hits"))
 
 
-@register("complete_steps", ("v_logits",), D_LAYER + """
+@register("complete_steps", ("v_reports",), D_REPORTED + """
 SELECT session, step, count(*) AS n_layers, CAST(sum(n_tokens) AS BIGINT) AS n_token_rows FROM lcc GROUP BY 1, 2""")
 def q_complete(spark, sf):
-    lc = R.complete_steps(_layer_counts(spark, sf), L)
+    lc = R.complete_steps(R.layer_expert_counts(R.route(view(spark, sf, "v_reports"), K), E), L)
     return lc.groupBy("session", "step").agg(F.count(F.lit(1)).alias("n_layers"),
                                              F.sum("n_tokens").alias("n_token_rows"))
 
@@ -239,12 +247,12 @@ def q_summary(spark, sf):
 
 
 D_METRICS = D_ROUTED + f""",
-pl AS (SELECT step, layer,
+pl AS (SELECT train_step AS step, layer,
   avg(-(0.0 + {" + ".join(f"probs[{e + 1}] * ln(probs[{e + 1}] + 1e-9)" for e in range(E))})) AS ent,
   {", ".join(f"avg(probs[{e + 1}]) AS u{e}" for e in range(E))},
   {", ".join(f"sum(CASE WHEN list_contains(top, {e}) THEN 1 ELSE 0 END) AS f{e}" for e in range(E))},
   {", ".join(f"sum(probs[{e + 1}]) AS p{e}" for e in range(E))}, count(*) AS n
-  FROM routed GROUP BY step, layer),
+  FROM routed GROUP BY train_step, layer),
 ps AS (SELECT step, avg(ent) AS routing_entropy_raw, {", ".join(f"avg(u{e}) AS u{e}" for e in range(E))},
   {", ".join(f"sum(f{e}) AS f{e}" for e in range(E))}, {", ".join(f"sum(p{e}) AS p{e}" for e in range(E))}, sum(n) AS n
   FROM pl GROUP BY step),
@@ -253,8 +261,13 @@ metrics AS (SELECT step, routing_entropy_raw, {", ".join(f"u{e}" for e in range(
 """
 
 
+def router_metrics(spark, sf):
+    lg = _logits(spark, sf).withColumn("step", F.col("train_step"))
+    return R.router_metrics(lg, K, E)
+
+
 def _metrics(spark, sf):
-    return R.router_metrics(_logits(spark, sf), K, E)
+    return router_metrics(spark, sf)
 
 
 @register("router_entropy_nats", ("v_logits",), D_METRICS + """

@@ -76,26 +76,21 @@ FROM v_pairs
 _view("v_code", (), """
 SELECT doc_id, CASE doc_id%3 WHEN 0 THEN ' Python ' WHEN 1 THEN 'java' ELSE 'go' END AS language,
  CASE doc_id%3
-   WHEN 0 THEN CASE doc_id%2 WHEN 0 THEN 'def f(x):' ELSE 'def f(x: int):' END || chr(10) || '    """' || source || '"""' || chr(10) || '    return x'
-   WHEN 1 THEN '/** ' || source || ' */ int f() { /** keep */ return 1; }'
+   WHEN 0 THEN CASE doc_id%2 WHEN 0 THEN 'def f(x):' ELSE 'def f(x: int):' END || chr(10) || '    \"\"\"' || text || '\"\"\"' || chr(10) || '    return x'
+   WHEN 1 THEN '/** ' || text || ' */ int f() { /** keep */ return 1; }'
    ELSE 'func f() {}' END AS func_code_string,
- source AS func_documentation_string
+ text AS func_documentation_string
 FROM documents
 """)
 
-_view("v_lang4", (), """
-SELECT doc_id, source AS content,
- CASE WHEN doc_id%2=0 THEN 'J' || source END AS java, CASE WHEN doc_id%3=0 THEN 'C' || source END AS `c++`,
- CASE WHEN doc_id%5<>0 THEN 'P' || source END AS python,
- CASE WHEN doc_id%7=0 THEN ' ' ELSE 'S' || source END AS javascript
+_LANG4 = """
+SELECT doc_id, text AS content,
+ CASE WHEN doc_id%2=0 THEN 'J' || text END AS java, CASE WHEN doc_id%3=0 THEN 'C' || text END AS {cpp},
+ CASE WHEN doc_id%5<>0 THEN 'P' || text END AS python,
+ CASE WHEN doc_id%7=0 THEN ' ' ELSE 'S' || text END AS javascript
 FROM documents
-""", """
-SELECT doc_id, source AS content,
- CASE WHEN doc_id%2=0 THEN 'J' || source END AS java, CASE WHEN doc_id%3=0 THEN 'C' || source END AS "c++",
- CASE WHEN doc_id%5<>0 THEN 'P' || source END AS python,
- CASE WHEN doc_id%7=0 THEN ' ' ELSE 'S' || source END AS javascript
-FROM documents
-""")
+"""
+_view("v_lang4", (), _LANG4.format(cpp="`c++`"), _LANG4.format(cpp='"c++"'))
 
 _view("v_schema_q", (), """
 SELECT doc_id AS raw_id,
@@ -111,31 +106,44 @@ SELECT doc_id AS raw_id,
 FROM documents
 """)
 
-_view("v_logits_keys", (), """
-SELECT vec_id, CAST(floor(vec_id/50) AS BIGINT) AS session, CAST(floor(vec_id/2) AS BIGINT) AS step, vec_id%2 AS token,
- CAST(CAST(floor(vec_id/2) AS BIGINT)*0.5 + (CAST(floor(vec_id/2) AS BIGINT)%3)*0.125 AS DOUBLE) AS t_sec
-FROM embeddings WHERE NOT (vec_id%2=1 AND CAST(floor(vec_id/2) AS BIGINT)%3=0)
+# One pass over all embeddings: 64 values are 8 layers x 8 experts.  A session has 50 rows;
+# its steps start from 0 again and have two tokens and one token by turns.
+_LOGIT_ROWS = """SELECT CAST(floor(vec_id/50) AS BIGINT) AS session, CAST(floor((vec_id%50)*2/3) AS BIGINT) AS step,
+ CASE WHEN (vec_id%50)%3=1 THEN 1 ELSE 0 END AS token, CAST(floor(vec_id/2) AS BIGINT) AS train_step,
+ CAST(floor((vec_id%50)*2/3)*0.5 + (CAST(floor((vec_id%50)*2/3) AS BIGINT)%3)*0.125 AS DOUBLE) AS t_sec, embedding FROM embeddings"""
+
+_view("v_logits", (), f"""
+SELECT session, step, token, train_step, t_sec, layer, transform(slice(embedding, layer*8+1, 8), x -> CAST(x AS DOUBLE)) AS logits
+FROM ({_LOGIT_ROWS}) k LATERAL VIEW explode(sequence(0,7)) t AS layer
+""", f"""
+SELECT session, step, token, train_step, t_sec, layer, list_transform(embedding[layer*8+1:layer*8+8], lambda x: x::DOUBLE) AS logits
+FROM ({_LOGIT_ROWS}) k, range(8) l(layer)
 """)
 
-_view("v_logits", ("v_logits_keys",), """
-SELECT k.session, k.step, k.token, k.t_sec, layer, transform(slice(e.embedding, layer*8+1, 8), x -> CAST(x AS DOUBLE)) AS logits
-FROM v_logits_keys k JOIN embeddings e USING (vec_id) LATERAL VIEW explode(sequence(0,7)) t AS layer
-WHERE NOT (layer=7 AND k.step%17=5)
+# Layer 7 does not report in some steps, and layer 3 reports again in others
+_view("v_reports", ("v_logits",), """
+SELECT session, step, token, train_step, t_sec, layer, logits, 1 AS report FROM v_logits WHERE NOT (layer=7 AND step%17=5)
+UNION ALL
+SELECT session, step, token, train_step, t_sec, layer, reverse(logits), CASE WHEN step%2=0 THEN 0 ELSE 2 END AS report
+FROM v_logits WHERE layer=3 AND step%5=2
 """, """
-SELECT k.session, k.step, k.token, k.t_sec, l.layer, list_transform(e.embedding[l.layer*8+1:l.layer*8+8], lambda x: x::DOUBLE) AS logits
-FROM v_logits_keys k JOIN embeddings e USING (vec_id), range(8) l(layer) WHERE NOT (l.layer=7 AND k.step%17=5)
+SELECT session, step, token, train_step, t_sec, layer, logits, 1 AS report FROM v_logits WHERE NOT (layer=7 AND step%17=5)
+UNION ALL
+SELECT session, step, token, train_step, t_sec, layer, list_reverse(logits), CASE WHEN step%2=0 THEN 0 ELSE 2 END AS report
+FROM v_logits WHERE layer=3 AND step%5=2
 """)
 
+# each row carries the labels of its sample of ten
 _view("v_scored_tokens", (), """
 SELECT CAST(floor(vec_id/10) AS BIGINT) AS sample, CAST(vec_id%10 AS INT) AS pos,
  transform(embedding, x -> CAST(x AS DOUBLE)*40.0D) AS logits,
- CASE WHEN vec_id%10 < 3 THEN -100 ELSE CAST((vec_id*7)%64 AS INT) END AS label,
+ transform(sequence(0, 9), i -> CASE WHEN i < 3 THEN -100 ELSE CAST(((vec_id - vec_id%10 + i)*7)%64 AS INT) END) AS labels,
  CAST(floor(vec_id/40) AS BIGINT) AS step, CAST(floor(vec_id/400) AS BIGINT) AS eval_id
 FROM embeddings
 """, """
 SELECT CAST(floor(vec_id/10) AS BIGINT) AS sample, CAST(vec_id%10 AS INT) AS pos,
  list_transform(embedding, lambda x: x::DOUBLE*40.0) AS logits,
- CASE WHEN vec_id%10 < 3 THEN -100 ELSE CAST((vec_id*7)%64 AS INT) END AS label,
+ list_transform(range(10), lambda i: CASE WHEN i < 3 THEN -100 ELSE CAST(((vec_id - vec_id%10 + i)*7)%64 AS INT) END) AS labels,
  CAST(floor(vec_id/40) AS BIGINT) AS step, CAST(floor(vec_id/400) AS BIGINT) AS eval_id
 FROM embeddings
 """)
@@ -148,33 +156,56 @@ SELECT user_id AS request_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY t
 FROM events
 """)
 
-_view("v_requests", (), """
-SELECT event_id AS request_id, CASE event_id%6
- WHEN 0 THEN '{"messages":[{"role":"user","content":"a"}],"max_tokens":9000}'
- WHEN 1 THEN '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}],"max_completion_tokens":64,"temperature":0}'
- WHEN 2 THEN '{"messages":[]}' WHEN 3 THEN '{"model":"m1"}'
- WHEN 4 THEN '{"messages":[{"role":"user","content":"a"}],"tools":[{"type":"function"}],"temperature":null}'
- ELSE '{"messages":[{"role":"user","content":"a"}],"stream":true,"stream_options":{"include_usage":true}}' END AS body
+# a served chunk log: an event is a line; every request streams text, tool-call deltas and usage
+_CHUNK_LINES = """
+SELECT user_id AS request_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts,
+ CASE WHEN user_id%10=3 AND event_id%7<>2 THEN 'data: [DONE]' ELSE CASE event_id%7
+  WHEN 0 THEN 'data: {"id":"r","created":5,"model":"m","choices":[{"index":0,"delta":{"content":"' || event_type || ' "},"finish_reason":null}]}'
+  WHEN 1 THEN 'data: {"id":"r","choices":[{"index":0,"delta":{"tool_calls":[{"index":' || CAST(user_id%2 AS {string}) || ',"id":"c' || CAST(event_id AS {string}) || '","type":"function","function":{"name":"' || event_type || '","arguments":"<"}}]},"finish_reason":null}]}'
+  WHEN 2 THEN CASE WHEN user_id%10=3 THEN 'data: {"id":"r","choices":[{"index":0,"delta":{"content":"{\\"name\\":\\"f\\",\\"arguments\\":{}} "},"finish_reason":"stop"}]}'
+    ELSE 'data:{"id":"r","choices":[{"index":0,"delta":{"content":"a","content":"b","tool_calls":[{"index":2,"function":{"arguments":"x"}},{"index":2,"function":{"arguments":"y"}}]},"finish_reason":null}]}' END
+  WHEN 3 THEN 'data: {"id":"r","choices":[],"usage":{"prompt_tokens":' || CAST(event_id AS {string}) || ',"completion_tokens":2,"total_tokens":' || CAST(event_id + 2 AS {string}) || '}}'
+  WHEN 4 THEN ':keepalive'
+  WHEN 5 THEN 'data: {"id":"r","choices":[{"index":0,"delta":{},"finish_reason":"' || event_type || '"}]}'
+  ELSE 'data: {"choices":[{"index":0,"delta":{"content":"no"},"finish_reason":null}]} x' END END AS line
 FROM events
-""")
+"""
+_view("v_chunk_lines", (), _CHUNK_LINES.replace("{string}", "STRING").replace('\\"', '\\\\"'), _CHUNK_LINES.replace("{string}", "VARCHAR"))
 
-_view("v_tool_text", (), """
-SELECT event_id AS request_id, CASE event_id%8
+# a request per conversation, with all its turns; some bodies repeat a key or have text after the object
+_REQUESTS = """
+SELECT conv_id AS request_id, CASE conv_id%9
+ WHEN 0 THEN '{"messages":' || msgs || ',"max_tokens":9000}'
+ WHEN 1 THEN '{"messages":' || msgs || ',"max_completion_tokens":64,"temperature":0}'
+ WHEN 2 THEN '{"messages":[]}' WHEN 3 THEN '{"model":"m1"}'
+ WHEN 4 THEN '{"messages":' || msgs || ',"tools":[{"type":"function"}],"temperature":null}'
+ WHEN 5 THEN '{"max_tokens":1, "messages":[], "messages":' || msgs || ', "max_tokens":7}'
+ WHEN 6 THEN '{"messages":' || msgs || '} {"x":1}'
+ WHEN 7 THEN '{"messages":' || msgs || ',"max_tokens":"abc"}'
+ ELSE '{"messages":' || msgs || ',"stream":true,"stream_options":{"include_usage":true}}' END AS body, conv_id%9 AS form, n_turns
+FROM """
+_view("v_requests", (), _REQUESTS + """(SELECT conv_id, count(*) AS n_turns, to_json(transform(array_sort(collect_list(struct(turn, role, text))),
+  m -> struct(m.role AS role, m.text AS content))) AS msgs FROM conversations GROUP BY conv_id) c""",
+      _REQUESTS + """(SELECT conv_id, count(*) AS n_turns, CAST(to_json(list({'role': role, 'content': text} ORDER BY turn)) AS VARCHAR) AS msgs
+  FROM conversations GROUP BY conv_id) c""")
+
+_TOOL_TEXT = """CASE event_id%8
  WHEN 0 THEN '{"name":"' || event_type || '","arguments":' || props || '}'
  WHEN 1 THEN '```json' || chr(10) || '{"name":"f","parameters":' || props || '}' || chr(10) || '```'
  WHEN 2 THEN '```' || chr(10) || '{"name":"f","arguments":"{}"}' || chr(10) || '``` tail'
  WHEN 3 THEN 'Sure: {"name":"f","arguments":{}}'
  WHEN 4 THEN '```json {"name":"f","arguments":{}}'
  WHEN 5 THEN '{"name":"f"}' WHEN 6 THEN '{"name":"f","arguments":null,"parameters":{"x":1}}'
- ELSE event_type END AS raw_text
-FROM events
+ ELSE event_type END"""
+_view("v_tool_text", (), f"""
+SELECT event_id AS request_id, {_TOOL_TEXT} AS raw_text FROM events
 """)
 
 _view("v_fenced", (), """
 SELECT doc_id, CASE doc_id%4
- WHEN 0 THEN '```python' || chr(10) || source || chr(10) || ' ```' WHEN 1 THEN '```'
- WHEN 2 THEN '  ' || source || chr(10) || '```' || chr(10)
- ELSE source || chr(13) || chr(10) || lang END AS completion
+ WHEN 0 THEN '```python' || chr(10) || text || chr(10) || ' ```' WHEN 1 THEN '```'
+ WHEN 2 THEN '  ' || text || chr(10) || '```' || chr(10)
+ ELSE text || chr(13) || chr(10) || lang END AS completion
 FROM documents
 """)
 
@@ -195,21 +226,15 @@ FROM benchmark
 """)
 
 
-_view("v_completion_log", ("v_tool_text",), """
-SELECT t.request_id, t.raw_text, CASE WHEN e.event_id%5=0 THEN NULL ELSE 'm' || CAST(e.user_id%3 AS STRING) END AS model,
- CAST(length(e.props) AS INT) AS prompt_tokens_est,
- CASE WHEN e.event_id%4=0 THEN NULL ELSE CAST(floor(e.value*10) AS INT) END AS prompt_tokens_exact,
- CASE WHEN e.event_id%11=0 THEN 0 ELSE CAST(e.user_id%97 + 1 AS INT) END AS completion_tokens,
- e.event_id%3=0 AS ends_with_eos
-FROM v_tool_text t JOIN events e ON e.event_id = t.request_id
-""", """
-SELECT t.request_id, t.raw_text, CASE WHEN e.event_id%5=0 THEN NULL ELSE 'm' || CAST(e.user_id%3 AS VARCHAR) END AS model,
- CAST(length(e.props) AS INT) AS prompt_tokens_est,
- CASE WHEN e.event_id%4=0 THEN NULL ELSE CAST(floor(e.value*10) AS INT) END AS prompt_tokens_exact,
- CASE WHEN e.event_id%11=0 THEN 0 ELSE CAST(e.user_id%97 + 1 AS INT) END AS completion_tokens,
- e.event_id%3=0 AS ends_with_eos
-FROM v_tool_text t JOIN events e ON e.event_id = t.request_id
-""")
+_COMPLETIONS = """
+SELECT event_id AS request_id, {raw} AS raw_text, CASE WHEN event_id%5=0 THEN NULL ELSE 'm' || CAST(user_id%3 AS {string}) END AS model,
+ CAST(length(props) AS INT) AS prompt_tokens_est,
+ CASE WHEN event_id%4=0 THEN NULL ELSE CAST(floor(value*10) AS INT) END AS prompt_tokens_exact,
+ CASE WHEN event_id%11=0 THEN 0 ELSE CAST(user_id%97 + 1 AS INT) END AS completion_tokens,
+ event_id%3=0 AS ends_with_eos
+FROM events
+"""
+_view("v_completion_log", (), _COMPLETIONS.replace("{raw}", _TOOL_TEXT).replace("{string}", "STRING"), _COMPLETIONS.replace("{raw}", _TOOL_TEXT).replace("{string}", "VARCHAR"))
 
 _view("v_tool_history", (), """
 SELECT event_id AS request_id,

@@ -49,23 +49,20 @@ def register_source(name: str, formatter: Callable[[DataFrame], Column], columns
 
 def resolve(name: str) -> SourceDef:
     if name not in REGISTRY:
-        raise KeyError(f"Missing loader for dataset '{name}'; register it with register_source().")
+        raise KeyError(f"no source named {name!r}; register_source() adds one")
     return REGISTRY[name]
 
 
-def schema_for(name: str) -> T.StructType:
-    """All-string schema of a registered source (plus nothing else)."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in resolve(name).columns])
-
-
 def scan_source(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None,
-                streaming: bool = False, **options) -> DataFrame:
-    """Open a dataset with an explicit schema; the same call serves batch and stream."""
+                streaming: bool = False, subset: str | None = None, split: str | None = None, **options) -> DataFrame:
+    """Open a dataset with an explicit schema; the same call serves batch and stream.
+
+    ``subset`` and ``split`` name folders below ``path``; empty ones are left out."""
     r = spark.readStream if streaming else spark.read
     r = r.format(fmt).options(**options)
     if schema is not None:
         r = r.schema(schema)
-    return r.load(path)
+    return r.load("/".join([path.rstrip("/"), *[p for p in (subset, split) if p]]))
 
 
 def clean_prompt_lines(lines: DataFrame, value: str = "value") -> DataFrame:

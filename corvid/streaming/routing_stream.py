@@ -1,129 +1,105 @@
 """Routing events over a stream of router logits (T7, T11-T14 as a stateful operator).
 
-Row-count window frames are not available on streaming DataFrames, so the
-per-session state carries what the batch windows compute: the layers of
-still-open steps, the last step time, the last 10 gaps, the running sum of
-expert shares and the step count.  Routing itself (softmax + top-k) is a
-stateless projection before the state operator.  State per session is
-bounded (open steps x layers x experts, plus 10 gaps).
+Row-count window frames are not available on streaming DataFrames, so a session's state
+carries what the batch windows compute.  The work is split in three: Column functions
+route the logits and make one-hot hits; the state step adds arrays (hit totals of open
+steps, the last gaps, running sums of shares); Column functions shared with the batch
+operators turn its output into shares, dominant experts, entropy and rate.
 
-Input contract (as the telemetry hook reports): the rows of one forward pass
-(a step's layer reports) arrive in the same micro-batch, and a session's
-steps arrive in step order.
+Input contract (as the telemetry hook reports): the rows of one report of a layer arrive
+in the same micro-batch, and a session's steps arrive in step order.  A later report of
+a layer replaces an earlier one (``report``) until its step is complete.
 """
 from __future__ import annotations
 
 import json
-import math
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import routing as R
 
-EVENT_SCHEMA = ("session long, step long, token_index long, expert_pct array<double>, session_avg array<double>, "
-                "entropy_pct double, tokens_per_sec double, layer_experts array<int>")
+STEP_SCHEMA = ("session long, step long, token_index long, layer_counts array<array<long>>, "
+               "share_sums array<double>, gap_sum double, gap_n long")
 STATE_SCHEMA = "state string"
+#: Processing time after which an idle session's state goes.
+IDLE_MS = 60 * 60 * 1000
 
 
-def _emit(step, layers, st, num_experts):
-    """Event for one complete step (same arithmetic as the batch operators)."""
-    totals = [0.0] * num_experts
-    dom = []
-    for layer in sorted(layers):
-        counts = layers[layer]
-        for e in range(num_experts):
-            totals[e] += counts[e]
-        best = max(range(num_experts), key=lambda i: (counts[i], -i))
-        dom.append(best)
-    total = sum(totals)
-    pct = [c / total * 100.0 if total > 0 else 0.0 for c in totals]
-    probs = [c / total for c in totals] if total > 0 else [1.0 / 8] * 8
-    ent = 0.0
-    for p in probs:
-        ent = ent + p * math.log2(p + R.ENTROPY_EPS)
-    entropy_pct = -ent / math.log2(float(num_experts)) * 100.0
-    t = st["open_t"].get(str(step))
-    if st["last_t"] is not None and t is not None:
-        st["gaps"].append(t - st["last_t"])
-        st["gaps"] = st["gaps"][-R.RATE_WINDOW:]
-    if t is not None:
-        st["last_t"] = t
-    if st["gaps"]:
-        avg = sum(st["gaps"]) / len(st["gaps"])
-        rate = 1.0 / avg if avg > 0 else 0.0
-    else:
-        rate = 1.0
-    st["n"] += 1
-    st["sums"] = [a + b for a, b in zip(st["sums"], pct)]
-    savg = [s / st["n"] for s in st["sums"]]
-    return dict(step=step, token_index=st["n"], expert_pct=pct, session_avg=savg, entropy_pct=entropy_pct,
-                tokens_per_sec=rate, layer_experts=dom)
+def _session_step(num_layers: int, num_experts: int, idle_timeout_ms: int | None):
+    fresh = {"open": {}, "clock": None, "gaps": [], "sums": [0.0] * num_experts, "steps": 0}
 
-
-def _processor(num_layers: int, num_experts: int, idle_timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session = key[0]
         if state.hasTimedOut:
             state.remove()
             return
-        st = json.loads(state.get[0]) if state.exists else {
-            "open": {}, "open_t": {}, "last_t": None, "gaps": [], "sums": [0.0] * num_experts, "n": 0}
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        rows = pd.concat(frames, ignore_index=True).sort_values(["step", "layer", "token"])
-        touched = []
-        for (step, layer), g in rows.groupby(["step", "layer"], sort=True):
-            counts = [0] * num_experts
-            for top in g["top"]:
-                for e in top:
-                    counts[int(e)] += 1
-            key_s = str(int(step))
-            # token rows of one (step, layer) report may arrive in several micro-batches
-            prev = st["open"].setdefault(key_s, {}).get(str(int(layer)))
-            if prev is not None:
-                counts = [a + b for a, b in zip(prev, counts)]
-            st["open"][key_s][str(int(layer))] = counts
-            tmax = g["t_sec"].max()
-            if not pd.isna(tmax):
-                st["open_t"][key_s] = max(float(tmax), st["open_t"].get(key_s, float("-inf")))
-            if key_s not in touched:
-                touched.append(key_s)
-        out = []
-        for key_s in sorted(touched, key=int):
-            layers = st["open"].get(key_s, {})
-            if len(layers) == num_layers:
-                ev = _emit(int(key_s), {int(k): v for k, v in layers.items()}, st, num_experts)
-                st["open"].pop(key_s)
-                st["open_t"].pop(key_s, None)
-                out.append(ev)
+        st = json.loads(state.get[0]) if state.exists else json.loads(json.dumps(fresh))
+        rows = pd.concat(frames, ignore_index=True)
+        done = []
+        for (step, layer, report), own in rows.groupby(["step", "layer", "report"], sort=True):
+            slot = st["open"].setdefault(str(step), {"layers": {}, "t": None})
+            hits = np.stack(own["hits"].to_numpy()).sum(axis=0)
+            held = slot["layers"].get(str(layer))
+            if held is not None and held[0] == report:
+                hits = hits + np.array(held[1])      # token rows of one report, split over batches
+            if held is None or held[0] <= report:
+                slot["layers"][str(layer)] = [int(report), hits.tolist()]
+            if (t := own["t_sec"].max()) == t and t is not None:
+                slot["t"] = max(t, slot["t"]) if slot["t"] is not None else float(t)
+        for step in sorted(st["open"], key=int):
+            slot = st["open"][step]
+            if len(slot["layers"]) < num_layers:
+                continue
+            counts = np.array([slot["layers"][k][1] for k in sorted(slot["layers"], key=int)])
+            share = counts.sum(axis=0) * (100.0 / max(1, counts.sum()))
+            st["sums"] = (np.array(st["sums"]) + share).tolist()
+            st["steps"] += 1
+            if slot["t"] is not None:
+                if st["clock"] is not None:
+                    st["gaps"] = [*st["gaps"], slot["t"] - st["clock"]][-R.RATE_WINDOW:]
+                st["clock"] = slot["t"]
+            done.append((key[0], int(step), st["steps"], counts.tolist(), st["sums"], float(sum(st["gaps"])), len(st["gaps"])))
+        for row in done:
+            del st["open"][str(row[1])]
         state.update((json.dumps(st),))
         if idle_timeout_ms:
             state.setTimeoutDuration(idle_timeout_ms)
-        if out:
-            pdf = pd.DataFrame(out)
-            pdf.insert(0, "session", session)
-            yield pdf[["session", "step", "token_index", "expert_pct", "session_avg", "entropy_pct",
-                       "tokens_per_sec", "layer_experts"]]
+        if done:
+            yield pd.DataFrame(done, columns=[c.split()[0] for c in STEP_SCHEMA.split(", ")])
     return fn
 
 
-def stream_routing_events(logits: DataFrame, num_layers: int, k: int = R.TOP_K,
-                          num_experts: int = R.NUM_EXPERTS, idle_timeout_ms: int | None = None) -> DataFrame:
+def stream_routing_events(logits: DataFrame, num_layers: int, k: int = R.TOP_K, num_experts: int = R.NUM_EXPERTS,
+                          idle_timeout_ms: int | None = IDLE_MS) -> DataFrame:
     """Streaming (or batch) routing events keyed by session; emit order follows step order.
 
-    ``idle_timeout_ms`` evicts a session's state after that much processing
-    time without rows (for long-running queries; with a timeout Spark keeps
-    scheduling no-data batches, so ``availableNow`` runs do not end by themselves).
+    A session idle for ``idle_timeout_ms`` of processing time loses its state; ``None``
+    turns that off (a timeout keeps Spark scheduling batches, so ``availableNow`` runs do
+    not end by themselves).
     """
-    routed = R.route(logits, k).select("session", "step", "token", "layer", "t_sec", "top")
+    report = F.col("report") if "report" in logits.columns else F.lit(0)
+    routed = R.route(logits, k).select("session", "step", "layer", "t_sec", report.cast("long").alias("report"),
+                                       R.expert_hits(F.col("top"), num_experts).alias("hits"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return routed.groupBy("session").applyInPandasWithState(
-        _processor(num_layers, num_experts, idle_timeout_ms), EVENT_SCHEMA, STATE_SCHEMA, "append", timeout)
+    steps = routed.groupBy("session").applyInPandasWithState(
+        _session_step(num_layers, num_experts, idle_timeout_ms), STEP_SCHEMA, STATE_SCHEMA, "append", timeout)
+
+    def over_layers(e: int) -> Column:
+        return F.aggregate("layer_counts", F.lit(0).cast("long"), lambda a, c: a + F.get(c, F.lit(e)))
+    totals = F.array(*[over_layers(e) for e in range(num_experts)])
+    pct, entropy = R.share_and_entropy([F.get("_totals", F.lit(e)) for e in range(num_experts)])
+    return steps.withColumn("_totals", totals).select(
+        "session", "step", "token_index", pct.alias("expert_pct"),
+        F.transform("share_sums", lambda s: s / F.col("token_index")).alias("session_avg"), entropy.alias("entropy_pct"),
+        R.rate_of(F.col("gap_sum") / F.nullif(F.col("gap_n"), F.lit(0))).alias("tokens_per_sec"),
+        F.transform("layer_counts", lambda c: R.dominant_expert(c, num_experts)).alias("layer_experts"))
 
 
 def rounded(events: DataFrame) -> DataFrame:

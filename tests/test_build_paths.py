@@ -63,6 +63,18 @@ def test_completions_jsonl(spark):
     assert not any(r["completion"].startswith("```") for r in recs)
 
 
+def test_scan_source_takes_subset_and_split(spark):
+    from corvid.sources.registry import register_source, resolve, scan_source
+    d = tempfile.mkdtemp(prefix="corvid-src-", dir="/tmp")
+    df = spark.createDataFrame([("q", "a")], "query string, answer string")
+    df.write.parquet(os.path.join(d, "main", "train"))
+    df.limit(0).write.parquet(os.path.join(d, "train"))
+    assert scan_source(spark, d, schema=df.schema, subset="main", split="train").count() == 1
+    assert scan_source(spark, d, schema=df.schema, subset="", split="train").count() == 0
+    register_source("own", lambda frame: F.array(), ("query", "answer"))
+    assert resolve("own").columns == ("query", "answer")
+
+
 def test_user_tokenizer_hook(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers, trainers
     from corvid.functions.udfs import tokenizer_udf
@@ -80,6 +92,39 @@ def test_user_tokenizer_hook(spark):
     assert got[0] == tok.encode("hello world", add_special_tokens=False).ids and got[1] is None
 
 
+def test_build_with_a_tokenizer_file_keeps_valid_samples(spark):
+    """Marker and vocabulary length come from the same file as the ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    from corvid.functions.udfs import tokenizer_encoder
+    words = ["[UNK]", "<|im_start|>", "<|im_end|>", "user", "assistant", "system", "q", "a"]
+    tok = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.add_special_tokens(["<|im_start|>", "<|im_end|>"])
+    path = os.path.join(tempfile.mkdtemp(prefix="corvid-tok-", dir="/tmp"), "words.json")
+    tok.save(path)
+    spark.sparkContext.addFile(path)
+    enc = tokenizer_encoder(path)
+    assert enc.full_length == len(words) and enc.marker_ids == (1, 4)
+    raw = spark.createDataFrame([(i, f"q {i}", "a a") for i in range(20)], "raw_id long, query string, answer string")
+    res = build_corpus(spark, [CorpusSource("code_feedback", 1.0, raw)], 20, encoder=enc)
+    rows = res.collected.collect()
+    assert len(rows) == 20 and all(any(x != -100 for x in r.labels) for r in rows)
+
+
+def test_usage_chunk_after_the_finish_leaves_no_state(spark):
+    from corvid.streaming.chunk_stream import stream_tool_calls
+    d = tempfile.mkdtemp(prefix="corvid-chunks-", dir="/tmp")
+    schema = "request_id long, seq long, content string, finish_reason string"
+    for rows in ([(1, 1, "hi", None), (1, 2, "", "stop")], [(1, 3, None, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
+    q = (stream_tool_calls(src, idle_timeout_ms=None).writeStream.format("memory").queryName("tc_late").outputMode("append")
+         .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert [(r.kind, r.value) for r in spark.table("tc_late").collect()] == [("text", "hi")]
+    assert sum(s["numRowsTotal"] for p in q.recentProgress[-1:] for s in p["stateOperators"]) == 0
+
+
 def test_stream_tool_calls_flush_on_finish(spark):
     from corvid.streaming.chunk_stream import stream_tool_calls
     d = tempfile.mkdtemp(prefix="corvid-chunks-", dir="/tmp")
@@ -89,7 +134,7 @@ def test_stream_tool_calls_flush_on_finish(spark):
         .write.parquet(os.path.join(d, "in"))
     src = spark.readStream.schema("request_id long, seq long, content string, finish_reason string") \
         .parquet(os.path.join(d, "in"))
-    q = (stream_tool_calls(src).writeStream.format("memory").queryName("tc_parts").outputMode("append")
+    q = (stream_tool_calls(src, idle_timeout_ms=None).writeStream.format("memory").queryName("tc_parts").outputMode("append")
          .option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = sorted((r.request_id, r.kind, r.value) for r in spark.table("tc_parts").collect())

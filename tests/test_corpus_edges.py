@@ -137,6 +137,22 @@ def test_weights_must_sum_to_one(spark):
         build_corpus(spark, [CorpusSource("no_such_loader", 1.0, df)], 10)
 
 
+def test_quota_of_zero_keeps_nothing_and_is_an_error_in_a_build(spark):
+    import pytest
+    rows = [("s", i, 0, C.VALID) for i in range(5)]
+    df = spark.createDataFrame(rows, "source string, raw_idx long, sample_idx int, status string")
+    assert C.take_quota(df, spark.createDataFrame([("s", 0)], "source string, n long")).count() == 0
+    raw = spark.createDataFrame([(1, "q", "a")], "raw_id long, query string, answer string")
+    with pytest.raises(ValueError):
+        build_corpus(spark, [CorpusSource("code_feedback", 0.995, raw), CorpusSource("magicoder_oss", 0.005, raw)], 100)
+
+
+def test_default_encoder_keeps_white_space():
+    text = "def f(x):\n    return  x <|im_end|> y"
+    import regex
+    assert "".join(regex.findall(TK.PIECE_PATTERN, text)) == text
+
+
 def test_source_with_zero_samples_is_an_error(spark):
     import pytest
     good = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(5)], "raw_id long, query string, answer string")
@@ -144,5 +160,5 @@ def test_source_with_zero_samples_is_an_error(spark):
     res = build_corpus(spark, [CorpusSource("code_feedback", 0.5, good),
                                CorpusSource("magicoder_oss", 0.5, empty.withColumnRenamed("query", "problem")
                                             .withColumnRenamed("answer", "solution"))], 20)
-    with pytest.raises(RuntimeError, match="zero samples"):
+    with pytest.raises(RuntimeError, match="no valid sample"):
         res.collected

@@ -58,7 +58,7 @@ def _run_stream(spark, lg, files, name):
     src = os.path.join(d, "in")
     lg.repartition(files, "session").write.parquet(src)
     stream_in = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (stream_routing_events(stream_in, num_layers=8).writeStream.format("memory").queryName(name)
+    q = (stream_routing_events(stream_in, num_layers=8, idle_timeout_ms=None).writeStream.format("memory").queryName(name)
          .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     return spark.table(name)
@@ -75,27 +75,70 @@ def test_streaming_equals_batch(spark):
     # sessions spread over several micro-batches (each forward pass arrives whole,
     # as the telemetry hook reports it): state carries gaps, sums and the index
     d = tempfile.mkdtemp(prefix="corvid-stream-", dir="/tmp")
-    for lo, hi in ((0, 37), (37, 80), (80, 141), (141, 1 << 40)):     # written in order, one file each
+    for lo, hi in ((0, 7), (7, 16), (16, 25), (25, 1 << 40)):     # written in order, one file each
         lg.filter((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1) \
             .write.mode("append").parquet(os.path.join(d, "in"))
     s2 = spark.readStream.schema(lg.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
-    q = (stream_routing_events(s2, num_layers=8).writeStream.format("memory").queryName("rt_b")
+    q = (stream_routing_events(s2, num_layers=8, idle_timeout_ms=None).writeStream.format("memory").queryName("rt_b")
          .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     two = {(r.session, r.step): tuple(r)[2:] for r in rounded(spark.table("rt_b")).collect()}
     assert two == batch
 
 
-def test_tool_call_rules():
-    assert U.extract_calls('{"name":"f","arguments":null,"parameters":{"x":1}}')[1] == [{"name": "f", "arguments": {}}]
-    assert U.extract_calls('{"name":"f"}') == ('{"name":"f"}', [])
-    text, calls = U.extract_calls('```\n{"name":"a","arguments":"{\\"q\\":1}"}\n``` {"name":"b","arguments":{}}')
-    assert [c["name"] for c in calls] == ["a", "b"] and calls[0]["arguments"] == {"q": 1} and text == ""
-    assert U.extract_calls('```json {"name":"f","arguments":{}}') == ("", [{"name": "f", "arguments": {}}])
+def _extract(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "request_id int, raw_text string")
+    rows = CH.tool_call_extract(df).orderBy("request_id").collect()
+    return [(r.content, [(c.name, json.loads(c.arguments)) for c in r.tool_calls]) for r in rows]
+
+
+def test_tool_call_rules(spark):
+    whole = '```\n{"name":"f","arguments":{}}\n```'
+    got = _extract(spark, '{"name":"f","arguments":null,"parameters":{"x":1}}', '{"name":"f"}',
+                   '```\n{"name":"a","arguments":"{\\"q\\":1}"}\n``` {"name":"b","arguments":{}}',
+                   '```json {"name":"f","arguments":{}}', whole, "plain", None, '{"name":"f","arguments":{}} x', "```py\n1\n``` tail")
+    assert got == [("", [("f", {})]), ('{"name":"f"}', []), ("", [("a", {"q": 1}), ("b", {})]), ("", [("f", {})]),
+                   ("", [("f", {})]), ("plain", []), (None, []), ('{"name":"f","arguments":{}} x', []),
+                   ("```py\n1\n``` tail", [])]
     # a fence as its own chunk, then JSON: streaming emits text; the whole text is a call
     parts = U.scan_chunks(["```", '\n{"name":"f","arguments":{}}\n```'])
     assert [k for k, _ in parts] == ["text", "text"]
-    assert U.extract_calls('```\n{"name":"f","arguments":{}}\n```')[1] == [{"name": "f", "arguments": {}}]
+    assert U.scan_chunks([' {"name":"f",', '"arguments":{}}', "tail"]) == [
+        ("tool_call", '{"name": "f", "arguments": {}}'), ("text", "tail")]
+
+
+def test_request_bodies_are_read_by_strict_rules(spark):
+    bodies = ['{"messages":[{"role":"user"}],"max_tokens":1,"max_tokens":7}', '{"messages":[1]} x', '[1]',
+              '{"messages":[1],"max_tokens":"abc"}', '{ "messages" : [ 1 ] , "top_k" : 3.0 }']
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string")
+    r = CH.request_params(CH.request_validate(df)).orderBy("i").collect()
+    assert [x.status for x in r] == ["ok", "invalid_request_error", "invalid_request_error", "invalid_request_error", "ok"]
+    assert r[0].max_new_tokens == 7 and r[3].max_new_tokens is None and r[4].top_k == 3
+    assert r[0].error is None and r[2].error.type == "invalid_request_error"
+
+
+def test_latest_report_of_a_layer_counts(spark):
+    rows = [(0, 0, 0, 0.0, 0, 1, [9.0, 5.0] + [0.0] * 6), (0, 0, 0, 0.0, 0, 2, [0.0] * 6 + [5.0, 9.0]),
+            (0, 0, 0, 0.0, 1, 1, [9.0, 5.0] + [0.0] * 6)]
+    df = spark.createDataFrame(rows, "session long, step long, token long, t_sec double, layer int, report int, logits array<double>")
+    got = {r.layer: r.counts for r in R.layer_expert_counts(R.route(df)).collect()}
+    assert got[0] == [0] * 6 + [1, 1] and got[1] == [1, 1] + [0] * 6
+    d = tempfile.mkdtemp(prefix="corvid-stream-", dir="/tmp")
+    df.coalesce(1).write.parquet(os.path.join(d, "in"))
+    src = spark.readStream.schema(df.schema).parquet(os.path.join(d, "in"))
+    q = (stream_routing_events(src, num_layers=2, idle_timeout_ms=None).writeStream.format("memory").queryName("rt_rep")
+         .outputMode("append").option("checkpointLocation", os.path.join(d, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.table("rt_rep").first().layer_experts == R.routing_events(df, num_layers=2).first().layer_experts
+
+
+def test_local_label_shift_equals_window_shift(spark):
+    from corvid.operators.loss import token_nll
+    rows = [(s, p, [float((s * 7 + p * 3 + i) % 5) for i in range(6)], [-100, 2, 5, 1][p], [-100, 2, 5, 1]) for s in range(3) for p in range(4)]
+    df = spark.createDataFrame(rows, "sample int, pos int, logits array<double>, label int, labels array<int>")
+    a = sorted((r.sample, r.pos, round(r.nll, 9)) for r in token_nll(df.drop("label")).collect())
+    b = sorted((r.sample, r.pos, round(r.nll, 9)) for r in token_nll(df.drop("labels")).collect())
+    assert a == b and len(a) == 9
 
 
 def test_finish_reason_and_params(spark):
