@@ -11,8 +11,8 @@ counts them over the labelled sample; the most telling ones (chi-square) make th
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, cut
 
 #: Labelled rows that the chain is fitted on, about (all, if there are fewer).
 SAMPLE_ROWS = 20_000
@@ -46,6 +46,23 @@ def text_words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def text_features(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs: feature names, and per pair the text and the feature."""
+    numbers: dict[str, int] = {}
+    of_word: dict[str, list[int]] = {}
+    pairs = [np.zeros(0, np.int64)]
+    for i, text in enumerate(texts):
+        own: list[int] = []
+        for w in text_words(text):
+            got = of_word.get(w)
+            if got is None:
+                got = of_word[w] = [numbers.setdefault(f, len(numbers)) for f in word_features(w)]
+            own += got
+        pairs.append(np.unique(np.array(own, np.int64)) + (i << 32))
+    both = np.concatenate(pairs)
+    return list(numbers), both >> 32, both & 0xFFFFFFFF
+
+
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories, rows: int) -> DataFrame:
     """Labelled texts: about ``rows`` label rows, dealt by id hash, joined to their texts."""
     total = labels.count()
@@ -58,18 +75,14 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, cate
 def _count_features(k: int):
     def run(batches):
         for batch in batches:
-            seen: Counter = Counter()
-            per = [Counter() for _ in range(k)]
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = {f for w in text_words(text) for f in word_features(w)}
-                seen.update(own)
-                for c in range(k):
-                    if y[c]:
-                        per[c].update(own)
-            names = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([seen[f] for f in names], pa.int64()),
-                 pa.array([[p[f] for p in per] for f in names], pa.list_(pa.int64()))], ["f", "n", "pos"])
+            texts, labels = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            names, text, feature = text_features(texts)
+            counts = [np.bincount(feature, minlength=len(names))]
+            for c in range(k):
+                flagged = np.array([bool(y[c]) for y in labels], bool)
+                counts.append(np.bincount(feature[flagged[text]], minlength=len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(c, pa.int64()) for c in counts]],
+                                             ["f", "n", *[f"p{c}" for c in range(k)]])
     return run
 
 
@@ -91,20 +104,39 @@ class Chain:
 
 @dataclass
 class Sparse:
+    """Rows of present features: the feature of each entry, entries per row, and rows ``n``."""
     index: np.ndarray
-    row: np.ndarray
-    n: int
+    size: np.ndarray
 
     @classmethod
     def of(cls, rows):
-        size = np.array([len(r) for r in rows], np.int64)
-        index = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-        return cls(index, np.repeat(np.arange(len(rows)), size), len(rows))
+        return cls(np.concatenate([np.zeros(0, np.int32), *rows]).astype(np.int32), np.array([len(r) for r in rows], np.int64))
 
     def only(self, keep: np.ndarray) -> Sparse:
-        new = np.cumsum(keep) - 1
-        at = keep[self.row]
-        return Sparse(self.index[at], new[self.row[at]], int(keep.sum()))
+        return Sparse(self.index[np.repeat(keep, self.size)], self.size[keep])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each row's features."""
+        return _sums(w[self.index], self.size)
+
+    @cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.index, kind="stable")
+        return np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)[order], self.index
+
+    def against(self, e: np.ndarray, k: int) -> np.ndarray:
+        """Sum of ``e`` over the rows that have each of the ``k`` features."""
+        rows, index = self.by_feature
+        return _sums(e[rows], np.bincount(index, minlength=k))
+
+
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values``, empty ones too."""
+    out = np.zeros(len(size))
+    some = size > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(size) - size)[some])
+    return out
 
 
 def _logit(p):
@@ -113,31 +145,50 @@ def _logit(p):
 
 
 def _probability(x: Sparse, earlier: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    z = np.bincount(x.row, w[x.index], x.n) + _logit(earlier) @ w[k:-1] + w[-1]
+    z = x.times(w[:k]) + _logit(earlier) @ w[k:-1] + w[-1]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, k: int, rounds: int = 200, l2: float = 0.1) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps; one class alone gives its share as a constant."""
+def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, k: int, rounds: int = 60, l2: float = 0.1) -> np.ndarray:
+    """Logistic regression by limited-memory quasi-Newton steps; one class alone gives its
+    share as a constant."""
     w = np.zeros(k + earlier.shape[1] + 1)
     share = y.mean() if len(y) else 0.0
+    w[-1] = _logit(share)
     if share in (0.0, 1.0):
-        w[-1] = _logit(share)
         return w
-    w[-1] = _logit(share)
-    z = _logit(earlier)
-    per_row = np.bincount(x.row, minlength=x.n)
-    # a bound of the curvature by column sums, so that frequent features take smaller steps
-    size = per_row + (np.abs(z).sum(1) if z.size else 0) + 1.0
-    curve = 0.25 * np.concatenate([np.bincount(x.index, size[x.row], k), (np.abs(z) * size[:, None]).sum(0), [size.sum()]]) + l2
-    step, old, t = 1 / curve, w.copy(), 1.0
+    z, penalty = _logit(earlier), np.append(np.full(len(w) - 1, l2), 0.0)
+
+    def loss(w):
+        p = np.clip(_probability(x, earlier, w, k), 1e-12, 1 - 1e-12)
+        e = p - y
+        grad = np.concatenate([x.against(e, k), e @ z, [e.sum()]]) + penalty * w
+        return -np.log(np.where(y > 0, p, 1 - p)).sum() + 0.5 * (penalty * w * w).sum(), grad
+
+    value, grad = loss(w)
+    enough = 1e-4 * np.abs(grad).max()
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        t, was = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        look = w + (was - 1) / t * (w - old)
-        e = _probability(x, earlier, look, k) - y
-        grad = np.concatenate([np.bincount(x.index, e[x.row], k), e @ z if z.size else np.zeros(0), [e.sum()]])
-        grad[:-1] += l2 * look[:-1]
-        old, w = w, look - step * grad
+        # direction: the inverse curvature that the last steps have shown, applied to the gradient
+        d, pulls = -grad, []
+        for s, g in reversed(past):
+            pulls.append(s @ d / (s @ g))
+            d = d - pulls[-1] * g
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / np.abs(grad).sum())
+        for (s, g), pull in zip(past, reversed(pulls), strict=True):
+            d = d + s * (pull - g @ d / (s @ g))
+        step, slope = 1.0, grad @ d
+        while True:
+            new = w + step * d
+            new_value, new_grad = loss(new)
+            if new_value <= value + 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        if (new - w) @ (new_grad - grad) > 1e-10:
+            past = [*past[-9:], (new - w, new_grad - grad)]
+        w, value, grad = new, new_value, new_grad
+        if np.abs(grad).max() <= enough:
+            break
     return w
 
 
@@ -152,6 +203,8 @@ def fit_chain(categories, features, rows, y: np.ndarray, folds: np.ndarray) -> C
         def fit(keep, c=c, earlier=earlier):
             return fit_linear(x.only(keep), earlier[keep], y[keep, c], k)
         weights.append(fit(known))
+        if c == len(categories) - 1:
+            break                      # no later model asks for its predictions
         out = np.zeros(len(rows))
         for f in range(FOLDS):
             held = folds == f
@@ -170,18 +223,19 @@ class Lookup:
         self.plain: set[str] = set()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text_words(text)
-        rest = words - self.plain
-        for w in rest - self.telling.keys():
-            got = [self.number[f] for f in word_features(w) if f in self.number]
-            if got:
+        found: set[int] = set()
+        for w in text_words(text) - self.plain:
+            got = self.telling.get(w)
+            if got is None:
+                got = [self.number[f] for f in word_features(w) if f in self.number]
+                if not got:
+                    self.plain.add(w)
+                    continue
                 self.telling[w] = got
-            else:
-                self.plain.add(w)
-        found = {i for w in rest & self.telling.keys() for i in self.telling[w]}
+            found.update(got)
         if len(self.plain) + len(self.telling) > _REMEMBERED:
             self.plain, self.telling = set(), {}
-        return np.fromiter(sorted(found), np.int64, len(found))
+        return np.array(sorted(found), np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text",
@@ -193,9 +247,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col:
     bound_batches(docs.sparkSession)
     k = len(categories)
     sample = _sample(docs, labels, id_col, text_col, categories, sample_rows)
-    counted = (sample.mapInArrow(_count_features(k), "f string, n long, pos array<long>")
-               .groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(F.col("pos")[c]).alias(f"p{c}") for c in range(k)])
-               .where(F.col("n") >= MIN_TEXTS))
+    pos = [f"p{c} long" for c in range(k)]
+    counted = cut(sample.mapInArrow(_count_features(k), ", ".join(["f string", "n long", *pos]))
+                  .groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(f"p{c}").alias(f"p{c}") for c in range(k)])
+                  .where(F.col("n") >= MIN_TEXTS))
     total = sample.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("_y")[c]), F.lit(0)) for c in range(k)]).first()
     n, pos = total[0], total[1:]
 
@@ -215,16 +270,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col:
     def encode(batches):
         look = Lookup(names)
         for batch in batches:
-            rows = [look(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), batch.column(2)],
-                                             [id_col, "x", "y"])
-
-    got = (sample.mapInArrow(encode, T.StructType([sample.schema[id_col], T.StructField("x", T.ArrayType(T.LongType())),
-                                                   T.StructField("y", T.ArrayType(T.IntegerType()))]))
-           .select(F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(FOLDS)).alias("fold"), "x", "y")
-           .orderBy("fold", F.xxhash64("x", "y")).collect())
+            rows = [look(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], [id_col, "x", "y"])
+
+    fold = F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(FOLDS))
+    got = (sample.select(id_col, "_text", "_y").mapInArrow(encode, T.StructType([
+        sample.schema[id_col], T.StructField("x", T.BinaryType()), T.StructField("y", T.ArrayType(T.IntegerType()))]))
+        .select(fold.alias("fold"), "x", "y").collect())
+    got.sort(key=lambda r: (r.fold, bytes(r.x), repr(r.y)))     # the order of rows must not matter
     y = np.array([[np.nan if v is None else float(v > 0) for v in r.y] for r in got]).reshape(len(got), k)
-    return fit_chain(categories, names, [np.array(r.x, np.int64) for r in got], y, np.array([r.fold for r in got], np.int64))
+    return fit_chain(categories, names, [np.frombuffer(r.x, np.int32) for r in got], y, np.array([r.fold for r in got], np.int64))
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
