@@ -36,7 +36,8 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: stupid-backoff score under all other documents (see ``lmscore``)."""
-    return lmscore.score_documents(read_table(spark, sf_dir, "documents"))
+    scored = lmscore.score_documents(read_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log10_score", "score")})
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,44 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts, op9_line_dedup, op10_warc)}
 
+def _words(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+ i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_words('text')} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
+        FROM i, range(1, 100000) r(k) WHERE len(w) > 0 AND k <= greatest(len(w) - 9, 1)),
+ dw AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
+        FROM d, (SELECT DISTINCT size FROM iw), range(1, 100000) r(k) WHERE k <= len(w) - size + 1),
+ m AS (SELECT doc_id, dw.size, k, item FROM dw JOIN iw USING (size, win)),
+ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT doc_id, size, k FROM m)) GROUP BY 1),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op5_lm_score": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+ p AS (SELECT doc_id, unnest(w) AS g1, generate_subscripts(w, 1) AS pos, len(w) AS n_words FROM d),
+ g AS (SELECT *, lag(g1) OVER o || ' ' || g1 AS g2, lag(g1, 2) OVER o || ' ' || lag(g1) OVER o || ' ' || g1 AS g3
+       FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ c AS (SELECT doc_id, pos, n_words, (SELECT count(*) FROM p) - n_words AS others,
+  count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY g1, doc_id) AS c1,
+  count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY g2, doc_id) AS c2,
+  count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY g3, doc_id) AS c3 FROM g),
+ l AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2, least(2, pos - 1) AS top FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+ s AS (SELECT doc_id, CASE WHEN pos >= 3 AND c3 > 0 THEN log10(c3 / b2)
+   WHEN pos >= 2 AND c2 > 0 THEN log10(c2 / b1) + (top - 1) * log10(0.4)
+   WHEN c1 > 0 THEN log10(c1 / others) + top * log10(0.4)
+   ELSE -log10(greatest(others, 1)) + (top + 1) * log10(0.4) END AS score,
+   NOT (pos >= 3 AND c3 > 0) AND NOT (pos >= 2 AND c2 > 0) AND c1 = 0 AS unseen FROM l),
+ t AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE unseen) AS n_unseen, sum(score) AS total FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_unseen, 0) AS n_unseen, round(coalesce(total, 0.0), 6) AS log10_score,
+       round(total / n_words, 6) AS score
+FROM d LEFT JOIN t USING (doc_id)""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
  f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
