@@ -21,69 +21,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bound_batches
-from .pretokens import Vocabulary, load
+from .pretokens import SPLIT, Vocabulary, byte_symbols, load
 
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Texts of a shard, about.
 SHARD_ROWS = 32_768
-#: Distinct pre-tokens whose ids a worker remembers; beyond it starts afresh.
-REMEMBERED = 400_000
-_SHORT = 64
+#: Share of a shard's pieces, the shortest, that are placed last.
+_SMALL_SHARE = 0.3
+#: Longest word, and white space beyond one blank a word, of a text that tiktoken encodes.
+_LONG = 2000
 
 
 class Encoder:
-    """Token ids (little-endian unsigned 32-bit bytes) of whole texts.
+    """Token ids of whole texts, as the tokenizers library gives them for its file.
 
-    The tokenizers library encodes each distinct pre-token once; byte-level BPE never
-    merges across pre-tokens, so a text's ids are those of its pre-tokens in order."""
+    In a byte-level file whose ids are its merge ranks, tiktoken finds the same ids a few
+    times faster, and the file's tables are handed to it.  Texts with special strings, and
+    texts with very long words or runs of white space (which tiktoken merges in quadratic
+    time), go to tokenizers itself, and so does everything for other files."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
-        self.vocab = Vocabulary(spec)
+        self.vocab = vocab = Vocabulary(spec)
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.vocab.pieces(t) for t in texts]
-        need = set().union(*split)
-        if len(self.known) + len(need) > REMEMBERED:
-            self.known = {}
-        new = list(need.difference(self.known))
-        known = self.known
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        out = [b"".join(map(get, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > _SHORT:
-                del known[p]
-        return out
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.ids.items() if token not in vocab.special}
+        ranked = all(vocab.ids[a + b] == 256 + i for i, (a, b) in enumerate(vocab.merges))
+        self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+
+    def is_plain(self, text: str) -> bool:
+        if any(s in text for s in self.vocab.special):
+            return False
+        words = list(map(len, text.split()))
+        return max(words, default=0) <= _LONG and len(text) - sum(words) - len(words) <= _LONG
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is not None and self.is_plain(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _encode(shared, text_col: str, end_id: int, capacity: int):
     def run(batches):
         encode = Encoder(shared.value)
-        end = np.array([end_id], "<u4").tobytes()
-        step = 4 * capacity
+        end = np.array([end_id], "<u4")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = batch.column(at).to_pylist()
             n, crcs = [], []
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < 1 << 20):
-                    size += len(texts[j] or "")
-                    j += 1
-                for ids in encode([t or "" for t in texts[i:j]]):
-                    ids += end
-                    first = len(ids) % step or step
-                    cuts = [0, *range(first, len(ids), step), len(ids)]
-                    n.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-                i = j
+            for text in batch.column(at).to_pylist():
+                ids = np.concatenate([encode(text or "").astype("<u4", copy=False), end])
+                first = len(ids) % capacity or capacity
+                cuts = [0, *range(first, len(ids), capacity), len(ids)]
+                n.append(len(ids))
+                crcs.append([zlib.crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
             cols = {c: batch.column(k) for k, c in enumerate(batch.schema.names) if k != at}
             yield pa.RecordBatch.from_pydict(cols | {"_n": pa.array(n, pa.int64()), "_crcs": pa.array(crcs, pa.list_(pa.int64()))})
     return run
@@ -126,7 +119,6 @@ def _pack_shard(id_col: str, capacity: int):
         n = table.column("_n").to_numpy()
         crcs = table.column("_crcs").combine_chunks().flatten()
         ids = table.column(id_col)
-        order = np.lexsort((np.array([str(x) for x in ids.to_pylist()]), n))[::-1]
         many = -(-n // capacity)
         short = n - (many - 1) * capacity
         row = np.repeat(np.arange(len(n)), many)
@@ -135,10 +127,13 @@ def _pack_shard(id_col: str, capacity: int):
         start = np.where(piece == 0, 0, short[row] + (piece - 1) * capacity)
         sequence = np.zeros(len(row), np.int64)
         offset = np.zeros(len(row), np.int64)
+        head = np.cumsum(many) - many
+        # long pieces from long to short; the shortest, in an order without pattern, fill what is left open
+        big = short > np.quantile(short, _SMALL_SHARE)
+        names = np.array([str(x) for x in ids.to_pylist()])
+        order = np.lexsort((names, crcs.to_numpy()[head], np.where(big, -short, 0), ~big))
         partial = order[short[order] < capacity]
-        partial = partial[np.argsort(-short[partial], kind="stable")]
         bins, at = sum_of_squares(short[partial], capacity)
-        head = np.cumsum(many) - many
         sequence[head[partial]], offset[head[partial]] = bins, at
         alone = length == capacity
         sequence[alone] = (bins.max() + 1 if len(bins) else 0) + np.arange(alone.sum())
@@ -154,7 +149,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 
     A null or empty text is the end id alone.  Every row is packed, repeated ids and texts
     too; other columns of ``docs`` are not read.  An empty table gives an empty result.
-    Within a shard pieces are placed from long to short."""
+    Within a shard pieces are placed from long to short, the shortest share last by hash."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(load(path))
