@@ -44,7 +44,23 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
-def grams(texts: pa.ChunkedArray, order: int):
+def _squeeze(text_at: int):
+    """Texts compressed one by one: they cross the shuffle at less than half their size."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        for batch in batches:
+            texts = batch.column(text_at).cast(pa.binary()).fill_null(b"")
+            packed = pa.array([pack(t.as_buffer()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], packed], batch.schema.names)
+    return run
+
+
+def _texts(column) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t.as_buffer()) for t in column], pa.large_binary())
+
+
+def grams(texts: pa.Array, order: int):
     """n-grams of consecutive texts: (document of each word, position in it, hashes by order).
 
     ``hashes[k][i]`` is the (k + 1)-gram that ends at word ``i``; it is only meaningful from
@@ -73,7 +89,7 @@ def _distinct(place, hashes, n_words: int):
 
 def _send(order: int, bits: int):
     def run(key, table):
-        _, place, hashes, count = grams(table.column("_text"), order)
+        _, place, hashes, count = grams(_texts(table.column("_text")), order)
         n_words = int(count.sum())
         gram, n = np.unique(_distinct(place, hashes, n_words), return_counts=True)
         n = n.astype(np.uint64)
@@ -105,7 +121,7 @@ def _add_up(key, table):
 
 def _score(id_col: str, order: int, alpha: float):
     def run(key, docs, answers):
-        doc, place, hashes, count = grams(docs.column("_text"), order)
+        doc, place, hashes, count = grams(_texts(docs.column("_text")), order)
         n_docs, n_words = len(count), int(count.sum())
         sums, backed = np.zeros(n_docs), np.zeros(n_docs, np.int64)
         if n_words:
@@ -162,6 +178,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bits = max(0, int(np.ceil(np.log2(max(1, size // 6 * order / table_grams)))))
     src = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("long").alias("block"),
                       F.col(id_col), F.col(text_col).alias("_text"))
+    src = src.mapInArrow(_squeeze(2), T.StructType([*src.schema.fields[:2], T.StructField("_text", T.BinaryType())]))
     sent = src.groupBy("block").applyInArrow(_send(order, bits), "block long, bucket long, n long, grams binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(_add_up, "block long, bucket long, n long, totals binary")
     out = T.StructType([src.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_unseen", T.LongType()),
