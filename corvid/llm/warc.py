@@ -31,6 +31,7 @@ ARCHIVE_BYTES = 24 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 _LEVEL = 6
+_PIECE = 8 << 10
 _EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -122,11 +123,12 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     bound_batches(spark)
     total = pages.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
-    rows = pages.select(id_col, F.col(url_col).alias("_url"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    again = revisits(pages, id_col=id_col, text_col=text_col, min_bytes=min_bytes).drop("_sha")
-    again = again.groupBy(id_col).agg(F.min("refers_to").alias("refers_to"), F.count(F.lit(1)).alias("_n"))
-    frames = (rows.join(again.drop("_n"), id_col, "left")
-              .repartition(archives, F.xxhash64(id_col, "_url", F.substring("_text", 1, 64)))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = pages.select(id_col, F.col(url_col).alias("_url"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_sha"))
+    again = revisits(pages, id_col=id_col, text_col=text_col, min_bytes=min_bytes)
+    # both sides are dealt by the row's id and payload, once: the parts of the join are the archives
+    key = [id_col, "_sha"]
+    frames = (rows.repartition(archives, *key).join(again.repartition(archives, *key).hint("shuffle_hash"), key, "left")
               .mapInArrow(_archiver(id_col), "frame binary"))
     # bytes pass unchanged through the string type, which the text writer needs
     (frames.select(F.col("frame").cast("string").alias("value"))
@@ -160,12 +162,15 @@ def _reader(with_payload: bool):
                             open_frame = zstandard.ZstdDecompressor(dict_data=words)
                         at += 8 + size
                         continue
-                    step = open_frame.decompressobj()
-                    record = step.decompress(data[at:])
+                    # fed in small pieces, as what lies behind the frame's end is copied
+                    step, parts = open_frame.decompressobj(), []
+                    while not step.eof and at < len(data):
+                        parts.append(step.decompress(data[at:at + _PIECE]))
+                        at = min(at + _PIECE, len(data))
                     if not step.eof:
                         raise ValueError("truncated archive")
-                    at = len(data) - len(step.unused_data)
-                    f, payload = _parse(record)
+                    at -= len(step.unused_data)
+                    f, payload = _parse(b"".join(parts))
                     rows.append((_urn(f["WARC-Record-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]),
                                  f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], _urn(f.get("WARC-Refers-To")), payload))
                     if len(rows) == 256:
