@@ -34,7 +34,9 @@ BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner
                         "nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus cookie "
                         "cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing "
                         "social related recommended widget pagination pager toolbar login signup search contentinfo "
-                        "complementary dialog reply replies".split())
+                        "complementary dialog reply replies side".split())
+#: A container labelled as the header of the site or page is none of the article.
+SITE = frozenset("site page top global main".split())
 _KEPT_WHOLE = frozenset(("html", "body", "article", "main"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -58,8 +60,10 @@ def _is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
     if _HIDDEN.search(attrs):
         return True
     for m in _LABELS.finditer(attrs):
-        if any(p.lower() in BOILERPLATE for p in _PARTS.findall(m[1] or m[2] or m[3] or "")):
-            return True
+        for label in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(label)]
+            if not BOILERPLATE.isdisjoint(parts) or not in_content and "header" in parts and SITE.issuperset(set(parts) - {"header"}):
+                return True
     return False
 
 

@@ -57,7 +57,7 @@ def test_op1_equals_the_article(spark):
 
 
 def test_op1_leaves_out_what_is_not_the_article():
-    page = """<html><head><title>T</title></head><body><header>Site</header><nav><a href=x>Home</a></nav>
+    page = """<html><head><title>T</title></head><body><header>Site</header><div class="site-header">The name of this site and a slogan</div><div class="side-bar">aside words</div><nav><a href=x>Home</a></nav>
     <div id="main-content"><h1>Head &amp; line</h1><p>First <b>para</b>graph of many words here, long enough to win.
     <div class="ad-box">buy now</div><p>Second   paragraph<br>goes on &eacute;t cetera.</p><form>sign up<input></form>
     <ul><li>one<li>two</ul><script>if (a < b) { x("<p>no</p>") }</script><!-- <p>hidden</p> -->
@@ -263,7 +263,9 @@ def test_op8_merger_equals_the_library_on_random_bytes(monkeypatch):
     assert merger.counts([w.encode() for w in words]).tolist() == [len(tok.encode(w).ids) for w in words]
 
 
-def test_op9_equals_brute_force(spark):
+@pytest.mark.parametrize("segment_lines", [linededup.SEGMENT_LINES, 2])
+def test_op9_equals_brute_force(spark, monkeypatch, segment_lines):
+    monkeypatch.setattr(linededup, "SEGMENT_LINES", segment_lines)     # 2: most groups are large ones
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(20, 60))) for _ in range(30)]
 
