@@ -179,8 +179,11 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("long").alias("block"),
                       F.col(id_col), F.col(text_col).alias("_text"))
     src = src.mapInArrow(_squeeze(2), T.StructType([*src.schema.fields[:2], T.StructField("_text", T.BinaryType())]))
+    # as many partitions as groups, whatever the session's setting: a task holds a few at most
+    src = src.repartition(blocks, "block")
     sent = src.groupBy("block").applyInArrow(_send(order, bits), "block long, bucket long, n long, grams binary, counts binary")
-    answers = sent.groupBy("bucket").applyInArrow(_add_up, "block long, bucket long, n long, totals binary")
+    answers = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
+        _add_up, "block long, bucket long, n long, totals binary").repartition(blocks, "block")
     out = T.StructType([src.schema[id_col], T.StructField("n_words", T.LongType()), T.StructField("n_unseen", T.LongType()),
                         T.StructField("log10_score", T.DoubleType())])
     scored = src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(id_col, order, alpha), out)
