@@ -6,7 +6,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -30,11 +29,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_null_columns(df: DataFrame, **types: str) -> DataFrame:
-    """Add missing optional columns as typed nulls."""
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of an Arrow string column; nulls become empty texts.
 

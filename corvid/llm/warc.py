@@ -72,42 +72,44 @@ def _train(records: list[bytes]) -> bytes:
         return b"".join(sample)[-DICT_BYTES:] or b"WARC/1.1\r\n"
 
 
-def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
-    return zstandard.ZstdCompressionDict(data)
-
-
 def _archiver(id_col: str):
-    def frames(records):
+    def records_of(batch) -> list[bytes]:
+        col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+        offsets, raw = text_buffer(col["_text"])
+        rows = zip(col[id_col].to_pylist(), col["_url"].to_pylist(), col["refers_to"].to_pylist(), strict=True)
+        out = []
+        for k, (page_id, url, refers_to) in enumerate(rows):
+            payload = raw[offsets[k]:offsets[k + 1]].tobytes()
+            out.append(_record(page_id, url, payload, hashlib.sha256(payload).hexdigest(), refers_to))
+        return out
+
+    def begin(records):
+        """The dictionary frame of an archive that begins with ``records``, and its compressor."""
         data = _train(records)
-        yield struct.pack("<II", DICT_MAGIC, len(data)) + data
-        compress = zstandard.ZstdCompressor(level=_LEVEL, dict_data=_dictionary(data), write_content_size=True).compress
-        for r in records:
-            yield compress(r)
+        words = zstandard.ZstdCompressionDict(data)
+        return struct.pack("<II", DICT_MAGIC, len(data)) + data, zstandard.ZstdCompressor(
+            level=_LEVEL, dict_data=words, write_content_size=True).compress
+
+    def rows(frames):
+        return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     def run(batches):
-        head, size, compress = [], 0, None
+        first: list[bytes] = []       # records gathered for the dictionary
+        size, compress = 0, None
         for batch in batches:
-            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            offsets, raw = text_buffer(col["_text"])
-            records = []
-            for k, (i, u, r) in enumerate(zip(col[id_col].to_pylist(), col["_url"].to_pylist(), col["refers_to"].to_pylist(), strict=True)):
-                payload = raw[offsets[k]:offsets[k + 1]].tobytes()
-                records.append(_record(i, u, payload, hashlib.sha256(payload).hexdigest(), r))
-            if compress is None:  # gather the records of the dictionary first
-                head += records
-                size += sum(map(len, records))
-                if size < SAMPLE_BYTES:
-                    continue
-                records = head
-                out = list(frames(records))
-                compress = True
-                data = out[0][8:]
-            else:
-                make = zstandard.ZstdCompressor(level=_LEVEL, dict_data=_dictionary(data), write_content_size=True).compress
-                out = [make(r) for r in records]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-        if compress is None and head:
-            yield pa.RecordBatch.from_arrays([pa.array(list(frames(head)), pa.binary())], ["frame"])
+            records = records_of(batch)
+            if compress is not None:
+                yield rows([compress(r) for r in records])
+                continue
+            first += records
+            size += sum(map(len, records))
+            if size >= SAMPLE_BYTES:
+                frame, compress = begin(first)
+                yield rows([frame, *map(compress, first)])
+                first = []
+        if compress is None and first:
+            frame, compress = begin(first)
+            yield rows([frame, *map(compress, first)])
     return run
 
 
