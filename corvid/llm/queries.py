@@ -59,7 +59,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines taken out, near links, digest of the text left (see ``linededup``)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs).select(
+    return linededup.dedup_lines(docs, chars_per_edit=linededup.CHARS_PER_EDIT).select(
         "doc_id", "n_lines", "n_exact", "n_near", "n_links", F.length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"))
 

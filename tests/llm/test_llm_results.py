@@ -280,6 +280,33 @@ def test_op9_equals_brute_force(spark, monkeypatch, segment_lines):
     assert {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.n_links, r.text) for r in got.collect()} == brute.near_lines(docs)
 
 
+@pytest.mark.parametrize("segment_lines", [linededup.SEGMENT_LINES, 2])
+def test_op9_edits_grow_with_the_line(spark, monkeypatch, segment_lines):
+    monkeypatch.setattr(linededup, "SEGMENT_LINES", segment_lines)
+    rng = random.Random(11)
+    lines = []
+    for n in (30, 57, 60, 79, 120, 199, 200, 205, 260, 400, 700):
+        base = "".join(rng.choice("abcdeé nor") for _ in range(n))
+        lines.append(base)
+        for k in sorted({1, 2, 3, n // 20, n // 20 + 1, n // 20 + 2}):
+            s = list(base)
+            # evenly spread edits leave the shortest runs
+            for j in range(k):
+                i = (2 * j + 1) * n // (2 * k)
+                s[i] = rng.choice(["", s[i] + "X", "Y", "é"])
+            lines.append("".join(s))
+    rng.shuffle(lines)
+    lines = list(dict.fromkeys(lines))
+    want = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if abs(len(a) - len(b)) <= max(2, max(len(a), len(b)) // 20)
+            and brute.edits(a, b) <= max(2, max(len(a), len(b)) // 20)]
+    assert any(brute.edits(lines[i], lines[j]) > 30 for i, j in want)
+    docs = spark.createDataFrame([(i + 1, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id - 1: r for r in linededup.dedup_lines(docs, chars_per_edit=20).collect()}
+    gone = {i for i, _ in want}
+    assert {i: (r.n_near, r.text) for i, r in got.items()} == {i: (int(i in gone), "" if i in gone else x) for i, x in enumerate(lines)}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in want) for i in got}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_op9_band_equals_edit_distance(spark, k):
     rng = random.Random(k)
