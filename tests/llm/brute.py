@@ -104,18 +104,46 @@ def lm_scores(docs, order=3, alpha=0.4):
     return out
 
 
-def near_lines(docs, max_edits=2, min_chars=24):
+def segments(line, classes):
+    """(what the line holds in its own places, what it holds there or at the shifts that are looked at)."""
+    own, seen, n = set(), set(), len(line)
+    for c, (least, end, k, size) in enumerate(classes):
+        if least <= n and (end is None or n < end):
+            for side, many in ((0, (k + 2) // 2), (1, k + 1 - (k + 2) // 2)):
+                for i in range(many):
+                    for s in range(-i, i + 1):
+                        at = n - (i + 1) * size + s if side else i * size + s
+                        part = (c, side, i, line[at:at + size])
+                        seen.add(part)
+                        if s == 0:
+                            own.add(part)
+    return own, seen
+
+
+def limit(n, max_edits, per):
+    return max_edits if per is None else min(30, max(max_edits, n // per))
+
+
+def near_lines(docs, max_edits=2, min_chars=24, per=None):
     """Per document: (lines, exact repeats, near repeats, links, text left)."""
+    if per is None:
+        classes = [(min_chars, None, max_edits, min_chars // (max_edits + 1))]
+    else:
+        edge = [3 * per - limit(3 * per, max_edits, per), 6 * per - limit(6 * per, max_edits, per)]
+        classes = [(min_chars, 3 * per, max_edits, min_chars // (max_edits + 1)), (edge[0], 6 * per, max_edits + 1, edge[0] // (max_edits + 2)),
+                   (edge[1], None, max_edits + 1, edge[1] // (max_edits + 2))]
     keyed = [(d, i, ln) for d, t in sorted(docs) if t is not None for i, ln in enumerate(t.split("\n"))]
     first = {}
     for d, i, ln in keyed:
         if ln.strip():
             first.setdefault(ln, (d, i))
     distinct = [ln for ln in first if len(ln) >= min_chars]
+    parts = {ln: segments(ln, classes) for ln in distinct}
     near, links = set(), {}
     for i, a in enumerate(distinct):
         for b in distinct[i + 1:]:
-            if abs(len(a) - len(b)) <= max_edits and edits(a, b) <= max_edits:
+            most = limit(max(len(a), len(b)), max_edits, per)
+            if (abs(len(a) - len(b)) <= most and (parts[a][0] & parts[b][1] or parts[b][0] & parts[a][1]) and edits(a, b) <= most):
                 near.add(max((a, b), key=first.get))
                 for x in (a, b):
                     links[first[x][0]] = links.get(first[x][0], 0) + 1

@@ -26,7 +26,7 @@ def operators(spark):
         "simhash": lambda d: simhash.near_groups(d),
         "exact": lambda d: exactdup.exact_groups(d),
         "tokens": lambda d: tokencount.count_tokens(d),
-        "lines": lambda d: linededup.dedup_lines(d),
+        "lines": lambda d: linededup.dedup_lines(d, chars_per_edit=linededup.CHARS_PER_EDIT),
     }
 
 
@@ -112,7 +112,7 @@ def test_pipeline_decisions(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     # line dedup keeps every row, and each line stays where it is first
     out = {r.doc_id: r for r in stage("line_dedup")(spark, docs, sf).collect()}
-    want = brute.near_lines(list(texts.items()))
+    want = brute.near_lines(list(texts.items()), per=linededup.CHARS_PER_EDIT)
     assert {d: r.text for d, r in out.items()} == {d: w[4] for d, w in want.items()}
     assert all(r.n_chars == len(r.text) for r in out.values())
     # near-dedup leaves the smallest id of each component

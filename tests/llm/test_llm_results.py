@@ -295,19 +295,52 @@ def test_op9_edits_grow_with_the_line(spark, monkeypatch, segment_lines):
                 i = (2 * j + 1) * n // (2 * k)
                 s[i] = rng.choice(["", s[i] + "X", "Y", "é"])
             lines.append("".join(s))
+        for k in (n // 20, n // 20 + 1):
+            i = rng.randrange(n - k)                                       # many edits in one place
+            lines.append(base[:i] + "Z" * k + base[i + k:])
     rng.shuffle(lines)
     lines = list(dict.fromkeys(lines))
-    want = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if abs(len(a) - len(b)) <= max(2, max(len(a), len(b)) // 20)
-            and brute.edits(a, b) <= max(2, max(len(a), len(b)) // 20)]
-    assert any(brute.edits(lines[i], lines[j]) > 30 for i, j in want)
-    docs = spark.createDataFrame([(i + 1, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    got = {r.doc_id - 1: r for r in linededup.dedup_lines(docs, chars_per_edit=20).collect()}
-    gone = {i for i, _ in want}
-    assert {i: (r.n_near, r.text) for i, r in got.items()} == {i: (int(i in gone), "" if i in gone else x) for i, x in enumerate(lines)}
-    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in want) for i in got}
+    docs = [(i + 1, x) for i, x in enumerate(lines)]
+    want = brute.near_lines(docs, per=20)
+    within = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 30
+              and brute.edits(a, b) <= brute.limit(max(len(a), len(b)), 2, 20)]
+    # all pairs within a class's own threshold are linked, and some far beyond it
+    sure = [p for p in within if brute.edits(*p) <= (2 if max(map(len, p)) < 60 else 3)]
+    links = sum(w[3] for w in want.values()) // 2
+    assert len(sure) < links <= len(within) and any(brute.edits(*p) > 15 for p in within)
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.n_links, r.text)
+           for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), chars_per_edit=20).collect()}
+    assert got == want
+
 
+def test_op9_orders_negative_ids_and_separates_null_ids(spark):
+    a, b = "a line of more than twenty-four characters", "another line, as long as the one before it"
+    docs = [(-5, f"{a}\n{b}\n{a}"), (-2, b), (3, a), (None, f"{a}\nfirst null"), (None, f"{b}\nsecond null")]
+    got = {(r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(-5, f"{a}\n{b}"), (-2, ""), (3, ""), (None, "first null"), (None, "second null")}
 
-@pytest.mark.parametrize("k", [1, 2, 3])
+
+def test_op9_links_nearly_all_lines_within_the_limit(spark):
+    """Recall against all pairs of whole lines within the limit by length: rows with ids divisible by 50 against all."""
+    docs = table("documents", "doc_id, text")
+    lines = dict.fromkeys(ln for _, t in docs for ln in (t or "").split("\n") if len(ln) >= 24)
+    queries_ = {ln for d, t in docs if d % 5 == 0 for ln in (t or "").split("\n")}
+    classes = linededup.segment_classes(2, 24, 20)
+    parts = {ln: brute.segments(ln, classes) for ln in lines}
+    counts = {ln: np.bincount(np.frombuffer(ln.encode("utf-32-le"), "<u4") % 61, minlength=61) for ln in lines}
+    found = every = 0
+    for a in lines:
+        if a not in queries_:
+            continue
+        for b in lines:
+            most = brute.limit(max(len(a), len(b)), 2, 20)
+            if a != b and abs(len(a) - len(b)) <= most and np.abs(counts[a] - counts[b]).sum() <= 2 * most and brute.edits(a, b) <= most:
+                every += 1
+                found += bool(parts[a][0] & parts[b][1] or parts[b][0] & parts[a][1])
+    assert every >= 5 and found >= 0.9 * every
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 9])
 def test_op9_band_equals_edit_distance(spark, k):
     rng = random.Random(k)
     pairs = []
@@ -319,7 +352,7 @@ def test_op9_band_equals_edit_distance(spark, k):
             b[i:i + rng.randrange(0, 2)] = rng.choice(["", "a", "é"])
             b = b or ["a"]
         pairs.append((a, "".join(b) + "bbbb"[:rng.randrange(0, 3)]))
-    pairs = [(a, b) for a, b in pairs if len(b) > k]
+    pairs = [(a, b) for a, b in pairs if min(len(a), len(b)) > k]
     df = spark.createDataFrame(pairs, "a string, b string")
     assert sorted(rows(linededup.verified(df, "a", "b", k))) == sorted(p for p in pairs if brute.edits(*p) <= k)
 
