@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, tokencount, toxicity, warc
+from . import convtrie, decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, tokencount, toxicity, warc
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(read_table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per trie node of the rebuilt conversations: members, children, leaves, saved tokens, ends (see ``convtrie``)."""
+    return convtrie.shared_prefixes(read_table(spark, sf_dir, "conversations")).drop("path", "parent_path")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts, op9_line_dedup, op10_warc)}
+    op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts,
+    op9_line_dedup, op10_warc, op13_conversation_trie)}
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII string."""
+    step = "lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), "
+            f"lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), {step})), 4294967295)")
+
 
 def _words(text: str) -> str:
     low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -120,4 +135,24 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_conversation_trie": f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT c, md5(length(r)::VARCHAR || ':' || r || x) AS m, length(x) AS n,
+              row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(r)::VARCHAR || ':' || r || x)) - 1 AS pos FROM t),
+ v AS (SELECT c, {_crc32("c::VARCHAR")} % 6 AS h, c - c % 100 AS base, n_own FROM (SELECT c, count(*) AS n_own FROM t GROUP BY 1)),
+ w AS (SELECT v.*, least(v.h, coalesce(b.n_own, 0)) AS taken FROM v LEFT JOIN v b ON b.c = v.base),
+ q AS (SELECT w.c, o.pos, o.m, o.n FROM w JOIN o ON o.c = w.base AND o.pos < w.h
+       UNION ALL SELECT w.c, w.taken + o.pos - w.h, o.m, o.n FROM w JOIN o ON o.c = w.c AND o.pos >= w.h),
+ k AS (SELECT c, pos + 1 AS d, n, md5(array_to_string(list(m) OVER (PARTITION BY c ORDER BY pos), ' ')) AS key FROM q),
+ e AS (SELECT c, d, n, key, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') AS parent FROM k
+       UNION ALL SELECT c, 0, 0, '', NULL FROM w),
+ z AS (SELECT key, any_value(parent) AS parent, any_value(d) AS d, any_value(n) AS n, min(c) AS low, count(*) AS n_convs FROM e GROUP BY key),
+ y AS (SELECT parent, count(*) AS n_children FROM z WHERE parent IS NOT NULL GROUP BY 1),
+ u AS (SELECT z.*, coalesce(y.n_children, 0) AS n_children FROM z LEFT JOIN y ON y.parent = z.key),
+ s AS (SELECT e.key, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.n) AS saved
+       FROM u JOIN e ON e.c = u.low AND e.d <= u.d GROUP BY 1),
+ f AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM e WHERE d = (SELECT max(d) FROM e x WHERE x.c = e.c) GROUP BY 1)
+SELECT u.low AS conv_id, u.d AS depth, p.low AS parent_conv_id, u.n_convs, u.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM u JOIN s USING (key) LEFT JOIN f USING (key) LEFT JOIN z p ON p.key = u.parent""",
 }

@@ -29,7 +29,7 @@ def table(name, cols, sf=SF):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, duck, key):
 
 
 def test_every_operator_has_its_query():
-    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 14))
 
 
 def test_op1_equals_the_article(spark):
