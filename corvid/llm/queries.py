@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import convtrie, decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, tokencount, toxicity, warc
+from . import convtrie, decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, spelling, tokencount, toxicity, warc
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digest(read_table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per word of the corpus: its near words, form and root (see ``spelling``)."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per trie node of the rebuilt conversations: members, children, leaves, saved tokens, ends (see ``convtrie``)."""
     return convtrie.shared_prefixes(read_table(spark, sf_dir, "conversations")).drop("path", "parent_path")
@@ -76,7 +81,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts,
-    op9_line_dedup, op10_warc, op13_conversation_trie)}
+    op9_line_dedup, op10_warc, op11_spelling_variants, op13_conversation_trie)}
 
 
 def _crc32(text: str) -> str:
