@@ -124,8 +124,8 @@ def limit(n, max_edits, per):
     return max_edits if per is None else min(30, max(max_edits, n // per))
 
 
-def near_lines(docs, max_edits=2, min_chars=24, per=None):
-    """Per document: (lines, exact repeats, near repeats, links, text left)."""
+def near_lines(docs, max_edits=2, min_chars=24, per=None, links=None):
+    """Per document: (lines, exact repeats, near repeats, text left); pairs of near lines if ``links``."""
     if per is None:
         classes = [(min_chars, None, max_edits, min_chars // (max_edits + 1))]
     else:
@@ -139,23 +139,23 @@ def near_lines(docs, max_edits=2, min_chars=24, per=None):
             first.setdefault(ln, (d, i))
     distinct = [ln for ln in first if len(ln) >= min_chars]
     parts = {ln: segments(ln, classes) for ln in distinct}
-    near, links = set(), {}
+    near = set()
     for i, a in enumerate(distinct):
         for b in distinct[i + 1:]:
             most = limit(max(len(a), len(b)), max_edits, per)
             if (abs(len(a) - len(b)) <= most and (parts[a][0] & parts[b][1] or parts[b][0] & parts[a][1]) and edits(a, b) <= most):
                 near.add(max((a, b), key=first.get))
-                for x in (a, b):
-                    links[first[x][0]] = links.get(first[x][0], 0) + 1
+                if links is not None:
+                    links.append((a, b))
     out = {}
     for d, t in docs:
         if t is None:
-            out[d] = (0, 0, 0, 0, None)
+            out[d] = (0, 0, 0, None)
             continue
         lines = t.split("\n")
         exact = [ln.strip() != "" and first[ln] != (d, i) for i, ln in enumerate(lines)]
         gone = [e or ln in near for e, ln in zip(exact, lines)]
-        out[d] = (len(lines), sum(exact), sum(gone) - sum(exact), links.get(d, 0),
+        out[d] = (len(lines), sum(exact), sum(gone) - sum(exact),
                   "\n".join(ln for ln, g in zip(lines, gone) if not g))
     return out
 

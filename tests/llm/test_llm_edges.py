@@ -10,7 +10,7 @@ DOC = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "lone words here"), (None, None), (5, "same text twice"), (5, "same text twice"),
        (6, "same text twice"), (7, "word " * 60_000), (8, "x" * 100_000), (9, "日本語   é")]
 #: columns that operators use for results
-CLASH = ["n_words", "n_hit", "n_items", "item_ids", "contaminated", "n_lines", "n_exact", "n_near", "n_links", "p_toxic",
+CLASH = ["n_words", "n_hit", "n_items", "item_ids", "contaminated", "n_lines", "n_exact", "n_near", "p_toxic",
          "fingerprint", "component_id", "kept", "keep_id", "rid", "states", "lh", "n_bytes", "n_tokens", "over_limit", "_row", "score"]
 PAGES = "page_id long, url string, html string"
 CHAIN = toxicity.Chain(["low_quality", "toxic"], ["=idiot"], [__import__("numpy").array([0.0, -3.0]), __import__("numpy").array([9.0, 0.0, -4.0])])
@@ -113,7 +113,7 @@ def test_pipeline_decisions(spark, tmp_path):
     # line dedup keeps every row, and each line stays where it is first
     out = {r.doc_id: r for r in stage("line_dedup")(spark, docs, sf).collect()}
     want = brute.near_lines(list(texts.items()), per=linededup.CHARS_PER_EDIT)
-    assert {d: r.text for d, r in out.items()} == {d: w[4] for d, w in want.items()}
+    assert {d: r.text for d, r in out.items()} == {d: w[3] for d, w in want.items()}
     assert all(r.n_chars == len(r.text) for r in out.values())
     # near-dedup leaves the smallest id of each component
     groups = brute.simhash_groups(list(texts.items()))

@@ -277,7 +277,7 @@ def test_op9_equals_brute_force(spark, monkeypatch, segment_lines):
     docs = [(i, "\n".join(rng.choice([changed(rng.choice(base), rng.randrange(0, 5)), rng.choice(base), "", "short", " "])
                           for _ in range(rng.randrange(1, 6)))) for i in range(80)] + [(900, None), (901, ""), (902, "\n\n")]
     got = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.n_links, r.text) for r in got.collect()} == brute.near_lines(docs)
+    assert {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.text) for r in got.collect()} == brute.near_lines(docs)
 
 
 @pytest.mark.parametrize("segment_lines", [linededup.SEGMENT_LINES, 2])
@@ -301,14 +301,14 @@ def test_op9_edits_grow_with_the_line(spark, monkeypatch, segment_lines):
     rng.shuffle(lines)
     lines = list(dict.fromkeys(lines))
     docs = [(i + 1, x) for i, x in enumerate(lines)]
-    want = brute.near_lines(docs, per=20)
+    links = []
+    want = brute.near_lines(docs, per=20, links=links)
     within = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if abs(len(a) - len(b)) <= 30
               and brute.edits(a, b) <= brute.limit(max(len(a), len(b)), 2, 20)]
     # all pairs within a class's own threshold are linked, and some far beyond it
     sure = [p for p in within if brute.edits(*p) <= (2 if max(map(len, p)) < 60 else 3)]
-    links = sum(w[3] for w in want.values()) // 2
-    assert len(sure) < links <= len(within) and any(brute.edits(*p) > 15 for p in within)
-    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.n_links, r.text)
+    assert len(sure) < len(links) <= len(within) and any(brute.edits(*p) > 15 for p in within)
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.text)
            for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), chars_per_edit=20).collect()}
     assert got == want
 
