@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import convtrie, decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, spelling, tokencount, toxicity, warc
+from . import convtrie, decontaminate, exactdup, html_text, linededup, lmscore, pack, simhash, spelling, suffixdedup, tokencount, toxicity, warc
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +57,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines, lines taken out, near links, digest of the text left (see ``linededup``)."""
+    """Per document: lines, lines taken out, digest of the text left (see ``linededup``)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, chars_per_edit=linededup.CHARS_PER_EDIT).select(
-        "doc_id", "n_lines", "n_exact", "n_near", "n_links", F.length("text").cast("long").alias("n_chars"),
+        "doc_id", "n_lines", "n_exact", "n_near", F.length("text").cast("long").alias("n_chars"),
         F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -74,6 +74,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes taken out as repeats of an earlier document, digest of the rest (see ``suffixdedup``)."""
+    cut_docs = suffixdedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    left = F.octet_length("kept").cast("long")
+    return cut_docs.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                           F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per trie node of the rebuilt conversations: members, children, leaves, saved tokens, ends (see ``convtrie``)."""
     return convtrie.shared_prefixes(read_table(spark, sf_dir, "conversations")).drop("path", "parent_path")
@@ -81,7 +89,8 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_main_text, op2_toxicity, op3_decontaminate, op4_pack, op5_lm_score, op6_simhash_groups, op7_exact_dedup, op8_token_counts,
-    op9_line_dedup, op10_warc, op11_spelling_variants, op13_conversation_trie)}
+    op9_line_dedup, op10_warc, op11_spelling_variants, op12_suffix_dedup,
+    op13_conversation_trie)}
 
 
 def _crc32(text: str) -> str:
