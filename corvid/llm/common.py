@@ -5,7 +5,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -29,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(share: float, *cols) -> Column:
+    """Whether a row belongs to a sample of ``share`` of all rows, by the 64-bit hash of ``cols``."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*cols) < F.lit(int(share * 2**64) - 2**63)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of an Arrow string column; nulls become empty texts.
 

@@ -5,7 +5,8 @@ weights from labelled pages: pages that mark their content with ``<article>`` or
 ``<main>`` say which tags stand inside content and which outside.  One linear scan finds
 the contiguous run of tokens with the largest score.  The run is then widened to the
 container element that holds it, and known boilerplate inside (menus, adverts,
-comments ...) is left out.
+comments ...) is left out.  Every step is linear in the page, however deep its elements
+stand in each other or however many of its tags are never closed.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, dealt
 
 #: Labelled pages that the weights are fitted on, about.
 SAMPLE_PAGES = 2000
@@ -35,6 +36,16 @@ BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising banner
                         "cookies consent notice notices alert popup modal newsletter subscribe subscription share sharing "
                         "social related recommended widget pagination pager toolbar login signup search contentinfo "
                         "complementary dialog reply replies side".split())
+#: Labels that say little of a paragraph or headline inside content.
+WEAK = frozenset("social side search alert widget menu login signup dialog reply replies pager toolbar".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Names that weights are fitted for; others count as any other tag.
+NAMES = frozenset("a abbr acronym address applet area article aside audio b base bdi bdo big blockquote body br button canvas caption center "
+                  "cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure font "
+                  "footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li "
+                  "link main map mark menu meta meter nav noframes noscript object ol optgroup option output p param picture pre "
+                  "progress q rp rt ruby s samp script section select slot small source span strike strong style sub summary sup svg "
+                  "table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split())
 #: A container labelled as the header of the site or page is none of the article.
 SITE = frozenset("site page top global main".split())
 _KEPT_WHOLE = frozenset(("html", "body", "article", "main"))
@@ -62,70 +73,100 @@ def _is_boilerplate(name: str, attrs: str, in_content: bool) -> bool:
     for m in _LABELS.finditer(attrs):
         for label in (m[1] or m[2] or m[3] or "").split():
             parts = [p.lower() for p in _PARTS.findall(label)]
-            if not BOILERPLATE.isdisjoint(parts) or not in_content and "header" in parts and SITE.issuperset(set(parts) - {"header"}):
+            found = BOILERPLATE.intersection(parts)
+            if found and not (in_content and name in PROSE and found <= WEAK) or not in_content and "header" in parts and SITE.issuperset(set(parts) - {"header"}):
                 return True
     return False
 
 
+class Element:
+    """An open container: its parent and how deep it stands (0: the page)."""
+    __slots__ = ("name", "parent", "depth")
+
+    def __init__(self, name: str, parent: Element | None):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+
+
+_CONTENT = ("article", "main")
+_OPEN_END = re.compile(r"<(?:!--|[!?/])")
+
+
+def _matches(page: str):
+    """Matches of ``_TOKEN`` and where the page's text ends.
+
+    After the last ``>`` nothing but an unclosed comment or declaration can begin, so
+    unclosed tags are not looked for there again and again."""
+    end = page.rfind(">") + 1
+    last = None
+    for last in _TOKEN.finditer(page, 0, end):
+        yield last, None
+    open_ = last is not None and last.end() == end and (
+        last[0].startswith("<!--") and not last[0].endswith("-->") or last["raw"] and not re.search(rf"</{last['raw']}\s*>\Z", last[0], re.I))
+    stop = _OPEN_END.search(page, end)
+    yield None, end if open_ else stop.start() if stop else len(page)
+
+
 def tokens(page: str):
-    """Tokens of a page in order: ``(tag name or '', text, words, skipped, path)``.
+    """Tokens of a page in order: ``(tag name or '', text, words, skipped, container, in content)``.
 
-    ``path`` is the stack of open elements as ``(name, serial)``; raw-text elements,
-    comments and declarations leave no token."""
+    ``container`` is the innermost open ``Element`` of a container; a tag's is the one it
+    stands in (an end tag's: after it).  Raw-text elements, comments and declarations leave
+    no token."""
     out = []
-    stack: list[tuple[str, int, bool]] = []
-    path: tuple = ()
-    skipped = 0
-    content = 0
-    serial = 0
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text = html.unescape(page[at:m.start()])
-            if n := len(text.split()):
-                out.append(("", text, n, skipped > 0, path))
-            elif text:
-                out.append(("", text, 0, skipped > 0, path))
+    top = Element("", None)
+    stack: list[tuple[str, bool, Element | None]] = []     # name, skipped, container to go back to
+    open_names: dict[str, int] = {}
+    inner, skipped, content, at = top, 0, 0, 0
+
+    def words(text: str):
+        text = html.unescape(text)
+        if text:
+            out.append(("", text, len(text.split()), skipped > 0, inner, content > 0))
+
+    def push(name: str, skip: bool):
+        nonlocal inner, skipped, content
+        stack.append((name, skip, inner))
+        open_names[name] = open_names.get(name, 0) + 1
+        skipped += skip
+        content += name in _CONTENT
+        if name in CONTAINERS:
+            inner = Element(name, inner)
+
+    def pop():
+        nonlocal inner, skipped, content
+        name, skip, inner = stack.pop()
+        open_names[name] -= 1
+        skipped -= skip
+        content -= name in _CONTENT
+        return name
+
+    for m, stop in _matches(page):
+        begin = m.start() if m else stop
+        if begin > at:
+            words(page[at:begin])
+        if not m:
+            break
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
             continue
         name = name.lower()
         if m["close"] or m["close2"]:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] != name:
-                k -= 1
-            if k >= 0:
-                for gone in stack[k:]:
-                    skipped -= gone[2]
-                    content -= gone[0] in ("article", "main")
-                del stack[k:]
-                path = tuple(s[:2] for s in stack if s[0] in CONTAINERS)
-            out.append((name, "", 0, skipped > 0, path))
+            if open_names.get(name):
+                while pop() != name:
+                    pass
+            out.append((name, "", 0, skipped > 0, inner, content > 0))
             continue
         attrs = m["attrs"] or ""
-        out.append((name, "", 0, skipped > 0, path))
-        if name in VOID or attrs.endswith("/") or name not in BLOCKS and name not in CONTAINERS and name not in SKIPPED:
-            if name not in VOID and not attrs.endswith("/") and attrs and _is_boilerplate(name, attrs, content > 0):
-                serial += 1
-                stack.append((name, serial, True))
-                skipped += 1
+        out.append((name, "", 0, skipped > 0, inner, content > 0))
+        if name in VOID or attrs.endswith("/"):
             continue
-        serial += 1
-        skip = _is_boilerplate(name, attrs, content > 0)
-        if name in ("p", "li"):  # their end tags may be left out
-            if stack and stack[-1][0] == name:
-                skipped -= stack[-1][2]
-                stack.pop()
-        if name != "p" and name != "li" or skip:
-            stack.append((name, serial, skip))
-            skipped += skip
-            content += name in ("article", "main")
-            if name in CONTAINERS:
-                path = tuple(s[:2] for s in stack if s[0] in CONTAINERS)
-    if at < len(page):
-        text = html.unescape(page[at:])
-        out.append(("", text, len(text.split()), skipped > 0, path))
+        block = name in BLOCKS or name in CONTAINERS or name in SKIPPED
+        skip = bool(block or attrs) and _is_boilerplate(name, attrs, content > 0)
+        if name in ("p", "li") and stack and stack[-1][0] == name:   # their end tags may be left out
+            pop()
+        if skip or block and name not in ("p", "li"):
+            push(name, skip)
     return out
 
 
@@ -147,30 +188,29 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     toks = tokens(page)
     word, other = weights[""], weights["*"]
     scores = np.array([(-word if skip else word) * n if not name else weights.get(name, other)
-                       for name, _, n, skip, _ in toks] or [0.0])
+                       for name, _, n, skip, *_ in toks] or [0.0])
     i, j = best_run(scores)
     if i == j:
         return ""
-    # the container that holds the whole run
-    paths = [toks[k][4] for k in range(i, j) if not toks[k][0] and toks[k][2]]
-    common = paths[0]
-    for p in paths[1:]:
-        n = 0
-        while n < len(common) and n < len(p) and common[n] == p[n]:
-            n += 1
-        common = common[:n]
-    for k, (name, _) in enumerate(common):  # content marked as such is one unit
-        if name in ("article", "main"):
-            common = common[:k + 1]
-            break
-    depth = len(common)
+    # the container that holds the whole run: the shallowest one between its first and last words
+    said = [k for k in range(i, j) if not toks[k][0] and toks[k][2]]
+    depth = min(t[4].depth for t in toks[said[0]:said[-1] + 1])
+    held = toks[said[0]][4]
+    while held.depth > depth:
+        held = held.parent
+    above = held
+    while above:                                  # content marked as such is one unit
+        if above.name in _CONTENT:
+            depth = above.depth
+        above = above.parent
+    # its tokens stand together: leaving it takes a tag that stands further out
+    first, last = said[0], said[-1]
+    while first and toks[first - 1][4].depth >= depth:
+        first -= 1
+    while last + 1 < len(toks) and toks[last + 1][4].depth >= depth:
+        last += 1
     blocks, line = [], []
-    for name, text, _, skip, path in toks:
-        if path[:depth] != common:
-            if line:
-                blocks.append(" ".join("".join(line).split()))
-                line = []
-            continue
+    for name, text, _, skip, *_ in toks[first:last + 1]:
         if name:
             if name in BLOCKS:
                 blocks.append(" ".join("".join(line).split()))
@@ -188,11 +228,12 @@ def _label(batches):
         counts: dict[tuple[str, bool], int] = {}
         for page in batch.column(0).to_pylist():
             toks = tokens(page or "")
-            if not any(p and any(n in ("article", "main") for n, _ in p) for *_, p in toks):
+            if not any(t[5] for t in toks):
                 continue
-            for name, _, n, skip, path in toks:
-                inside = not skip and any(x in ("article", "main") for x, _ in path)
-                key = (name, inside)
+            for name, _, n, skip, _, content in toks:
+                if name and name not in NAMES:
+                    continue
+                key = (name, content and not skip)
                 counts[key] = counts.get(key, 0) + (1 if name else n)
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
@@ -201,18 +242,21 @@ def _label(batches):
 
 def fit_weights(pages: DataFrame, *, id_col: str = "page_id", text_col: str = "html",
                 sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Token weights from about ``sample_pages`` pages (all, if there are fewer), dealt by id hash.
+    """Token weights from about ``sample_pages`` of the pages that mark content (all, if there are
+    fewer), dealt by hash; ``DEFAULT_WEIGHTS`` if no page does.
 
     The weight of a tag is its log odds of standing in content, made negative; a word's
-    is its own log odds, made positive.  Only names of HTML's own length are kept."""
-    total = pages.count()
-    share = min(1.0, sample_pages / max(1, total))
-    part = pages.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
+    is its own log odds, made positive.  Names that HTML does not have weigh as any other."""
+    marked = pages.where(F.col(text_col).rlike("(?i)<(article|main)\\b"))
+    total = marked.count()
+    if not total:
+        return dict(DEFAULT_WEIGHTS)
+    part = marked.where(dealt(min(1.0, sample_pages / total), id_col, text_col))
     rows = (part.select(F.col(text_col).alias("_html")).mapInArrow(_label, "name string, inside boolean, n long")
-            .where(F.length("name") <= 10).groupBy("name").agg(
-                F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"),
-                F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("n_out"))
-            .orderBy(F.desc(F.col("n_in") + F.col("n_out"))).limit(256).collect())
+            .groupBy("name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("n_in"),
+                                 F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("n_out")).collect())
+    if not rows and total > sample_pages:
+        raise RuntimeError(f"none of {total} pages with marked content was drawn, or none has content")
     n_in, n_out = sum(r.n_in for r in rows), sum(r.n_out for r in rows)
     if not n_in or not n_out:
         return dict(DEFAULT_WEIGHTS)

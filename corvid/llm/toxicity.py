@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, dealt
 
 #: Labelled rows that the chain is fitted on, about (all, if there are fewer).
 SAMPLE_ROWS = 20_000
@@ -64,12 +64,14 @@ def text_features(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.nd
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories, rows: int) -> DataFrame:
-    """Labelled texts: about ``rows`` label rows, dealt by id hash, joined to their texts."""
+    """Labelled texts: about ``rows`` label rows (all, if there are fewer), dealt by id hash, joined to
+    their texts and stored.  Labels without a text are not in it."""
     total = labels.count()
     share = min(1.0, rows / max(1, total))
-    part = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
-    part = part.select(id_col, F.array(*[F.col(c).cast("int") for c in categories]).alias("_y"))
-    return docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(part), id_col).select(id_col, "_text", "_y")
+    part = cut(labels.where(dealt(share, id_col, F.lit("sample"))).select(id_col, F.array(*[F.col(c).cast("int") for c in categories]).alias("_y")))
+    if total and part.isEmpty():
+        raise RuntimeError(f"no row of {total} labels was drawn: ids do not tell them apart")
+    return cut(docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(part), id_col).select(id_col, "_text", "_y"))
 
 
 def _count_features(k: int):

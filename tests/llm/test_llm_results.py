@@ -70,6 +70,41 @@ def test_op1_leaves_out_what_is_not_the_article():
     assert html_text.extract("<p>" * 5, html_text.DEFAULT_WEIGHTS) == "" == html_text.extract(None, html_text.DEFAULT_WEIGHTS)
 
 
+def test_op1_is_linear_in_hostile_pages():
+    import time
+    weights = html_text.DEFAULT_WEIGHTS
+    for page in ("<div>" * 200_000 + "x", "<p " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<div>a " * 100_000, '<p " ' * 200_000 + ">", "<" * 1_000_000):
+        began = time.process_time()
+        html_text.extract(page, weights)
+        assert time.process_time() - began < 2.0
+    assert html_text.extract("<div>" * 5000 + "x", weights) == "x"
+    assert html_text.extract("<p>kept words</p><!-- open > comment <p>no", weights) == "kept words"
+    assert html_text.extract("<p>kept words<script>if (a > b) x", weights) == "kept words"
+
+
+def test_op1_keeps_paragraphs_with_weak_labels():
+    page = "<article><p>first words of a text</p><p class='social'>a paragraph about social life</p><p class='advert'>buy</p><div class='social'>share</div></article>"
+    assert html_text.extract(page, html_text.DEFAULT_WEIGHTS) == "first words of a text\n\na paragraph about social life"
+
+
+def test_op1_weights_come_from_marked_pages(spark):
+    plain = [(i, f"<div><p>page {i}</p></div>") for i in range(300)]
+    marked = [(1000 + i, "<nav><a>Home</a></nav><main><p>many words of content stand here</p></main>") for i in range(3)]
+    df = spark.createDataFrame(plain + marked, "page_id long, html string")
+    few = html_text.fit_weights(df, sample_pages=3)
+    assert few == html_text.fit_weights(spark.createDataFrame(marked, "page_id long, html string")) != html_text.DEFAULT_WEIGHTS
+    assert html_text.fit_weights(spark.createDataFrame(plain, "page_id long, html string")) == html_text.DEFAULT_WEIGHTS
+
+
+def test_samples_are_dealt_by_64_bits(spark):
+    from corvid.llm.common import dealt
+    ids = spark.range(200_000)
+    for share in (0.5, 0.01, 1.0):
+        n = ids.where(dealt(share, "id")).count()
+        assert abs(n - share * 200_000) <= 5 * (share * 200_000) ** 0.5 and (share < 1 or n == 200_000)
+    assert ids.where(dealt(1e-12, "id")).count() == 0 and "-92233720368" in str(dealt(1e-12, "id"))
+
+
 def test_op1_best_run_is_the_best():
     rng = random.Random(3)
     for _ in range(200):
@@ -95,6 +130,52 @@ def test_op2_finds_toxic_texts_it_has_not_seen(spark):
     assert len(toxic) > 10 and sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
+def test_op2_equals_a_plain_chain(spark):
+    """Features, chain and scores against dense matrices and plain Newton steps."""
+    rng = random.Random(8)
+    mild, rude, plain = ["boring", "dull", "empty"], ["fooled", "horrid", "nasty"], ["river", "stone", "cloud", "paper", "green", "seven", "ocean"]
+    docs, labels = [], []
+    for i in range(240):
+        low, bad = rng.random() < 0.4, rng.random() < 0.3
+        words = [rng.choice(plain) for _ in range(6)] + [rng.choice(mild)] * (low and rng.random() < 0.9) + [rng.choice(rude)] * (bad and rng.random() < 0.9)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(low), int(bad)))
+    d, y_table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, low int, bad int")
+    chain = toxicity.train(d, y_table, ["low", "bad"])
+    folds = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+
+    def features(text):
+        out = set()
+        for w in set(text.split()):
+            out |= {"=" + w} | {"^" + w[:k] for k in range(3, 7) if len(w) >= k} | {"$" + w[-k:] for k in range(3, 6) if len(w) >= k}
+        return out
+    x = np.array([[float(f in features(t)) for f in chain.features] for _, t in docs])
+
+    def newton(x, y):
+        x = np.column_stack([x, np.ones(len(x))])
+        w, ridge = np.zeros(x.shape[1]), np.diag([0.1] * (x.shape[1] - 1) + [0.0])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge @ w)
+        return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
+
+    def logit(p):
+        p = np.clip(p, 1e-4, 1 - 1e-4)
+        return np.log(p / (1 - p))[:, None]
+    y = np.array([lab[1:] for lab in labels], float)
+    fold = np.array([folds[i] for i, _ in docs])
+    first = newton(x, y[:, 0])
+    out_of_fold = np.zeros(len(docs))
+    for f in range(toxicity.FOLDS):
+        out_of_fold[fold == f] = newton(x[fold != f], y[fold != f, 0])(x[fold == f])
+    second = newton(np.column_stack([x, logit(out_of_fold)]), y[:, 1])
+    p0 = first(x)
+    want = np.column_stack([p0, second(np.column_stack([x, logit(p0)]))])
+    got = {r.doc_id: (r.p_low, r.p_bad) for r in toxicity.score(d, chain).collect()}
+    assert np.abs(np.array([got[i] for i, _ in docs]) - want).max() < 0.01
+    assert any("fooled" in f for f in chain.features) and len(chain.features) > 5
+
+
 def test_op2_chain_feeds_earlier_probabilities_out_of_fold():
     rng = np.random.default_rng(0)
     y0 = rng.integers(0, 2, 400)
