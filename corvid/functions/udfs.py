@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chat import ASSISTANT_MARKER
+from .chat import ASSISTANT_MARKER, PROMPT
 from .tokens import Encoder
 
 TOOL_CALL = T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])
@@ -142,6 +142,68 @@ def strict_body_udf(bodies: pd.Series) -> pd.Series:
     return bodies.map(one)
 
 
+class _NoPrompt(Exception):
+    """The template cannot be filled from this request."""
+
+
+def _template_json(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _joined_text(value) -> str:
+    """Content that the template adds to other text: only a string can be."""
+    if not isinstance(value, str):
+        raise _NoPrompt
+    return value
+
+
+def _template_call(call) -> dict:
+    call = _objects(call) if isinstance(call, dict) else {}
+    of = call["function"] if "function" in call else call
+    if not isinstance(of, dict) or "arguments" not in of:
+        raise _NoPrompt
+    return {"name": str(of.get("name", "")), "arguments": _template_json(of["arguments"])}
+
+
+def _template_message(message, first: bool, tools: bool) -> dict:
+    message = message if isinstance(message, dict) else {}
+    role, content = message.get("role"), message.get("content")
+    calls = message.get("tool_calls") or []
+    if role == "assistant" and calls:
+        # a turn that only calls has no text
+        return {"role": role, "content": _joined_text(content) if content else None, "calls": [_template_call(c) for c in calls]}
+    if role == "tool" or role == "system" and first and tools:     # written out, not added
+        return {"role": role, "content": "" if "content" not in message else str(content), "calls": None}
+    if role in ("user", "assistant", "system"):
+        return {"role": role, "content": _joined_text(content), "calls": None}
+    return {"role": role if isinstance(role, str) else None, "content": None, "calls": None}
+
+
+def prompt_parts(body: str | None) -> dict | None:
+    """What the chat template needs of a request body, or None if it is no prompt.
+
+    Tool-call arguments given as JSON text are decoded (C4); nested values are written as
+    the template does, in the order of their keys."""
+    request = strict_json(body)
+    messages = request.get("messages") if isinstance(request, dict) else None
+    tools = (request.get("tools") or []) if isinstance(request, dict) else []
+    if not isinstance(messages, list) or not messages or not isinstance(tools, list | dict | str):
+        return None
+    try:
+        return {"messages": [_template_message(m, i == 0, bool(tools)) for i, m in enumerate(messages)],
+                "tools": [_template_json(t) for t in tools]}
+    except _NoPrompt:
+        return None
+
+
+@F.pandas_udf(PROMPT)
+def prompt_parts_udf(bodies: pd.Series) -> pd.DataFrame:
+    """``prompt_parts`` of each body; a body without a prompt has no messages."""
+    parts = [prompt_parts(b) or {"messages": None, "tools": None} for b in bodies]
+    return pd.DataFrame({"messages": pd.Series([p["messages"] for p in parts], dtype=object),
+                         "tools": pd.Series([p["tools"] for p in parts], dtype=object)})
+
+
 # ------------------------------------------------------------------ U1
 _TOKENIZERS: dict[str, object] = {}
 

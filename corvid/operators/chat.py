@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import udfs as U
+from ..functions.chat import render_prompt
 from ..functions.text import py_lstrip, py_strip
+from ..functions.tokens import Encoder, hash_encoder
 from ..plans.barrier import compute_once
 
 # Generation defaults of the reference server.
@@ -142,6 +144,24 @@ def messages_prepare(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumn("prepared_messages", U.prepare_messages_udf(msgs))
 
 
+def request_prompt(df: DataFrame, body: str = "body", add_generation_prompt: bool = True) -> DataFrame:
+    """P2 of a request body: ``prompt``, the filled chat template with tool list, calls and
+    tool turns; null where there are no messages or the template cannot be filled (content
+    that is no text, a call without arguments)."""
+    parts = df.withColumn("_parts", U.prompt_parts_udf(F.col(body)))
+    return parts.withColumn("prompt", F.when(F.col("_parts.messages").isNotNull(), render_prompt(F.col("_parts"), add_generation_prompt))).drop("_parts")
+
+
+def prompt_usage(df: DataFrame, encoder: Encoder | None = None, body: str = "body") -> DataFrame:
+    """Exact prompt counts from the request itself: body, prompt (P2), token ids (P3), count.
+
+    Adds ``prompt`` and ``prompt_tokens_est`` (null without a prompt), the column that
+    :func:`usage_totals` falls back on where generation has reported no count."""
+    encoder = encoder or hash_encoder()
+    held = compute_once(request_prompt(df, body), _ids=encoder.ids(F.col("prompt")))
+    return held.withColumn("prompt_tokens_est", F.when(F.col("prompt").isNotNull(), F.size("_ids"))).drop("_ids")
+
+
 def tool_call_extract(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Remaining text and the parsed calls (ARRAY<STRUCT<name, arguments>>).
 
@@ -149,28 +169,33 @@ def tool_call_extract(df: DataFrame, text: str = "raw_text") -> DataFrame:
     the block, and the whole text without fences.  Python only decodes candidates, and
     only for texts that begin with a fence or an object; all others pass through."""
     raw = F.col(text)
-    lead = py_lstrip(raw)
+    lead = F.col("_lead")
+    df = compute_once(df, _lead=py_lstrip(raw))
     fenced = lead.startswith("```")
     may_call = fenced | lead.startswith("{")
     block = r"^```(?:json)?([\s\S]*?)```([\s\S]*)$"
     closed = fenced & lead.rlike(block)
-    body = F.when(closed, py_strip(F.regexp_extract(lead, block, 1)))
-    rest = F.when(closed, py_lstrip(F.regexp_extract(lead, block, 2)))
-    bare = py_strip(raw)
-    whole = F.when(fenced, py_strip(F.regexp_replace(F.regexp_replace(bare, r"^```(?:json)?", ""), r"`+\z", ""))).otherwise(bare)
-    fence_rest = py_strip(rest)
-    rest_bare = F.when(fence_rest.startswith("```"), py_strip(F.regexp_replace(
-        F.regexp_replace(fence_rest, r"^```(?:json)?", ""), r"`+\z", ""))).otherwise(fence_rest)
-    held = compute_once(df, _gate=may_call, _rest=rest, _cands=F.array(body, rest_bare, whole))
+
+    def without_fences(t: Column) -> Column:
+        return py_strip(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"`+\z", ""))
+    # one row in two steps: what is cut out first is not cut again by what reads it; other texts meet no pattern
+    held = compute_once(df, _gate=may_call, _cut=F.when(may_call, F.struct(
+        F.when(closed, F.regexp_extract(lead, block, 1)).alias("body"), F.when(closed, py_lstrip(F.regexp_extract(lead, block, 2))).alias("rest"),
+        py_strip(lead).alias("bare"))))
+    rest = F.col("_cut.rest")
+    held = compute_once(held, _bare_rest=F.when(F.col("_gate"), py_strip(rest)))
+    after = F.when(F.col("_bare_rest").startswith("```"), without_fences(F.col("_bare_rest"))).otherwise(F.col("_bare_rest"))
+    whole = F.when(F.col("_cut.bare").startswith("```"), without_fences(F.col("_cut.bare"))).otherwise(F.col("_cut.bare"))
+    held = compute_once(held, _rest=rest, _cands=F.when(F.col("_gate"), F.array(py_strip(F.col("_cut.body")), after, whole)))
     # of rows that cannot hold a call Python sees nulls
-    decoded = held.withColumn("_calls", U.decode_calls_udf(F.when(F.col("_gate"), F.col("_cands"))))
+    decoded = held.withColumn("_calls", U.decode_calls_udf(F.col("_cands")))
     one, two, all_text = (F.get("_calls", F.lit(i)) for i in range(3))
     found = F.filter(F.when(one.isNotNull(), F.array(one, two)).otherwise(F.array(all_text)), lambda c: c.isNotNull())
     content = (F.when(one.isNotNull() & two.isNull(), F.col("_rest"))
                .when(one.isNotNull() | all_text.isNotNull(), F.lit("")).otherwise(raw))
     return decoded.withColumns(
         {"content": content, "tool_calls": F.coalesce(found, F.array().cast(T.ArrayType(U.TOOL_CALL)))}
-    ).drop("_gate", "_rest", "_cands", "_calls")
+    ).drop("_lead", "_cut", "_bare_rest", "_gate", "_rest", "_cands", "_calls")
 
 
 def tool_call_rows(extracted: DataFrame, key: str = "request_id") -> DataFrame:

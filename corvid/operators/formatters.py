@@ -37,7 +37,7 @@ PROMPT_CUT_MARKER = "### Output:"
 MIN_TEST_SCORE = 0.8
 MIN_LLM_SCORE = 4.5
 
-# Python-regex equivalents (anchored so that only the first match is replaced).
+# The patterns of the reference.  Python-regex equivalents (anchored so that only the first match is replaced).
 PY_DOCSTRING_FIRST = (r"(?U)^([\s\S]*?def\s+\w+[^:]*:[ \t]*\n)([ \t]*)"
                       r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')")
 JAVADOC_FIRST = r"^([\s\S]*?)/\*\*[\s\S]*?\*/"
@@ -122,21 +122,24 @@ def fmt_docstring(df: DataFrame) -> Column:
 
 def fmt_fanout(df: DataFrame) -> Column:
     """F8: one 'solve in L' sample per solution, then every ordered pair 'convert A to B'."""
-    content = blank_to_null(F.col("content"))
     sols = F.filter(F.array(*[F.struct(F.lit(d).alias("display"), blank_to_null(F.col(f"`{c}`")).alias("code"))
                               for c, d in FANOUT_LANGUAGES]), lambda s: s["code"].isNotNull())
-    solve = F.transform(sols, lambda s: messages(
-        ("user", F.concat(F.lit("Solve the following coding problem in "), s["display"], F.lit(":\n\n"), content)),
-        ("assistant", s["code"])))
-    indexed = F.transform(sols, lambda s, j: F.struct(s["display"].alias("display"), s["code"].alias("code"),
-                                                      j.alias("j")))
-    convert = F.flatten(F.transform(indexed, lambda a: F.transform(
-        F.filter(indexed, lambda b: b["j"] != a["j"]),
-        lambda b: messages(
-            ("user", F.concat(F.lit("Convert the following "), a["display"], F.lit(" solution to "),
-                              b["display"], F.lit(":\n\n"), a["code"])),
-            ("assistant", b["code"])))))
-    return F.when(content.isNotNull() & (F.size(sols) > 0), F.concat(solve, convert))
+
+    def samples(of: Column) -> Column:
+        content, sols = of["content"], of["sols"]
+        solve = F.transform(sols, lambda s: messages(
+            ("user", F.concat(F.lit("Solve the following coding problem in "), s["display"], F.lit(":\n\n"), content)),
+            ("assistant", s["code"])))
+        convert = F.flatten(F.transform(sols, lambda a, i: F.transform(
+            F.filter(sols, lambda b, j: j != i),
+            lambda b: messages(
+                ("user", F.concat(F.lit("Convert the following "), a["display"], F.lit(" solution to "),
+                                  b["display"], F.lit(":\n\n"), a["code"])),
+                ("assistant", b["code"])))))
+        return F.when(content.isNotNull() & (F.size(sols) > 0), F.concat(solve, convert))
+
+    # the stripped texts are bound once per row; every sample reads them from there
+    return F.get(F.transform(F.array(F.struct(blank_to_null(F.col("content")).alias("content"), sols.alias("sols"))), samples), F.lit(0))
 
 
 def fmt_bidirectional(df: DataFrame) -> Column:

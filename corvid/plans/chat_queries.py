@@ -3,9 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tokens import DEFAULT_VOCAB
+from ..functions.chat import ASSISTANT_MARKER, IM_END, IM_START, QWEN_DEFAULT_SYSTEM, TOOLS_HEAD, TOOLS_TAIL
+from ..functions.tokens import DEFAULT_VOCAB, PIECE_PATTERN
 from ..operators import chat as CH
 from ..sources.fixtures import view
+from . import duck
 from .registry import register
 
 EOS = DEFAULT_VOCAB.eos_id
@@ -77,6 +79,65 @@ def q_prepare(spark, sf):
                     F.get_json_object("prepared_messages", "$[1].tool_calls[0].function.arguments.k").alias("arg_k"))
 
 
+_SYSTEM = f"{IM_START}system\n{QWEN_DEFAULT_SYSTEM}"
+_CALL = """'\n<tool_call>\n{{"name": "' || {name} || '", "arguments": ' || {args} || '}}\n</tool_call>'"""
+
+
+def _d_prompts():
+    """Expected prompts, written out from the tables that the bodies are made of."""
+    def nl(text):
+        return text.replace("\n", "' || chr(10) || '")
+    head, tail, end = (nl(duck.q(x)) for x in (TOOLS_HEAD, TOOLS_TAIL, IM_END + "\n"))
+    ask = nl(duck.q(ASSISTANT_MARKER))
+    start, default = duck.q(IM_START), nl(duck.q(_SYSTEM))
+    tool = """'{"type": "function", "function": {"name": "f", "parameters": {"type": "object", "z": {"k": "é"}, "a": [1, 2.5, true, null]}}}'"""
+    call = nl(_CALL)
+    answer = nl("'\n<tool_response>\n' || {x} || '\n</tool_response>'")
+    return f"""
+WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(coalesce(text, '') ORDER BY turn) AS texts FROM conversations GROUP BY conv_id),
+a AS (SELECT 'requests' AS src, v.request_id, CASE WHEN form IN (2, 3, 6) THEN NULL ELSE
+  CASE WHEN t.roles[1] = 'system' THEN {start} || 'system' || chr(10) || t.texts[1] ELSE {default} END ||
+  CASE WHEN form = 4 THEN {head} || chr(10) || '{{"type": "function"}}' || {tail} ELSE '' END || {end} ||
+  array_to_string(list_transform(range(1, len(t.roles) + 1), lambda i: CASE WHEN t.roles[i] = 'system' AND i = 1 THEN '' ELSE
+    {start} || t.roles[i] || chr(10) || t.texts[i] || {end} END), '') || {ask} END AS prompt
+  FROM v_requests v JOIN t ON t.conv_id = v.request_id),
+h AS (SELECT 'history' AS src, request_id, {default} || {end} || {start} || 'user' || chr(10) || 'q' || {end} || {start} || 'assistant' ||
+  {call.format(name='e.event_type', args="CASE WHEN request_id % 3 = 1 THEN '" + chr(34) + "x{" + chr(34) + "' ELSE e.props END")} || {end} || {ask} AS prompt
+  FROM v_tool_history JOIN events e ON e.event_id = request_id),
+c AS (SELECT 'tools' AS src, request_id, CASE WHEN request_id % 2 = 0 THEN {start} || 'system' || chr(10) || 'Be brief.' ELSE {default} END ||
+  CASE WHEN request_id % 5 = 0 THEN '' ELSE {head} || chr(10) || {tool} || {tail} END || {end} ||
+  {start} || 'user' || chr(10) || 'run ' || event_type || {end} || {start} || 'assistant' || CASE WHEN request_id % 3 = 2 THEN chr(10) || 'Let me see.' ELSE '' END ||
+  {call.format(name='event_type', args='props')} || {call.format(name="'g'", args='props')} || {end} ||
+  {start} || 'user' || {answer.format(x="'one'")} || {answer.format(x='CAST(user_id AS VARCHAR)')} || {end} ||
+  {start} || 'assistant' || chr(10) || 'done' || {end} || {start} || 'user' || chr(10) || 'thanks é' || {end} ||
+  {start} || 'user' || {answer.format(x="'late'")} || {end} || {ask} AS prompt FROM v_tool_chat),
+p AS (SELECT * FROM a UNION ALL SELECT * FROM h UNION ALL SELECT * FROM c)"""
+
+
+def _bodies(spark, sf):
+    parts = [view(spark, sf, v).select(F.lit(src).alias("src"), "request_id", "body")
+             for src, v in (("requests", "v_requests"), ("history", "v_tool_history"), ("tools", "v_tool_chat"))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@register("chat_prompt_tools", ("v_requests", "v_tool_history", "v_tool_chat"), _d_prompts() + """
+SELECT src, request_id, prompt FROM p""")
+def q_prompt_tools(spark, sf):
+    return CH.request_prompt(_bodies(spark, sf)).drop("body")
+
+
+@register("prompt_usage", ("v_requests", "v_tool_history", "v_tool_chat"), _d_prompts() + f"""
+SELECT src AS model, count(*) AS n_requests, CAST(sum(n) AS BIGINT) AS prompt_tokens, CAST(sum(done) AS BIGINT) AS completion_tokens,
+ CAST(sum(n + done) AS BIGINT) AS total_tokens
+FROM (SELECT src, CASE WHEN request_id % 4 = 0 THEN 11 ELSE len(regexp_extract_all(prompt, {duck.q(PIECE_PATTERN)}, 0)) END AS n, request_id % 97 AS done FROM p)
+GROUP BY src""")
+def q_prompt_usage(spark, sf):
+    counted = CH.prompt_usage(_bodies(spark, sf)).select(
+        F.col("src").alias("model"), "prompt_tokens_est", F.when(F.col("request_id") % 4 == 0, 11).alias("prompt_tokens_exact"),
+        (F.col("request_id") % 97).alias("completion_tokens"))
+    return CH.usage_totals(counted)
+
+
 def _d_calls():
     forms = ", ".join(str(x) for x in CALL_FORMS)
     return f"""

@@ -249,6 +249,21 @@ FROM events
 """)
 
 
+# a request with tools: calls with text and object arguments, tool turns in a row and alone
+_TOOL_CHAT = """
+SELECT event_id AS request_id, '{"messages":[' || CASE WHEN event_id%2=0 THEN '{"role":"system","content":"Be brief."},' ELSE '' END ||
+ '{"role":"user","content":"run ' || event_type || '"},{"role":"assistant","content":' ||
+ CASE event_id%3 WHEN 0 THEN 'null' WHEN 1 THEN '""' ELSE '"Let me see."' END || ',"tool_calls":[{"id":"c1","type":"function","function":{"name":"' ||
+ event_type || '","arguments":"' || replace(props, '"', '{quote}') || '"}},{"id":"c2","type":"function","function":{"name":"g","arguments":' || props ||
+ '}}]},{"role":"tool","tool_call_id":"c1","content":"one"},{"role":"tool","tool_call_id":"c2","content":"' || CAST(user_id AS {string}) ||
+ '"},{"role":"assistant","content":"done"},{"role":"user","content":"thanks é"},{"role":"tool","content":"late"}]' ||
+ CASE WHEN event_id%5=0 THEN '' ELSE ',"tools":[{"type":"function","function":{"name":"f","parameters":{"type":"object","z":{"k":"é"},"a":[1,2.50,true,null]}}}]' END ||
+ '}' AS body, event_type, props, user_id
+FROM events
+"""
+_view("v_tool_chat", (), _TOOL_CHAT.replace("{quote}", '\\\\"').replace("{string}", "STRING"), _TOOL_CHAT.replace("{quote}", '\\"').replace("{string}", "VARCHAR"))
+
+
 def _order(names):
     seen, out = set(), []
 
