@@ -8,10 +8,9 @@ aggregation is a codegen'd hash aggregate with map-side partial combine; no
 row is exploded per expert.
 
 Group sizes: (session, step, layer) groups hold the tokens of one forward
-pass; (session, step) groups hold ``num_layers`` layer rows; per-session
-windows hold the steps of one generation, which the request normaliser caps
-at 4096 new tokens (see ``chat.request_params``).  None of these grows with
-the table.
+pass; (session, step) groups hold ``num_layers`` layer rows; windows over a
+session run per block of steps, with one row per block carried on.  None of
+these grows with the table.
 """
 from __future__ import annotations
 
@@ -176,31 +175,55 @@ def rate_of(avg_gap: Column) -> Column:
     return F.when(avg_gap.isNull(), F.lit(1.0)).when(avg_gap > 0, 1.0 / avg_gap).otherwise(F.lit(0.0))
 
 
-def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS) -> DataFrame:
-    """T11 tokens/s over the last 10 gaps, T12 running mean share, T13 token index."""
-    w = Window.partitionBy("session").orderBy("step")
-    gap = F.col("t_sec") - F.lag("t_sec").over(w)
-    df = steps.withColumn("_gap", gap)
-    w10 = w.rowsBetween(-(RATE_WINDOW - 1), 0)
-    wcum = w.rowsBetween(Window.unboundedPreceding, 0)
-    avg_gap = F.avg("_gap").over(w10)
-    rate = rate_of(avg_gap)
-    savg = F.array(*[F.avg(F.try_element_at("expert_pct", F.lit(e + 1))).over(wcum) for e in range(num_experts)])
-    return (df.withColumn("tokens_per_sec_raw", rate)
-            .withColumn("session_avg", savg)
-            .withColumn("token_index", F.row_number().over(w))
-            .drop("_gap"))
+#: Steps in a block of a session; step numbers are distinct, so a block never holds more rows.
+BLOCK_STEPS = 4096
+
+
+def session_windows(steps: DataFrame, num_experts: int = NUM_EXPERTS, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """T11 tokens/s over the last 10 gaps, T12 running mean share, T13 token index.
+
+    A segmented prefix scan: a session is cut into blocks of ``block_steps`` step numbers,
+    which windows run over on their own.  What a block leaves to the next ones is one row
+    (number of rows, sums of shares, clocks of its last ten steps), and only these rows are
+    ordered per session, so one very long session spreads over many tasks."""
+    rows = steps.withColumn("_block", F.expr(f"step div {block_steps}"))
+    inside = Window.partitionBy("session", "_block").orderBy("step")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    clock = F.struct("t_sec")              # a struct, so that missing clocks keep their place
+    rows = rows.withColumns({
+        "_n": F.row_number().over(inside),
+        "_clocks": F.collect_list(clock).over(inside.rowsBetween(-RATE_WINDOW, 0)),
+        "_sums": F.array(*[F.sum(F.try_element_at("expert_pct", F.lit(e + 1))).over(upto) for e in range(num_experts)])})
+    blocks = rows.groupBy("session", "_block").agg(
+        F.max("_n").alias("n"), F.max_by(F.struct("_sums", F.slice("_clocks", -F.least(F.size("_clocks"), F.lit(RATE_WINDOW)), RATE_WINDOW)
+                                                  .alias("clocks")), "_n").alias("last"))
+    before = Window.partitionBy("session").orderBy("_block")
+    sofar = before.rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(
+        "session", "_block", F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias("_n0"),
+        F.array(*[F.coalesce(F.sum(F.get("last._sums", F.lit(e))).over(sofar), F.lit(0.0)) for e in range(num_experts)]).alias("_sums0"),
+        # ten blocks hold ten steps at least
+        F.flatten(F.collect_list("last.clocks").over(before.rowsBetween(-RATE_WINDOW, -1))).alias("_clocks0"))
+    both = rows.join(carried, ["session", "_block"])
+    index = F.col("_n0") + F.col("_n")
+    clocks = F.concat("_clocks0", "_clocks")
+    last = F.slice(clocks, -F.least(F.size(clocks), F.lit(RATE_WINDOW + 1)), RATE_WINDOW + 1)
+    gaps = let(last, lambda t: F.filter(F.transform(t, lambda x, i: x["t_sec"] - F.get(t, i - 1)["t_sec"]), lambda g: g.isNotNull()))
+    avg_gap = let(gaps, lambda g: F.aggregate(g, F.lit(0.0).cast("double"), lambda a, x: a + x) / F.nullif(F.size(g), F.lit(0)))
+    return both.select(
+        *steps.columns, rate_of(avg_gap).alias("tokens_per_sec_raw"),
+        F.array(*[(F.get("_sums0", F.lit(e)) + F.get("_sums", F.lit(e))) / index for e in range(num_experts)]).alias("session_avg"),
+        index.cast("bigint").alias("token_index"))
 
 
 def routing_events(logits_df: DataFrame, num_layers: int, k: int = TOP_K,
                    num_experts: int = NUM_EXPERTS, report_col: str = "report") -> DataFrame:
     """The routing event per complete step, values rounded to 1 decimal at the edge.
 
-    Layer counts are hash-partitioned once more by session only (small,
-    aggregated rows); the step aggregation and the session windows then reuse
-    that partitioning, so the chain has two shuffles.
+    Layer counts, steps and blocks of steps are partitioned by their own keys, so no
+    session is one task; the logits themselves are aggregated before the first shuffle.
     """
-    lc = layer_expert_counts(route(logits_df, k), num_experts, report_col).repartition("session")
+    lc = layer_expert_counts(route(logits_df, k), num_experts, report_col)
     ev = session_windows(step_summary(lc, num_experts, num_layers), num_experts)
     r1 = lambda c: F.transform(c, lambda x: F.round(x, 1))
     return ev.select(
