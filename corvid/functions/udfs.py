@@ -80,7 +80,8 @@ def push_piece(pending: str, piece: str) -> tuple[list[tuple[str, object]], str]
         if (call := decode_call(fenced[1].strip())) is not None:
             return [("tool_call", call)], fenced[2]
     elif _OBJECT.match(text):
-        call = decode_call(text.strip())
+        # only a text that ends like an object can be one
+        call = decode_call(text.strip()) if text.rstrip().endswith("}") else None
         return ([], text) if call is None else ([("tool_call", call)], "")
     return ([("text", text)] if text else []), ""
 
@@ -98,13 +99,19 @@ def wire_parts(parts) -> list[tuple[str, str]]:
     return [(kind, json.dumps(v) if kind == "tool_call" else v) for kind, v in parts]
 
 
-def scan_chunks(pieces: list[str]) -> list[tuple[str, str]]:
-    """C7 for one ordered chunk list: (kind, value) parts, arguments as JSON text."""
-    out, pending = [], ""
+def scan_block(pending: str, pieces) -> tuple[list[tuple[str, str]], str]:
+    """Parts of a run of pieces that begins with ``pending`` held back, and what is held after it."""
+    out = []
     for p in pieces:
         parts, pending = push_piece(pending, p or "")
         out += parts
-    return wire_parts(out + flush_pending(pending))
+    return wire_parts(out), pending
+
+
+def scan_chunks(pieces: list[str]) -> list[tuple[str, str]]:
+    """C7 for one ordered chunk list: (kind, value) parts, arguments as JSON text."""
+    parts, pending = scan_block("", pieces)
+    return parts + wire_parts(flush_pending(pending))
 
 
 # ------------------------------------------------------------------ C4

@@ -1,9 +1,9 @@
 """Chat request and completion logs.
 
 Requests are JSON text; open parts are read through ``try_parse_json``
-(VARIANT).  Chunk logs are grouped per request; a request's chunk count is
-bounded by the generation cap (``max_tokens`` <= 4096) plus a few control
-chunks, so per-request groups never grow with the table.
+(VARIANT).  Chunk logs are put together in blocks of a request's chunks first;
+what a block makes of them is one row per text or tool call, and only these
+rows meet per request, so a very long request spreads over many tasks.
 """
 from __future__ import annotations
 
@@ -219,28 +219,66 @@ def tool_call_stats(extracted: DataFrame, key: str = "request_id") -> DataFrame:
                            F.lit(0).alias("named")))
     rows = extracted.select(F.inline(F.concat(own, per_name)))
     totals = rows.groupBy("named", "name").agg(F.sum("n").alias("n_calls"), F.count(F.lit(1)).alias("n_requests"))
-    everyone = Window.partitionBy()        # one row per tool name
-    share = (F.sum(F.when(F.col("named") == 0, F.col("n_calls"))).over(everyone)
-             / F.sum(F.when(F.col("named") == 0, F.col("n_requests"))).over(everyone) * 100.0)
-    return totals.withColumn("calling_pct", share).where("named = 1").select("name", "n_calls", "n_requests", "calling_pct")
+    # names are free text of a model, so only the one unnamed row is joined to all
+    share = totals.where("named = 0").select((F.col("n_calls") / F.col("n_requests") * 100.0).alias("calling_pct"))
+    return totals.where("named = 1").join(F.broadcast(share)).select("name", "n_calls", "n_requests", "calling_pct")
 
 
-def tool_call_stream(chunks: DataFrame, key: str = "request_id", seq: str = "seq",
-                     content: str = "content") -> DataFrame:
-    """The streaming scanner per request over its ordered chunks (batch form)."""
-    out_schema = T.StructType([T.StructField(key, chunks.schema[key].dataType),
-                               T.StructField("part_idx", T.IntegerType()),
-                               T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+#: Chunk numbers in a block of a request.
+BLOCK_CHUNKS = 1024
+
 
-    def per_request(pdf):
+def tool_call_stream(chunks: DataFrame, key: str = "request_id", seq: str = "seq",
+                     content: str = "content", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """The streaming scanner per request over its ordered chunks (batch form).
+
+    Blocks of chunks are scanned side by side, each as if nothing were held back when it
+    begins.  A pass over the blocks of a request in order then hands on what is held back:
+    a block that begins with nothing held keeps its parts, another is scanned again from
+    the held text.  Rows stream through that pass; no request is held in memory, only the
+    text that the scanner itself holds back."""
+    kind = chunks.schema[key].dataType
+    blocks = (chunks.select(key, F.expr(f"`{seq}` div {block_chunks}").alias("_block"), F.col(seq).alias("_seq"),
+                            F.coalesce(F.col(content), F.lit("")).alias("_piece"))
+              .groupBy(key, "_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_piece"))), lambda z: z["_piece"]).alias("_pieces")))
+
+    def scan(pdfs):
         import pandas as pd
-        pdf = pdf.sort_values(seq)
-        parts = U.scan_chunks(pdf[content].tolist())
-        rid = pdf[key].iloc[0]
-        return pd.DataFrame({key: [rid] * len(parts), "part_idx": list(range(len(parts))),
-                             "kind": [p[0] for p in parts], "value": [p[1] for p in parts]})
+        for pdf in pdfs:
+            got = [U.scan_block("", own) for own in pdf["_pieces"]]
+            yield pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "_pieces": pdf["_pieces"],
+                                "_parts": [[{"kind": k, "value": v} for k, v in parts] for parts, _ in got], "_held": [held for _, held in got]})
 
-    return chunks.select(key, seq, content).groupBy(key).applyInPandas(per_request, out_schema)
+    part = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
+    scanned = blocks.mapInPandas(scan, T.StructType([*blocks.schema.fields, T.StructField("_parts", part), T.StructField("_held", T.StringType())]))
+
+    def fold(pdfs):
+        import pandas as pd
+        now, n, held = None, 0, ""
+        for pdf in pdfs:
+            out = []
+
+            def emit(parts, out=out):
+                nonlocal n
+                out += [(now, n + i, k, v) for i, (k, v) in enumerate(parts)]
+                n += len(parts)
+            for rid, first, pieces, parts, after in zip(pdf[key], pdf["_first"], pdf["_pieces"], pdf["_parts"], pdf["_held"], strict=True):
+                if first:
+                    emit(U.wire_parts(U.flush_pending(held)))
+                    now, n, held = None if pd.isna(rid) else rid, 0, ""
+                if held:
+                    again, held = U.scan_block(held, pieces)
+                    emit(again)
+                else:
+                    emit([(p["kind"], p["value"]) for p in parts])
+                    held = after
+            yield pd.DataFrame(out, columns=[key, "part_idx", "kind", "value"])
+        yield pd.DataFrame([(now, n + i, k, v) for i, (k, v) in enumerate(U.wire_parts(U.flush_pending(held)))], columns=[key, "part_idx", "kind", "value"])
+
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_block")) == 1
+    out_schema = T.StructType([T.StructField(key, kind), T.StructField("part_idx", T.IntegerType()),
+                               T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+    return scanned.withColumn("_first", first).mapInPandas(fold, out_schema)
 
 
 def finish_reason(n_calls: Column, gen_ids: Column, eos_id: int) -> Column:
@@ -299,7 +337,7 @@ def chunk_rows(lines: DataFrame, value: str = "value") -> DataFrame:
                     F.posexplode_outer(choice["delta"]["tool_calls"]).alias("_nth", "_t"))
     first = F.col("_nth").isNull() | (F.col("_nth") == 0)
     return flat.select(*keep, "id", "created", "model", F.when(first, F.col("content")).alias("content"), "finish_reason",
-                       F.col("_t.index").alias("tool_index"), F.col("_t.id").alias("tool_id"), F.col("_t.function.name").alias("tool_name"),
+                       F.coalesce("_nth", F.lit(0)).alias("tool_nth"), F.col("_t.index").alias("tool_index"), F.col("_t.id").alias("tool_id"), F.col("_t.function.name").alias("tool_name"),
                        F.col("_t.function.arguments").alias("tool_args"),
                        *[F.col(f"usage.{u}_tokens").alias(f"usage_{u}_tokens") for u in ("prompt", "completion", "total")])
 
@@ -310,46 +348,73 @@ def chat_log_report(requests: DataFrame, chunks: DataFrame, key: str = "request_
     result of :func:`chunk_rows` with ``seq`` and ``ts``; a request without chunks keeps
     nulls there."""
     asked = request_facts(request_params(request_validate(requests, body), body), body).drop(body, REQ, KEYS)
-    whole = chunk_reassemble(chunks, key)
+    whole = chunk_reassemble(chunks, key, ts="ts")
     calls = F.coalesce(F.transform("tool_calls", lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments"))),
                        F.array().cast(T.ArrayType(U.TOOL_CALL)))
     answered = tool_call_extract(whole.withColumns({"_streamed": calls, "_text": F.col("content"), "_finish": F.col("finish_reason")})
                                  .drop("tool_calls", "content", "finish_reason"), "_text")
     answered = answered.withColumn("tool_calls", F.concat("_streamed", "tool_calls")).withColumn(
         "finish_reason", F.when(F.size("tool_calls") > 0, F.lit("tool_calls")).otherwise(F.coalesce("_finish", F.lit("length"))))
-    answered = answered.drop("_streamed", "_text", "_finish").join(ttft(chunks, key), key, "left")
+    answered = answered.drop("_streamed", "_text", "_finish")
     return asked.join(answered, key, "left")
 
 
-def chunk_reassemble(chunks: DataFrame, key: str = "request_id", seq: str = "seq") -> DataFrame:
+def chunk_reassemble(chunks: DataFrame, key: str = "request_id", seq: str = "seq", ts: str | None = None,
+                     block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """C11: content joined in order, last non-null finish reason, usage if any.
 
-    Optional columns: ``tool_index``, ``tool_id``, ``tool_name``,
-    ``tool_args`` (tool-call deltas) and ``usage_*`` (the choice-less chunk).
-    """
+    Optional columns: ``tool_index``, ``tool_id``, ``tool_name``, ``tool_args`` (tool-call
+    deltas; ``tool_nth`` orders those of one chunk) and ``usage_*`` (the choice-less chunk).
+    With ``ts`` the latency columns of :func:`ttft` come along.
+
+    The chunks of a block are joined first, text and each tool call on their own; a request
+    then puts together one row per block and text or call."""
     cols = set(chunks.columns)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(F.col("content"), F.lit(""))
-                                                   .alias("c"))))
-    aggs = [F.array_join(F.transform(ordered, lambda z: z["c"]), "").alias("content"),
-            F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col(seq))).alias("finish_reason"),
-            F.count(F.lit(1)).alias("n_chunks")]
-    for u in ("usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens"):
-        if u in cols:
-            aggs.append(F.max_by(u, F.when(F.col(u).isNotNull(), F.col(seq))).alias(u))
-    out = chunks.groupBy(key).agg(*aggs)
-    if "tool_index" in cols:
-        d = chunks.filter(F.col("tool_index").isNotNull())
-        tc = d.groupBy(key, "tool_index").agg(
-            F.max_by("tool_id", F.when(F.col("tool_id").isNotNull() & (F.col("tool_id") != ""), F.col(seq))).alias("id"),
-            F.max_by("tool_name", F.when(F.col("tool_name").isNotNull() & (F.col("tool_name") != ""), F.col(seq)))
-            .alias("name"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"),
-                                                                          F.coalesce("tool_args", F.lit("")).alias("a")))),
-                                     lambda z: z["a"]), "").alias("arguments"))
-        tcs = tc.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tool_index", "id", "name", "arguments")))
-                                  .alias("tool_calls"))
-        out = out.join(tcs, key, "left")
-    return out
+    tools = "tool_index" in cols
+    none = F.lit(None).cast(f"struct<s:{chunks.schema[seq].dataType.simpleString()},v:string>")
+
+    def given(c: str) -> Column:
+        """The value and its chunk's number where there is one."""
+        value = F.when(F.col(c) != "", F.col(c)) if c in ("tool_id", "tool_name") else F.col(c)
+        return F.when(value.isNotNull(), F.struct(F.col(seq).alias("s"), value.alias("v")))
+    piece = F.struct(F.lit(-1).alias("slot"), F.lit(0).alias("nth"), F.coalesce(F.col("content"), F.lit("")).alias("text"),
+                     given("finish_reason").alias("finish"), none.alias("name"), none.alias("id"))
+    entries = F.array(piece)
+    if tools:
+        nth = F.col("tool_nth") if "tool_nth" in cols else F.lit(0)
+        delta = F.struct(F.col("tool_index").cast("int").alias("slot"), nth.alias("nth"), F.coalesce("tool_args", F.lit("")).alias("text"),
+                         none.alias("finish"), given("tool_name").alias("name"), given("tool_id").alias("id"))
+        entries = F.when(F.col("tool_index").isNotNull(), F.array(piece, delta)).otherwise(entries)
+    usage = [u for u in ("usage_prompt_tokens", "usage_completion_tokens", "usage_total_tokens") if u in cols]
+    clock = [F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")] if ts else []
+    rows = chunks.select(key, F.col(seq).alias("_seq"), F.expr(f"`{seq}` div {block_chunks}").alias("_block"), *[given(u).alias(u) for u in usage], *clock,
+                         F.inline(entries))
+    own = F.col("slot") == -1
+    marks = ["finish", "name", "id"]
+    parts = rows.groupBy(key, "_block", "slot").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "nth", "text"))), lambda z: z["text"]), "").alias("text"),
+        F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in [*marks, *usage]],
+        *([F.min("_t").alias("t0"), F.max("_t").alias("t1"), F.min(F.when(F.col("text") != "", F.col("_t"))).alias("tf")] if ts else []))
+    whole = parts.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("slot", "_block", "text", "name", "id"))).alias("_parts"),
+        F.max("finish").alias("_finish"), F.sum(F.when(own, F.col("n"))).alias("n_chunks"), *[F.max(u).alias(u) for u in usage],
+        *([F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min(F.when(own, F.col("tf"))).alias("tf")] if ts else []))
+
+    def joined(of: Column) -> Column:
+        return F.array_join(F.transform(of, lambda p: p["text"]), "")
+
+    def call(slot: Column) -> Column:
+        of = F.filter("_parts", lambda p: p["slot"] == slot)
+        return F.struct(slot.alias("tool_index"), F.array_max(F.transform(of, lambda p: p["id"]))["v"].alias("id"),
+                        F.array_max(F.transform(of, lambda p: p["name"]))["v"].alias("name"), joined(of).alias("arguments"))
+    slots = F.array_distinct(F.transform(F.filter("_parts", lambda p: p["slot"] >= 0), lambda p: p["slot"]))
+    out = [F.col(key), joined(F.filter("_parts", lambda p: p["slot"] == -1)).alias("content"), F.col("_finish.v").alias("finish_reason"), "n_chunks",
+           *[F.col(f"{u}.v").alias(u) for u in usage]]
+    if tools:
+        out.append(F.when(F.size(slots) > 0, F.transform(slots, call)).alias("tool_calls"))
+    if ts:
+        out += [((F.col("tf") - F.col("t0")) / 1e6).alias("ttft_sec"), ((F.col("t1") - F.col("t0")) / 1e6).alias("total_sec")]
+    return whole.select(*out)
 
 
 def ttft(chunks: DataFrame, key: str = "request_id", ts: str = "ts", start: str | None = None) -> DataFrame:

@@ -50,3 +50,49 @@ def test_a_session_of_ten_million_steps_spreads_over_tasks(spark):
                                                                 F.sum((F.col("tokens_per_sec_raw") == 2.0).cast("int")).alias("even")).collect()
     assert sum(r.n for r in spread) == n == max(r.top for r in spread) and sum(r.even for r in spread) == n - 1
     assert len(spread) >= 4 and max(r.n for r in spread) <= n / 2
+
+
+def test_tool_call_stream_over_blocks_equals_the_serial_scan(spark):
+    from corvid.functions import udfs as U
+    from corvid.operators import chat as CH
+    rng = random.Random(3)
+    pool = ["word ", "", '{"name":"f",', '"arguments":{"k":1}}', "```json", '```json {"name":"g","arguments":{}} ``` tail', "{", "}", " ", "```", '{"name":"h","arguments":"{}"}', "\n"]
+    rows, want = [], set()
+    for request in [*range(40), None]:
+        pieces = [rng.choice(pool if request is None or request % 2 else pool[:4] + pool[5:6]) for _ in range(rng.randrange(0, 60))]
+        rows += [(request, i * 3 - 20, p or None) for i, p in enumerate(pieces)]
+        want |= {(request, i, k, v) for i, (k, v) in enumerate(U.scan_chunks(pieces))}
+    df = spark.createDataFrame(rows, "request_id long, seq long, content string")
+    for block in (1, 7, 50, 1024):
+        assert {tuple(r) for r in CH.tool_call_stream(df.repartition(5), block_chunks=block).collect()} == want
+
+
+def test_a_request_of_a_million_chunks(spark):
+    from corvid.functions import udfs as U
+    from corvid.operators import chat as CH
+    n = 1_000_000
+    calls = {500: '{"name":"f",', 2_050: '"arguments":{}}', 999_999: "{"}
+    piece = F.element_at(F.create_map(*[F.lit(x) for kv in calls.items() for x in kv]), F.col("id").cast("int"))
+    df = spark.range(0, n, 1, 16).select(F.lit(9).alias("request_id"), F.col("id").alias("seq"),
+                                         F.when(F.col("id").isin(*calls), piece).when((F.col("id") > 500) & (F.col("id") < 2_050), F.lit(" "))
+                                         .otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("content"),
+                                         F.when(F.col("id") == n - 2, "stop").alias("finish_reason"))
+    want = U.scan_chunks([r.content for r in df.orderBy("seq").select("content").toLocalIterator()])
+    got = CH.tool_call_stream(df).orderBy("part_idx").collect()
+    assert [(r.kind, r.value) for r in got] == want and sum(r.kind == "tool_call" for r in got) == 1
+    whole = CH.chunk_reassemble(df).first()
+    assert whole.finish_reason == "stop" and whole.n_chunks == n
+    assert whole.content == "".join(r.content for r in df.orderBy("seq").select("content").toLocalIterator())
+
+
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_reassembly_over_blocks(spark, block):
+    from corvid.operators import chat as CH
+    rows = [(1, 0, "a", None, None, 0, None, None, None), (1, 1, None, None, 1, 0, "c1", "f", "x"), (1, 1, None, None, 0, 1, "c0", "", "p"),
+            (1, 5, "b", "length", 1, 0, "", None, "y"), (1, 9, "c", None, 1, 0, None, "g", "z"), (1, 12, "", "stop", None, 0, None, None, None), (2, 3, None, None, None, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "request_id long, seq long, content string, finish_reason string, tool_index int, tool_nth int, tool_id string, tool_name string, tool_args string")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    got = {r.request_id: r for r in CH.chunk_reassemble(df, ts="ts", block_chunks=block).collect()}
+    assert (got[1].content, got[1].finish_reason, got[1].n_chunks, got[1].ttft_sec, got[1].total_sec) == ("abc", "stop", 6, 0.0, 12.0)
+    assert [tuple(c) for c in got[1].tool_calls] == [(0, "c0", None, "p"), (1, "c1", "g", "xyz")]
+    assert (got[2].content, got[2].finish_reason, got[2].tool_calls, got[2].ttft_sec) == ("", None, None, None)
