@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import bound_batches, cut, row_ranges, text_buffer
 from .wordhash import LOWER
 
-RUN = re.compile("[a-zÀ-ÿ]+")
+LETTER = "[a-zÀ-ÿ]"
 #: One in so many (document, run) pairs loses a code point.
 DROP_ONE_IN = 199
 #: Distinct words a task counts before it hands them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 400_000
 #: A text's runs are counted this many at a time.
 HELD_RUNS = 1 << 16
 #: Modulus and base of the prefix hashes.
@@ -47,6 +47,8 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``<id>:<run>``, the code point ``crc32 % length`` is left out.  A null text has no words;
     a null id is written as nothing."""
     bound_batches(docs.sparkSession)
+    # taking a code point out never makes a run longer, so shorter runs need not be looked at
+    pattern = re.compile(f"{LETTER}{{{min_chars},}}")
 
     def run(batches):
         held: Counter = Counter()
@@ -58,18 +60,17 @@ def word_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 for row in range(i, j):
                     text = low[offsets[row]:offsets[row + 1]].tobytes().decode("utf-8", "replace")
                     begin = zlib.crc32(f"{'' if ids[row] is None else ids[row]}:".encode())
-                    found = RUN.finditer(text) if len(text) > 1 << 20 else None
+                    found = pattern.finditer(text) if len(text) > 1 << 20 else None
                     while True:
-                        own = Counter(m.group() for m in islice(found, HELD_RUNS)) if found else Counter(RUN.findall(text))
+                        own = Counter(m.group() for m in islice(found, HELD_RUNS)) if found else Counter(pattern.findall(text))
                         for word, n in own.items():
-                            if len(word) >= min_chars:
-                                h = zlib.crc32(word.encode(), begin)
-                                if h % DROP_ONE_IN == 0:
-                                    at = h % len(word)
-                                    word = word[:at] + word[at + 1:]
-                                    if len(word) < min_chars:
-                                        continue
-                                held[word] += n
+                            h = zlib.crc32(word.encode(), begin)
+                            if h % DROP_ONE_IN == 0:
+                                at = h % len(word)
+                                word = word[:at] + word[at + 1:]
+                                if len(word) < min_chars:
+                                    continue
+                            held[word] += n
                         if len(held) >= HELD_WORDS:
                             yield _batch(held)
                             held = Counter()
@@ -130,7 +131,8 @@ def _schema(fields) -> str:
 
 
 def trie(words: DataFrame) -> DataFrame:
-    """The edges ``(node, label, child, word, n)`` of both tries; ``word`` where one ends at the child."""
+    """The edges ``(node, label, child, word, n, ahead)`` of both tries: ``word`` where one ends at the
+    child, ``ahead`` the code points that go on from the child."""
     named = words.select(F.xxhash64("word").alias("id"), "word", "n")
 
     def steps(batches):
@@ -162,7 +164,9 @@ def trie(words: DataFrame) -> DataFrame:
 
     # an inner edge comes from every word below it; the exchange by node is the one the frontier needs
     found = named.join(depths, "id").select("id", "word", "n", "back", "depths").mapInArrow(edges, _schema(_EDGE))
-    return found.groupBy("node", "label", "child").agg(F.max("word").alias("word"), F.max("n").alias("n"))
+    found = cut(found.groupBy("node", "label", "child").agg(F.max("word").alias("word"), F.max("n").alias("n")))
+    ahead = found.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(F.substring("label", 1, 1)), "").alias("ahead"))
+    return found.join(ahead, "child", "left")
 
 
 def advance(text: str, pos: int, edits: int, label: str):
@@ -186,13 +190,14 @@ def advance(text: str, pos: int, edits: int, label: str):
 
 
 def _moves(batches):
-    def rows(word, back, pos, edits, label, child, other, n):
+    def rows(word, back, pos, edits, label, child, other, n, ahead):
         text = word[::-1] if back else word
         for p, e in advance(text, pos, edits, label):
             # the other word may end here, or with this word's last code point left out
             if other is not None and p == len(text) - (1 - e):
                 yield word, back, p, child, e, other, n
-            if p < len(text) or e == 0:
+            # with an edit taken, only what goes on with the next code point lives
+            if ahead and (e == 0 or p < len(text) and text[p] in ahead):
                 yield word, back, p, child, e, None, None
     for out in _spelled(batches, rows):
         yield _as_batch(out, _STATE)
@@ -216,7 +221,7 @@ def near_words(words: DataFrame) -> DataFrame:
         ahead = F.col("edits").eqNullSafe(0) | (F.substring("label", 1, 1) == F.when(
             F.col("back"), F.substring(F.reverse("s.word"), F.col("pos") + 1, F.lit(1))).otherwise(F.substring("s.word", F.col("pos") + 1, F.lit(1))))
         met = states.alias("s").join(edges.alias("e"), "node").where(ahead)
-        moved = cut(met.select("s.word", "back", "pos", "edits", "label", "child", F.col("e.word").alias("other"), F.col("e.n").alias("other_n"))
+        moved = cut(met.select("s.word", "back", "pos", "edits", "label", "child", F.col("e.word").alias("other"), F.col("e.n").alias("other_n"), "ahead")
                     .mapInArrow(_moves, _schema(_STATE)))
         found.append(moved.where("near is not null").select("word", "near", "near_n"))
         states = moved.where("near is null").drop("near", "near_n")
