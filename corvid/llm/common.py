@@ -30,6 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """``cut`` of a repartitioned table whose partitioning later groupings by the same key use again.
+
+    Spark keeps the partitioning of a checkpoint only if its plan was not adaptive."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set(key, was)
+
+
 def dealt(share: float, *cols) -> Column:
     """Whether a row belongs to a sample of ``share`` of all rows, by the 64-bit hash of ``cols``."""
     if share >= 1:
