@@ -7,6 +7,7 @@ one row per source and are the only things broadcast.
 """
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens as TK
 from ..functions.chat import QWEN_DEFAULT_SYSTEM, render_chat
 from ..plans.barrier import compute_once
-from ..plans.ordering import global_index, hex_bucket, int_bucket, nth_row, seeded_key
+from ..plans.ordering import KeyRanges, global_index, hex_bucket, int_bucket, key_ranges, nth_row, range_index, seeded_key
+from ..session import cut_lineage
 
 CONTEXT_LENGTH = 2048     # fixed value: training context length
 EVAL_FRACTION = 0.05      # fixed value: eval share of each source's allocation
@@ -26,12 +28,13 @@ REJECTED, OVERFLOW, MASKED, VALID = "format_rejected", "context_overflow", "all_
 
 
 # ---------------------------------------------------------------- S1 / P1
-def with_raw_index(df: DataFrame, key: str | Sequence[str], width: int = 1 << 16,
-                   name: str = "raw_idx") -> DataFrame:
-    """Dense, stable 0-based stream position from a unique integer source key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    out = global_index(df, keys, int_bucket(keys[0], width), name=name)
-    return out.withColumn(name, F.col(name) - 1)
+def with_raw_index(df: DataFrame, key: str, ranges: KeyRanges | None = None, name: str = "raw_idx") -> DataFrame:
+    """Dense, stable 0-based stream position from a unique integer source key of any spread.
+
+    ``ranges`` are the key's ranges (:func:`corvid.plans.ordering.key_ranges`); without them
+    they are looked up first.  Rows without a key are left out."""
+    ranges = ranges or key_ranges({name: (df, key)})[name]
+    return range_index(df.where(F.col(key).isNotNull()), key, ranges, name)
 
 
 def explode_samples(formatted: DataFrame, samples: str = "samples", keep: Sequence[str] = ()) -> DataFrame:
@@ -119,6 +122,12 @@ def collect_diagnostics(streamed: DataFrame, quota: DataFrame) -> DataFrame:
             .withColumn("exhausted", F.col("samples_collected") < F.col("requested")))
 
 
+def reject_reasons(streamed: DataFrame) -> DataFrame:
+    """Streamed raw rows that were rejected, per source and stated reason (null where a shape
+    states none)."""
+    return (streamed.where(F.col("status") == REJECTED).groupBy("source", "reject_reason").agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 # ---------------------------------------------------------------- P10 - P13
 def allocate(spec: DataFrame, total_samples: int, eval_fraction: float = EVAL_FRACTION) -> DataFrame:
     """P10: total / eval / train allocation per source from (name, weight)."""
@@ -162,7 +171,7 @@ def align_union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P14
-def draw_source(u: Column, names: Sequence[str], weights: Sequence[float]) -> Column:
+def draw_source(u: Column, names: Sequence, weights: Sequence[float]) -> Column:
     """First source whose cumulative weight exceeds u (u uniform in [0, 1))."""
     expr, cum = None, 0.0
     for name, w in zip(names[:-1], weights[:-1]):
@@ -171,35 +180,67 @@ def draw_source(u: Column, names: Sequence[str], weights: Sequence[float]) -> Co
     return F.lit(names[-1]) if expr is None else expr.otherwise(F.lit(names[-1]))
 
 
+#: Draws that are looked at together.
+DRAW_BUCKET = 4096
+
+
 def weighted_interleave(df: DataFrame, names: Sequence[str], weights: Sequence[float],
-                        seed: int = SEED, label: str = "train", width: int = 1 << 16) -> DataFrame:
-    """Weighted draw of sources, each draw takes that source's next row (in
-    ``shuffle_key`` order), stopping once any source is used up (its last row
-    included).  Adds ``mix_idx`` (draw number) and ``order_key`` (final seeded
-    shuffle).
-
-    Fully lazy: the draw numbers 0..N-1 are the dense positions of the N rows
-    themselves, so no count reaches the driver; the stop point is a one-row
-    aggregate joined back by broadcast.  A source with no rows stops the mix
-    before its first draw.
-    """
+                        seed: int = SEED, label: str = "train", width: int = DRAW_BUCKET) -> DataFrame:
+    """P14 of one set of rows; see :func:`interleave_splits`."""
+    return interleave_splits(df.withColumn("split", F.lit(label)), names, weights, seed, (label,), width).drop("split")
+
+
+def interleave_splits(df: DataFrame, names: Sequence[str], weights: Sequence[float], seed: int = SEED,
+                      labels: Sequence[str] = ("train", "eval"), width: int = DRAW_BUCKET) -> DataFrame:
+    """P14 for every ``split`` at once: weighted draw of sources, each draw takes that source's
+    next row (in ``shuffle_key`` order), stopping once any source is used up (its last row
+    included).  Adds ``mix_idx`` (draw number) and ``order_key`` (final seeded shuffle).
+
+    A draw is a function of its number, so draws are made where they are needed, in buckets
+    of ``width`` numbers: how often a bucket draws each source gives, by prefix sums over
+    buckets, the rank of every draw and the bucket in which a source ends.  Nothing but one
+    row per bucket is shuffled for them; the rows are ranked once for all splits.  A source
+    without rows stops the mix before its first draw."""
     spark = df.sparkSession
-    ranked = global_index(df, ["shuffle_key"], hex_bucket("shuffle_key"), ["source"], name="_rank")
-    ks = global_index(df.select("shuffle_key"), ["shuffle_key"], hex_bucket("shuffle_key"), name="_k")
-    u = F.conv(F.substring(seeded_key(seed, F.lit("draw"), F.lit(label), F.col("mix_idx")), 1, 8), 16, 10) \
-        .cast("double") / F.lit(4294967296.0)
-    draws = ks.select((F.col("_k") - 1).alias("mix_idx"))
-    draws = draws.select("mix_idx", draw_source(u, names, weights).alias("source"))
-    draws = global_index(draws, ["mix_idx"], int_bucket("mix_idx", width), ["source"], name="_rank")
-    spec = spark.createDataFrame([(s,) for s in names], "source string")
-    counts = df.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    quota = spec.join(counts, "source", "left").select("source", F.coalesce("_n", F.lit(0)).alias("n"))
-    ends = draws.join(F.broadcast(quota), "source").filter(
-        ((F.col("n") > 0) & (F.col("_rank") == F.col("n"))) | ((F.col("n") == 0) & (F.col("_rank") == 1)))
-    stop = ends.agg(F.min(F.when(F.col("n") > 0, F.col("mix_idx")).otherwise(F.col("mix_idx") - 1)).alias("_stop"))
-    kept = draws.join(F.broadcast(stop), F.col("mix_idx") <= F.col("_stop")).drop("_stop")
-    out = kept.join(ranked, ["source", "_rank"]).drop("_rank")
-    return out.withColumn("order_key", seeded_key(seed, F.lit("mix"), F.lit(label), F.col("mix_idx")))
+    rows = {(r["split"], r["source"]): r["n"] for r in df.groupBy("split", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    has = {label: [rows.get((label, s), 0) for s in names] for label in labels}
+    parts = [spark.range(-(-sum(n) // width)).select(F.lit(label).alias("split"), F.col("id").alias("_b"), F.lit(sum(n)).cast("long").alias("_total"))
+             for label, n in has.items()]
+    buckets = reduce(DataFrame.unionAll, parts)
+
+    def per_split(value) -> Column:
+        """A number of each split."""
+        return F.coalesce(*[F.when(F.col("split") == label, F.lit(value(n))) for label, n in has.items()])
+
+    def draws(of: DataFrame) -> DataFrame:
+        numbers = F.sequence(F.col("_b") * width, F.least((F.col("_b") + 1) * width, F.col("_total")) - 1)
+
+        def one(k: Column) -> Column:
+            u = F.conv(F.substring(seeded_key(seed, F.lit("draw"), F.col("split"), k), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+            return F.struct(k.alias("k"), draw_source(u, list(range(len(names))), weights).alias("s"))
+        return compute_once(of, _draws=F.transform(numbers, one))
+
+    def drawn(i: int) -> Column:
+        return F.filter("_draws", lambda d: d["s"] == i)
+    sources = range(len(names))
+    counts = draws(buckets).select("split", "_b", "_total", *[F.size(drawn(i)).cast("long").alias(f"_c{i}") for i in sources])
+    before = Window.partitionBy("split").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(counts.select("*", *[F.coalesce(F.sum(f"_c{i}").over(before), F.lit(0)).alias(f"_o{i}") for i in sources]))
+    # the draw that takes a source's last row (or, of an empty one, its first): in one bucket per source and split
+    wanted = [per_split(lambda n, i=i: max(1, n[i])) for i in sources]
+    ends_here = [(F.col(f"_o{i}") < wanted[i]) & (wanted[i] <= F.col(f"_o{i}") + F.col(f"_c{i}")) for i in sources]
+    last = [F.when(ends_here[i], F.get(drawn(i), (wanted[i] - F.col(f"_o{i}") - 1).cast("int"))["k"] - per_split(lambda n, i=i: int(n[i] == 0)))
+            for i in sources]
+    stop = (draws(offsets.where(reduce(Column.__or__, ends_here))).select("split", F.array_min(F.array(*last)).alias("_k"))
+            .groupBy("split").agg(F.min("_k").alias("_stop")))
+
+    def ranked_of(i: int) -> Column:
+        return F.transform(drawn(i), lambda d, j: F.struct(F.lit(names[i]).alias("source"), (F.col(f"_o{i}") + j + 1).alias("_rank"), d["k"].alias("mix_idx")))
+    mix = draws(offsets.join(F.broadcast(stop), "split", "left")).select("split", "_stop", F.inline(F.concat(*map(ranked_of, sources))))
+    mix = mix.where(F.col("_stop").isNull() | (F.col("mix_idx") <= F.col("_stop"))).drop("_stop")
+    ranked = global_index(df, ["shuffle_key"], hex_bucket("shuffle_key"), ["split", "source"], name="_rank")
+    out = mix.join(ranked, ["split", "source", "_rank"]).drop("_rank")
+    return out.withColumn("order_key", seeded_key(seed, F.lit("mix"), F.col("split"), F.col("mix_idx")))
 
 
 # ---------------------------------------------------------------- P15 - P18

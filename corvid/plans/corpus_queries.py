@@ -1,6 +1,8 @@
 """Registered corpus queries (S1, F1-F9, Q1-Q3, P1-P19) over driver-derived views."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from ..operators import quality as Q
 from ..sources.fixtures import register_views, view
 from ..sources.tables import read_table
 from . import duck as D
-from .corpus_build import CorpusSource, build_corpus
+from ..session import ensure_checkpoint_dir
+from ..sources.registry import register_table_function
+from .corpus_build import CorpusSource, build_corpus, write_corpus
 from .registry import register
 
 CTX = 512            # context length of the fixture runs (the reference smoke-test setting)
@@ -178,8 +182,8 @@ def q_scan(spark, sf):
     schema = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()),
                            T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
     df = scan_source(spark, f"{sf}/conversations.parquet", "parquet", schema)
-    df = df.withColumn("_k", F.col("conv_id") * 1000 + F.col("turn"))
-    out = C.with_raw_index(df, "_k", width=4096)
+    df = df.withColumn("_k", F.col("conv_id") * 1_000_003 + F.col("turn"))
+    out = C.with_raw_index(df, "_k")
     return out.select("conv_id", "turn", "raw_idx", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -433,17 +437,14 @@ UNION ALL
 SELECT 'eval', {D.seeded(42, "'mix'", "'eval'", 'mix_idx')}, source, raw_idx, sample_idx, len(input_ids),
   md5(array_to_string(input_ids, ',')), md5(array_to_string(labels, ',')) FROM eval_mix""")
 def q_build(spark, sf):
-    res = _mix(spark, sf, materialize=True)
-    out = res.train.withColumn("split", F.lit("train")).unionByName(res.eval.withColumn("split", F.lit("eval")))
-    return out.select("split", "order_key", "source", "raw_idx", F.col("sample_idx").cast("bigint").alias("sample_idx"),
+    return _mix(spark, sf).mixed.select("split", "order_key", "source", "raw_idx", F.col("sample_idx").cast("bigint").alias("sample_idx"),
                       F.size("input_ids").cast("bigint").alias("n_tokens"),
                       F.md5(F.array_join("input_ids", ",")).alias("ids_md5"),
                       F.md5(F.array_join("labels", ",")).alias("labels_md5"))
 
 
 def _mixed(spark, sf):
-    res = _mix(spark, sf)
-    return res.train.withColumn("split", F.lit("train")).unionByName(res.eval.withColumn("split", F.lit("eval")))
+    return _mix(spark, sf).mixed
 
 
 @register("validate_samples", MIX_VIEWS, D_MIX + _d_interleave("train") + _d_interleave("eval") + f""",
@@ -458,6 +459,62 @@ def q_validate(spark, sf):
     return C.validate_samples(_mixed(spark, sf), CTX)
 
 
+@register("write_corpus", MIX_VIEWS, D_MIX + _d_interleave("train") + _d_interleave("eval") + """
+SELECT 'train' AS split, source, raw_idx, sample_idx, len(input_ids) AS n_tokens, md5(array_to_string(labels, ',')) AS labels_md5 FROM train_mix
+UNION ALL SELECT 'eval', source, raw_idx, sample_idx, len(input_ids), md5(array_to_string(labels, ',')) FROM eval_mix""")
+def q_write(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corvid-written-{uuid.uuid4().hex}"
+    write_corpus(_mix(spark, sf), path)
+    back = spark.read.parquet(path)
+    return back.select("split", "source", "raw_idx", F.col("sample_idx").cast("bigint").alias("sample_idx"),
+                       F.size("input_ids").cast("bigint").alias("n_tokens"), F.md5(F.array_join("labels", ",")).alias("labels_md5"))
+
+
+class PairShape:
+    """U4 example: a turn pair as a sample, or why it is none."""
+
+    def eval(self, instruction, output):
+        if instruction is None or not instruction.strip():
+            yield None, "no question"
+        elif len(output or "") < 300:
+            yield None, "short answer"
+        elif len(instruction) > len(output) * 2:
+            yield None, "long question"
+        elif "ö" not in instruction:
+            yield [[("user", instruction), ("assistant", output)]] * (2 if len(output) % 2 else 1), None
+
+
+@register("custom_source", ("v_pairs",), f"""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY raw_id) - 1 AS raw_idx,
+  CASE WHEN {S("coalesce(instruction, '')")} = '' THEN 'no question' WHEN length(output) < 300 THEN 'short answer'
+       WHEN length(instruction) > length(output) * 2 THEN 'long question' WHEN NOT instruction LIKE '%ö%' THEN 'kept' END AS tag FROM v_pairs),
+k AS (SELECT raw_idx, tag, CASE WHEN tag = 'kept' THEN CASE WHEN length(output) % 2 = 1 THEN 2 ELSE 1 END ELSE 0 END AS n,
+  CASE WHEN tag = 'kept' THEN len({D.encode(D.render("[" + D.msg('user', 'instruction') + ", " + D.msg('assistant', 'output') + "]"))}) END AS toks FROM t)
+SELECT CASE WHEN tag = 'kept' THEN CASE WHEN toks >= {CTX} THEN 'context_overflow' ELSE 'valid' END ELSE 'format_rejected' END AS status,
+ CASE WHEN tag <> 'kept' THEN tag END AS reject_reason, CAST(sum(greatest(n, 1)) AS BIGINT) AS n_rows
+FROM k GROUP BY 1, 2""")
+def q_custom(spark, sf):
+    register_table_function("turn_pairs", PairShape, ("instruction", "output"))
+    pairs = view(spark, sf, "v_pairs")
+    res = build_corpus(spark, [CorpusSource("turn_pairs", 1.0, pairs)], max(1, 2 * pairs.count()), context_length=CTX)
+    return res.streamed.groupBy("status", "reject_reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("pad_batches_left", MIX_VIEWS, D_MIX + _d_interleave("train") + f""",
+o AS (SELECT *, {D.seeded(42, "'mix'", "'train'", 'mix_idx')} AS order_key FROM train_mix),
+p AS (SELECT *, row_number() OVER (ORDER BY order_key) - 1 AS position FROM o),
+b AS (SELECT *, CAST(floor(position / 8) AS BIGINT) AS batch_id FROM p),
+m AS (SELECT *, CAST(ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / 8) * 8 AS INTEGER) AS padded_len FROM b)
+SELECT batch_id, position, padded_len,
+ md5(array_to_string(list_concat(list_transform(range(padded_len - len(input_ids)), lambda z: {TK.DEFAULT_VOCAB.pad_id}), input_ids), ',')) AS ids_md5,
+ md5(array_to_string(list_concat(list_transform(range(padded_len - len(input_ids)), lambda z: 0), list_transform(input_ids, lambda z: 1)), ',')) AS mask_md5
+FROM m""")
+def q_pad_left(spark, sf):
+    p = C.pad_batches(_mix(spark, sf).train, "order_key", 8, side="left")
+    return p.select("batch_id", "position", F.col("padded_len").cast("int").alias("padded_len"),
+                    F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.md5(F.array_join("attention_mask", ",")).alias("mask_md5"))
+
+
 @register("corpus_summary", MIX_VIEWS, D_MIX + _d_interleave("train") + _d_interleave("eval") + """
 SELECT 'train' AS split, count(*) AS n_rows, CAST(floor(count(*) / 16) AS BIGINT) AS steps_per_epoch FROM train_mix
 UNION ALL SELECT 'eval', count(*), CAST(floor(count(*) / 16) AS BIGINT) FROM eval_mix""")

@@ -24,7 +24,7 @@ def _view(name, deps, spark_sql, duck_sql=None):
 
 
 _view("v_pairs", (), """
-SELECT u.conv_id*100+u.turn AS raw_id, u.text AS instruction, a.text AS output
+SELECT u.conv_id*1000003+u.turn AS raw_id, u.text AS instruction, a.text AS output
 FROM conversations u JOIN conversations a ON a.conv_id=u.conv_id AND a.turn=u.turn+1
 WHERE u.role='user' AND a.role='assistant'
 """)

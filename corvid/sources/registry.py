@@ -2,7 +2,9 @@
 
 Unknown names raise before any Spark job starts.  A custom source shape is
 added with :func:`register_source` (a ``DataFrame -> Column`` formatter that
-returns ``ARRAY<ARRAY<STRUCT<role, content>>>`` or NULL).
+returns ``ARRAY<ARRAY<STRUCT<role, content>>>`` or NULL) or, where a row's samples
+take Python, with :func:`register_table_function` (a table function that gives
+each row its samples or the reason it is rejected for).
 """
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.formatters import FORMATTERS
@@ -18,8 +21,13 @@ from ..operators.formatters import FORMATTERS
 @dataclass(frozen=True)
 class SourceDef:
     name: str
-    formatter: Callable[[DataFrame], Column]
+    formatter: Callable[[DataFrame], Column] | None
     columns: tuple[str, ...]
+    table_function: type | None = None
+
+
+#: What a source's table function returns for a row: its samples, or why it has none.
+TAGGED = "samples array<array<struct<role:string,content:string>>>, reject_reason string"
 
 
 def _s(*cols):
@@ -47,6 +55,28 @@ def register_source(name: str, formatter: Callable[[DataFrame], Column], columns
     REGISTRY[name] = SourceDef(name, formatter, tuple(columns))
 
 
+def register_table_function(name: str, handler: type, columns: tuple[str, ...]) -> None:
+    """U4: a source whose rows go through a Python table function.
+
+    ``handler`` has ``eval(*values)``, given a row's ``columns``, and yields one tuple
+    ``(samples, None)`` or ``(None, reason)``; a row for which it yields nothing is rejected
+    without a reason."""
+    class OneEach(handler):
+        """The handler, with one result for every row."""
+
+        def eval(self, *values):
+            yield next(iter(super().eval(*values)), (None, None))
+    REGISTRY[name] = SourceDef(name, None, tuple(columns), OneEach)
+
+
+def formatted(shape: SourceDef, df: DataFrame) -> DataFrame:
+    """``df`` with ``samples`` and ``reject_reason``."""
+    if shape.table_function is None:
+        return df.withColumns({"samples": shape.formatter(df), "reject_reason": F.lit(None).cast("string")})
+    told = F.udtf(shape.table_function, returnType=TAGGED)
+    return df.drop("samples", "reject_reason").lateralJoin(told(*[F.col(c).outer() for c in shape.columns]))
+
+
 def resolve(name: str) -> SourceDef:
     if name not in REGISTRY:
         raise KeyError(f"no source named {name!r}; register_source() adds one")
