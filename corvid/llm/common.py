@@ -43,6 +43,21 @@ def cut_dealt(df: DataFrame) -> DataFrame:
         spark.conf.set(key, was)
 
 
+#: Keys that may hold a share of their own of all rows, at most.
+HOT_KEYS = 10_000
+
+
+def join_by_share(rows: DataFrame, keyed: DataFrame, on: list[str], size_col: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row per key and its number of ``rows`` in ``size_col``.
+
+    Keys with more than a ``HOT_KEYS``-th of all ``total`` rows are broadcast (there are no
+    more than ``HOT_KEYS`` of them), so no task gets all rows of a hot key."""
+    hot = keyed.where(F.col(size_col) > total / HOT_KEYS)
+    first = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed, on, how)
+    return first.unionByName(rest.select(*first.columns))
+
+
 def dealt(share: float, *cols) -> Column:
     """Whether a row belongs to a sample of ``share`` of all rows, by the 64-bit hash of ``cols``."""
     if share >= 1:

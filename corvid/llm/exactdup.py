@@ -4,13 +4,16 @@ Texts are first grouped by (128-bit hash, text): equal hashes with different byt
 are separate groups, so a hash collision never joins two texts.  The partial
 aggregation folds the copies each task has read into one row before the shuffle, so
 a text that a third of all rows share arrives as one row per task.  Only groups of
-two or more rows are then joined back to the rows, by their digests.
+two or more rows are then joined back to the rows, by their digests; the largest of
+these, a bounded number, by broadcast.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, join_by_share
+
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  keep: str = "smallest") -> DataFrame:
@@ -31,7 +34,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # rows that repeat id and text fold into one with their number
     ids = (rows.select("_id", "_h", F.unhex(F.sha2("_text", 256)).alias("_sha"))
            .groupBy("_id", "_h", "_sha").agg(F.count(F.lit(1)).alias("_times")))
-    joined = ids.join(groups, ["_h", "_sha"], "left")
+    total = rows.count()
+    joined = join_by_share(ids, cut(groups), ["_h", "_sha"], "group_size", total, "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
     one = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_nth")
     return (joined.select("_id", "_sha", keep_id.alias("keep_id"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, ragged, row_ranges, text_buffer
+from .common import bound_batches, cut, join_by_share, ragged, row_ranges, text_buffer
 from .graph import components
 from .wordhash import LOWER
 
@@ -170,20 +170,26 @@ def links(distinct_fp: DataFrame, max_bits: int, blocks) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                max_bits: int = 2, seed: int = 42, carry: list[str] | None = None) -> DataFrame:
+                max_bits: int = 2, seed: int = 42, carry: list[str] | None = None, with_root: bool = False) -> DataFrame:
     """Per row: the id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest
     id reachable over links of at most ``max_bits`` bits, its own included; ``carry``
-    names further columns to keep.
+    names further columns to keep; ``with_root`` adds ``component_root``, a fingerprint that
+    tells components apart whatever their ids are.
 
     Texts without words have fingerprint zero and link like any other.  Null ids are
     passed over when the smallest is taken; a component of null ids has null.  Rows that
     repeat an id are fingerprinted one by one.  An empty table gives an empty result."""
     docs_fp = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed, carry=carry))
-    distinct = cut(docs_fp.groupBy("fp").agg(F.min(id_col).alias("low")))
+    distinct = cut(docs_fp.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n_rows")))
     blocks = [GOLAY, GOLAY] + ([HAMMING] if distinct.count() > TWO_BLOCKS else [])
     roots = components(links(distinct, max_bits, blocks)).withColumnRenamed("node", "fp")
     lows = (roots.join(distinct, "fp").groupBy("root").agg(F.min("low").alias("component_low")))
-    moved = roots.join(lows, "root").select("fp", "component_low")
-    by_fp = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
-    return docs_fp.join(by_fp, "fp").select(
-        id_col, *(carry or []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = roots.join(lows, "root").select("fp", "root", F.col("component_low"))
+    # an isolated fingerprint is its own root; a component without an id keeps null
+    by_fp = distinct.join(moved, "fp", "left").select(
+        "fp", "n_rows", F.when(F.col("root").isNotNull(), F.col("component_low")).otherwise(F.col("low")).alias("component_id"),
+        F.coalesce("root", "fp").alias("component_root"))
+    total = distinct.agg(F.sum("n_rows")).first()[0] or 0
+    joined = join_by_share(docs_fp, by_fp, ["fp"], "n_rows", total)
+    return joined.select(id_col, *(carry or []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                         *(["component_root"] if with_root else []))

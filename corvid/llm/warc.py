@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_path, text_buffer
+from .common import bound_batches, cut, shared_path, text_buffer
 
 # Frame magic numbers of the WARC/Zstandard dictionary convention.
 DICT_MAGIC = 0x184D2A5D
@@ -143,6 +143,13 @@ def _parse(record: bytes):
     return fields, rest[:int(fields["Content-Length"])]
 
 
+def _check(fields: dict, payload: bytes) -> None:
+    """A response's stored payload must be what its header says."""
+    digest = hashlib.sha256(payload).hexdigest()
+    if len(payload) != int(fields["X-Payload-Length"]) or f"sha256:{digest}" != fields["WARC-Payload-Digest"]:
+        raise ValueError(f"damaged archive: the payload of {fields['WARC-Record-ID']} is not the one its header names")
+
+
 def _urn(value: str | None):
     got = re.fullmatch(r"<urn:page:(.*)>", value or "", re.S)
     return got[1] if got and got[1] else None
@@ -159,11 +166,15 @@ def _reader(with_payload: bool):
                 while at < len(data):
                     magic, size = struct.unpack_from("<II", data, at) if at + 8 <= len(data) else (0, 0)
                     if magic & 0xFFFFFFF0 == 0x184D2A50:
+                        if at + 8 + size > len(data):
+                            raise ValueError("truncated archive")
                         if magic == DICT_MAGIC:
                             words = zstandard.ZstdCompressionDict(bytes(data[at + 8:at + 8 + size]))
                             open_frame = zstandard.ZstdDecompressor(dict_data=words)
                         at += 8 + size
                         continue
+                    if open_frame is None:
+                        raise ValueError("an archive without its dictionary")
                     # fed in small pieces, as what lies behind the frame's end is copied
                     step, parts = open_frame.decompressobj(), []
                     while not step.eof and at < len(data):
@@ -173,6 +184,8 @@ def _reader(with_payload: bool):
                         raise ValueError("truncated archive")
                     at -= len(step.unused_data)
                     f, payload = _parse(b"".join(parts))
+                    if f["WARC-Type"] == "response":
+                        _check(f, payload)
                     rows.append((_urn(f["WARC-Record-ID"]), f["WARC-Target-URI"], int(f["X-Payload-Length"]),
                                  f["WARC-Payload-Digest"].removeprefix("sha256:"), f["WARC-Type"], _urn(f.get("WARC-Refers-To")), payload))
                     if len(rows) == 256:
@@ -193,19 +206,32 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = False)
     """Records of the archives under ``path``: ``page_id`` and ``refers_to`` (strings),
     ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``; with ``with_payload``
     also the stored payload (empty for revisits).  Digest and length are those of the
-    full payload."""
+    full payload: a response's are measured on what is read, and a mismatch with its header
+    raises; a revisit's are checked against its response by :func:`check_revisits`."""
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = ("page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
               + ", payload binary" * with_payload)
     return files.mapInArrow(_reader(with_payload), schema)
 
 
+def check_revisits(records: DataFrame) -> None:
+    """Raise unless every revisit refers to a response of ``records`` with the same digest and length."""
+    what = ["payload_digest", "payload_bytes"]
+    told = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *what)
+    there = records.where("record_type = 'response'").select("page_id", *what).distinct()
+    lost = told.join(there, ["page_id", *what], "left_anti")
+    if not lost.isEmpty():
+        raise ValueError(f"damaged archives: no response {lost.first().page_id!r} with the payload that revisits name")
+
+
 def archive_digest(pages: DataFrame, *, id_col: str = "page_id") -> DataFrame:
     """Write ``pages`` to fresh archives in the shared folder and read every record back."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path, id_col=id_col)
     kind = pages.schema[id_col].dataType
-    return read_archives(spark, path).select(
+    records = cut(read_archives(spark, path))
+    check_revisits(records)
+    return records.select(
         F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"))

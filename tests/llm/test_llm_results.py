@@ -469,3 +469,39 @@ def test_op10_archives_read_back_byte_for_byte(spark, tmp_path):
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8:8 + n])).stream_reader(raw[8 + n:], read_across_frames=True)
         text += reader.read()
     assert text.count(b"WARC/1.1\r\n") == len(data) and text.count(b"WARC-Type: revisit") == 1
+
+
+def test_op10_damaged_archives_raise(spark, tmp_path):
+    body = "<p>" + "x" * 300 + "</p>"
+    df = spark.createDataFrame([(1, "u", body), (2, "u", body), (3, "u", body + "y")], "page_id long, url string, html string")
+    path = str(tmp_path / "arc")
+    warc.write_archives(df, path)
+    sound = warc.read_archives(spark, path)
+    warc.check_revisits(sound)
+    with pytest.raises(ValueError):
+        warc.check_revisits(sound.where("page_id <> '1'"))
+    with pytest.raises(ValueError):
+        warc.check_revisits(sound.withColumn("payload_bytes", F.col("payload_bytes") + (F.col("record_type") == "revisit").cast("long")))
+    # a record whose body is cut, or swapped for another, in a frame that decompresses well
+    good = warc._record(1, "u", body.encode(), hashlib.sha256(body.encode()).hexdigest(), None)
+    for bad in (good.replace(b"xxx", b"xyx", 1), warc._record(1, "u", body.encode()[:-1], hashlib.sha256(body.encode()).hexdigest(), None)):
+        fields, payload = warc._parse(bad)
+        with pytest.raises(ValueError):
+            warc._check(fields, payload)
+    warc._check(*warc._parse(good))
+    files = [p for p in (tmp_path / "arc").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    whole = files[0].read_bytes()
+    files[0].write_bytes(whole[:len(whole) * 2 // 3])
+    (tmp_path / "arc" / f".{files[0].name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        warc.read_archives(spark, path).collect()
+
+
+def test_hot_keys_join_by_broadcast(spark, monkeypatch):
+    from corvid.llm import common
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows_ = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(100)], "i long, k long")
+    keyed = rows_.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k % 4 = 0")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows_.join(keyed, "k", how).select("i", "k", "n").collect()))
+        assert sorted(map(tuple, common.join_by_share(rows_, keyed, ["k"], "n", 100, how).select("i", "k", "n").collect())) == want
