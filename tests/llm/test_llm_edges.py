@@ -132,6 +132,11 @@ def test_near_dedup_leaves_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "other words of another text"), (3, "x y z")], DOC)
     got = sorted(tuple(r) for r in stage("simhash_near_dedup")(spark, docs, "").collect())
     assert got == [(1, "a b c d"), (3, "other words of another text"), (3, "x y z")]
+    # a component without ids, and two texts with one id in one component, leave one row each
+    long = "one two three four five six seven eight nine ten " * 30
+    docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "A b c d"), (7, long), (7, long.upper()), (None, long)], DOC)
+    left = [tuple(r) for r in stage("simhash_near_dedup")(spark, docs, "").collect()]
+    assert [i for i, t in left if t.lower() == long] == [7] and [i for i, t in left if t.lower() == "a b c d"] == [None] and len(left) == 2
 
 
 def test_pipeline_runs_end_to_end(spark):
