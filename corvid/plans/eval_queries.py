@@ -1,6 +1,8 @@
 """Registered queries for benchmark prompts (E1-E5), token loss (N1-N4) and logs."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, run_tag, strip_markdown
@@ -9,6 +11,7 @@ from ..operators import evalset as EV
 from ..operators import loss as LS
 from ..operators import routing as R
 from ..operators.sse import sse_routing_events
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import duck as D
@@ -109,6 +112,41 @@ def q_combined(spark, sf):
     return c.select("step", F.round("total_loss", 6).alias("total_loss"))
 
 
+_LOGGED = f"""
+lg AS (SELECT step, round(routing_entropy_raw, 4) AS routing_entropy, round(aux_loss, 6) AS train_aux_loss,
+  {", ".join(f"round(u{e} * 100.0, 2) AS expert_{e}_pct" for e in range(R.NUM_EXPERTS))} FROM metrics)"""
+
+
+@register("training_record", ("v_logits", "v_scored_tokens"), D_METRICS + "," + D_NLL + "," + _LOGGED + """
+SELECT coalesce(nl.step, lg.step) AS step, round(loss, 6) AS loss, round(exp(loss), 6) AS train_perplexity, lg.* EXCLUDE step
+FROM nl FULL JOIN lg ON lg.step = nl.step""")
+def q_training_record(spark, sf):
+    log = R.training_log(router_metrics(spark, sf), R.NUM_EXPERTS)
+    r = LS.training_record(log, _nll(spark, sf))
+    return r.withColumns({c: F.round(c, 6) for c in ("loss", "train_perplexity", "train_aux_loss")})
+
+
+@register("evaluation_record", ("v_logits", "v_scored_tokens"), D_METRICS + "," + D_NLL + """,
+b AS (SELECT CAST(floor(coalesce(nl.step, m.step) / 20) AS BIGINT) AS eval_id, loss, aux_loss FROM nl FULL JOIN metrics m ON m.step = nl.step)
+SELECT eval_id, round(avg(loss), 6) AS eval_loss, round(avg(aux_loss), 6) AS eval_aux_loss, round(exp(avg(loss)), 6) AS eval_perplexity
+FROM b GROUP BY eval_id""")
+def q_evaluation_record(spark, sf):
+    own = F.floor(F.col("step") / 20).cast("bigint")
+    r = LS.evaluation_record(_nll(spark, sf).withColumn("eval_id", own), router_metrics(spark, sf).withColumn("eval_id", own))
+    return r.select("eval_id", *[F.round(c, 6).alias(c) for c in ("eval_loss", "eval_aux_loss", "eval_perplexity")])
+
+
+@register("write_completions", ("v_fenced",), D_STRIP_MD.replace("SELECT doc_id, array_to_string(l2, chr(10)) AS completion FROM c",
+          "SELECT 'D/' || CAST(doc_id AS VARCHAR) AS task_id, array_to_string(l2, chr(10)) AS completion, 'docs_runs_1' AS run FROM c"))
+def q_write_completions(spark, sf):
+    v = view(spark, sf, "v_fenced")
+    rows = v.select(F.concat(F.lit("D/"), F.col("doc_id").cast("string")).alias("task_id"), strip_markdown(F.col("completion")).alias("completion"),
+                    F.concat(F.lit("docs_"), run_tag(F.lit("runs/1"))).alias("run"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corvid-completions-{uuid.uuid4().hex}"
+    EV.write_completions(rows, path)
+    return spark.read.schema("task_id string, completion string, run string").json(path)
+
+
 # ------------------------------------------------------------------ S6 / S7
 @register("prompt_lines", (), f"""
 WITH a AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents),

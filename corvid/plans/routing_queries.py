@@ -246,6 +246,14 @@ def q_summary(spark, sf):
     return R.routing_summary(_events(spark, sf), R.MATRIX_LAYERS)
 
 
+@register("routing_summary_text", ("v_logits",), D_EVENTS + f"""
+SELECT session, token_index AS line_no,
+ printf('Token %3d: %s', token_index, array_to_string(list_transform(layer_experts[1:36], lambda e, l: printf('L%02d:E%d', l - 1, e)), ' ')) AS line
+FROM events UNION ALL SELECT DISTINCT session, 0, '{R.SUMMARY_HEADER}' FROM events""")
+def q_summary_text(spark, sf):
+    return R.summary_text(_events(spark, sf), R.MATRIX_LAYERS)
+
+
 D_METRICS = D_ROUTED + f""",
 pl AS (SELECT train_step AS step, layer,
   avg(-(0.0 + {" + ".join(f"probs[{e + 1}] * ln(probs[{e + 1}] + 1e-9)" for e in range(E))})) AS ent,

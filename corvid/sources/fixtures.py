@@ -41,7 +41,8 @@ SELECT raw_id, instruction AS input, CASE WHEN raw_id%13=0 THEN '  ' ELSE output
  CASE raw_id%7 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN '0.5' WHEN 3 THEN '0.8' ELSE '1' END AS average_test_score,
  CASE raw_id%5 WHEN 0 THEN '' WHEN 1 THEN '{bad'
    WHEN 2 THEN '{"a":{"score":5},"b":{"score":4},"c":{"score":4}}'
-   WHEN 3 THEN '{"a":{"score":5},"b":{"score":4},"note":"x"}' ELSE '{"a":{"score":5}}' END AS llm_judgement
+   WHEN 3 THEN '{"a":{"score":5},"b":{"score":4},"note":"x"}'
+   ELSE CASE raw_id%3 WHEN 0 THEN '{"a":{"score":1},"a":{"score":5}}' WHEN 1 THEN '{"a":{"score":5}} {"b":1}' ELSE '{"a":{"score":5}}' END END AS llm_judgement
 FROM v_pairs
 """)
 
