@@ -70,3 +70,23 @@ def test_usage_stream_drops_repeats_and_closes_requests(spark):
     assert all((batch[k].ttft_sec, batch[k].n_chunks, batch[k].model) == (r.ttft_sec, r.n_chunks, r.model) for k, r in got.items())
     state = q.recentProgress[-1].stateOperators if hasattr(q.recentProgress[-1], "stateOperators") else q.recentProgress[-1]["stateOperators"]
     assert sum(s["numRowsTotal"] if isinstance(s, dict) else s.numRowsTotal for s in state) <= 4
+
+
+def test_routing_state_does_not_grow_with_closed_steps(spark):
+    from corvid.streaming.routing_stream import stream_routing_events
+    schema = "session long, step long, token int, layer int, t_sec double, logits array<double>"
+    d = folder()
+    for first in (0, 20):
+        rows = [(s, step, 0, layer, step * 0.5, [float((step * 7 + layer + e) % 5) for e in range(8)])
+                for s in (1, 2) for step in range(first, first + 20) for layer in (0, 1)]
+        rows += [(1, 100 + first, 0, 0, 60.0, [0.0] * 8)]                       # a step that stays open
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    q = (stream_routing_events(src, num_layers=2, idle_timeout_ms=None).writeStream.format("memory").queryName("rt_state").outputMode("append")
+         .option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {(r.session, r.step): r for r in spark.table("rt_state").collect()}
+    assert len(got) == 80 and got[2, 39].token_index == 40
+    state = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    # a value per session, and two entries per open step
+    assert state[-1] == 2 + 2 * 2 and max(state) <= 6
