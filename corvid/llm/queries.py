@@ -94,13 +94,16 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _crc32(text: str) -> str:
-    """Unsigned crc32 of an ASCII string."""
+    """Unsigned crc32 of a string in UTF-8."""
     step = "lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
-    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
     return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), "
             f"lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), {step})), 4294967295)")
 
 
+_LOWER = "translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _words(text: str) -> str:
     low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -111,9 +114,9 @@ ORACLES: dict[str, str] = {
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
  i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_words('text')} AS w FROM benchmark),
  iw AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS win
-        FROM i, range(1, 100000) r(k) WHERE len(w) > 0 AND k <= greatest(len(w) - 9, 1)),
+        FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) r(k) WHERE len(w) > 0),
  dw AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS win
-        FROM d, (SELECT DISTINCT size FROM iw), range(1, 100000) r(k) WHERE k <= len(w) - size + 1),
+        FROM d, (SELECT DISTINCT size FROM iw) z, unnest(range(1, len(w) - size + 2)) r(k)),
  m AS (SELECT doc_id, dw.size, k, item FROM dw JOIN iw USING (size, win)),
  h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM (SELECT DISTINCT doc_id, size, k FROM m)) GROUP BY 1),
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
@@ -149,6 +152,33 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({_LOWER.format(text='text')}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+ c AS (SELECT d || ':' || w AS dw, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+ h AS (SELECT w, n, {_crc32('dw')} AS h FROM c),
+ k AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+ words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+ v AS (SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS cut FROM words, unnest(range(length(word) + 1)) t(i)),
+ near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.cut = b.cut AND a.word <> b.word
+          WHERE a.i = b.i AND a.i > 0 OR a.i = 0 AND b.i > 0 OR a.i > 0 AND b.i = 0),
+ best AS (SELECT word, count(*) AS n_near, list({{'w': near, 'n': near_n}} ORDER BY near_n DESC, near)[1] AS top FROM near GROUP BY 1),
+ f AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 5 * n THEN top.w END AS form, CASE WHEN top.n >= 5 * n THEN top.n END AS form_n
+       FROM words LEFT JOIN best USING (word)),
+ chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain USING (word) JOIN f g ON g.word = chain.at AND g.form IS NULL""",
+    "op12_suffix_dedup": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+ x AS (SELECT r, doc_id, hex(b) AS x, octet_length(b) AS n FROM t),
+ p AS (SELECT r, doc_id, n, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN i + 50 <= n THEN substr(x, 2 * i + 1, 100) END AS s FROM x, unnest(range(n)) u(i)),
+ m AS (SELECT s, min(doc_id) AS first FROM p WHERE s IS NOT NULL GROUP BY 1),
+ f AS (SELECT r, n, i, byte, coalesce(m.first < p.doc_id OR m.first IS NOT NULL AND p.doc_id IS NULL, false) AS hit FROM p LEFT JOIN m USING (s)),
+ g AS (SELECT r, n, i, byte, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS 49 PRECEDING) AS gone FROM f),
+ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM g),
+ d AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+              coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM x LEFT JOIN d USING (r)""",
     "op13_conversation_trie": f"""
 WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
  o AS (SELECT c, md5(length(r)::VARCHAR || ':' || r || x) AS m, length(x) AS n,
