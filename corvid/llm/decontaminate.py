@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordhash
-from .common import bound_batches, ragged, row_ranges, text_buffer
+from .common import bound_batches, cut, ragged, row_ranges, text_buffer
 
 #: Words of a benchmark window.
 WINDOW = 10
 #: Benchmark text per pattern table; a larger benchmark is searched table by table.
 TABLE_BYTES = 8 << 20
+#: Tables that one pass of tasks holds; then the documents are written and read again.
+PASS_TABLES = 8
 #: Words of one piece of a very long benchmark item (pieces overlap by a window less one word).
 PIECE_WORDS = 50_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,9 +40,9 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Patterns:
-    """Pattern tables of a list of ``(item id, text)``."""
+    """Pattern tables of a list of ``(ids of the items that have it, text)``."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[list[str], str]], window: int):
         raw = [t.encode() for _, t in items]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)
         low, starts, ends, counts = wordhash.words(offsets, np.frombuffer(b"".join(raw), np.uint8))
@@ -60,12 +62,12 @@ class Patterns:
         # distinct windows and the items that hold each
         owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
         at = 0
-        for (item, _), n in zip(items, counts, strict=True):
+        for (ids_of, _), n in zip(items, counts, strict=True):
             own = of_word[at:at + n].tolist()
             at += n
             size = min(window, n)
             for i in range(n - size + 1 if n else 0):
-                owners[size][tuple(own[i:i + size])].add(item)
+                owners[size][tuple(own[i:i + size])].update(ids_of)
         self.groups = [Group(size, wins, by_id) for size, wins in sorted(owners.items())]
 
     def word_ids(self, low, starts, ends, hashed, at: np.ndarray) -> np.ndarray:
@@ -219,18 +221,19 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     column are replaced.  ``keep_text`` carries the text through.
 
     The benchmark is measured first: each pattern table holds at most about ``table_bytes``
-    of its text, and a larger benchmark is searched table by table in one chain of narrow
-    passes, without a shuffle."""
+    of its distinct text, and a larger benchmark is searched table by table in narrow passes,
+    without a shuffle of the documents; ``PASS_TABLES`` of them run as one chain."""
     spark = docs.sparkSession
     bound_batches(spark)
     results = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
     docs = docs.drop(*results).withColumns({"_hits": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    pieces = item_pieces(benchmark, window)
+    # a text that many items share is one piece with their ids
+    pieces = item_pieces(benchmark, window).groupBy("piece").agg(F.sort_array(F.collect_set("item")).alias("items"))
     total = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     n_tables = max(1, -(-total // table_bytes))
     part = F.pmod(F.xxhash64("piece"), F.lit(n_tables))
     for k in range(n_tables):
-        own = [(r.item, r.piece) for r in pieces.where(part == k).collect()]
+        own = [(r["items"], r["piece"]) for r in pieces.where(part == k).collect()]
         shared = spark.sparkContext.broadcast((own, window))
         last = k == n_tables - 1
         fields = [f for f in docs.schema.fields if f.name != "_words" and (f.name != text_col or keep_text or not last)]
@@ -239,6 +242,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                                         T.StructField("_hits", T.ArrayType(T.LongType())),
                                         T.StructField("_items", T.ArrayType(T.StringType()))])
         docs = docs.mapInArrow(_searcher(shared, text_col, keep_text or not last), schema)
+        if not last and k % PASS_TABLES == PASS_TABLES - 1:
+            docs = cut(docs)
     n_hit: Column = F.aggregate(F.transform("_hits", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)),
                                 F.lit(0).cast("long"), lambda a, x: a + x)
     return docs.select(*[c for c in docs.columns if c not in ("_words", "_hits", "_items")],
