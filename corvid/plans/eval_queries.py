@@ -15,6 +15,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import duck as D
+from .barrier import compute_once
 from .registry import register
 from .routing_queries import D_EVENTS, D_METRICS, _events, router_metrics
 
@@ -167,7 +168,8 @@ SSE_NOISE = (":keepalive", "data: [DONE]", "data: {bad", 'data: {"type":"other",
 
 def sse_lines(events):
     """The event log a telemetry stream would write: one ``data:`` line per event plus noise."""
-    good = events.select("session", F.concat(F.lit("data: "), R.event_json(events)).alias("value"))
+    # the log's text is made once; its readers look at it several times
+    good = compute_once(events, value=F.concat(F.lit("data: "), R.event_json(events))).select("session", "value")
     noise = events.select("session").distinct().select(
         "session", F.explode(F.array(*[F.lit(x) for x in SSE_NOISE])).alias("value"))
     return good.unionByName(noise)
