@@ -23,7 +23,7 @@ from collections import Counter
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, row_ranges, text_buffer
@@ -121,7 +121,7 @@ def _as_batch(rows, fields):
 
 _STEP = [("node", pa.int64()), ("next", pa.string()), ("id", pa.int64()), ("back", pa.bool_()), ("depth", pa.int32())]
 _EDGE = [("node", pa.int64()), ("label", pa.string()), ("child", pa.int64()), ("word", pa.string()), ("n", pa.int64())]
-_STATE = [("word", pa.string()), ("back", pa.bool_()), ("pos", pa.int32()), ("node", pa.int64()), ("edits", pa.int32()),
+_STATE = [("text", pa.string()), ("back", pa.bool_()), ("pos", pa.int32()), ("node", pa.int64()), ("edits", pa.int32()),
           ("near", pa.string()), ("near_n", pa.int64())]
 
 
@@ -190,19 +190,30 @@ def advance(text: str, pos: int, edits: int, label: str):
 
 
 def _moves(batches):
-    def rows(word, back, pos, edits, label, child, other, n, ahead):
-        text = word[::-1] if back else word
+    def rows(text, back, pos, edits, label, child, other, n, ahead):
         for p, e in advance(text, pos, edits, label):
             # the other word may end here, or with this word's last code point left out
             if other is not None and p == len(text) - (1 - e):
-                yield word, back, p, child, e, other, n
+                yield text, back, p, child, e, other, n
             # with an edit taken, only what goes on with the next code point lives
             if ahead and (e == 0 or p < len(text) and text[p] in ahead):
-                yield word, back, p, child, e, None, None
+                yield text, back, p, child, e, None, None
     for out in _spelled(batches, rows):
         yield _as_batch(out, _STATE)
 
 
+def _may_move() -> Column:
+    """What ``advance`` and the look-ahead leave of a joined state and edge, told from two code points of each."""
+    def at(text: str, place, size=1):
+        return F.substring(F.col(text), place, F.lit(size))
+    c1, c2 = at("s.text", F.col("pos") + 1), at("s.text", F.col("pos") + 2)
+    l1, l2 = at("label", F.lit(1)), at("label", F.lit(2))
+    ahead = F.coalesce("ahead", F.lit(""))
+    short = F.contains(ahead, c1) | F.contains(ahead, c2) | (l1 == c2) | F.col("e.word").isNotNull()
+    fresh = (l1 == c1) | F.when(F.length("label") == 1, short).otherwise((l1 == c2) | (l2 == c1) | (l2 == c2))
+    return F.when(F.col("edits") == 0, fresh).otherwise(F.substring(F.col("s.text"), F.col("pos") + 1, F.length("label")) == F.col("label"))
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """``(word, near, near_n)``: every pair of different ``words (word, n)`` that one inserted, deleted
     or replaced code point turns into each other, in both orders; ``near_n`` is the ``n`` of ``near``."""
@@ -211,19 +222,18 @@ def near_words(words: DataFrame) -> DataFrame:
     def begin(batches):
         def rows(word):
             for back in (False, True):
-                at = start(len(word), back)
-                yield word, back, at, prefix_hashes(word[::-1][:at] if back else word[:at], back)[at], 0, None, None
+                text, at = word[::-1] if back else word, start(len(word), back)
+                yield text, back, at, prefix_hashes(text[:at], back)[at], 0, None, None
         for out in _spelled(batches, rows):
             yield _as_batch(out, _STATE)
 
     states, found = words.select("word").mapInArrow(begin, _schema(_STATE)), []
     while True:
-        ahead = F.col("edits").eqNullSafe(0) | (F.substring("label", 1, 1) == F.when(
-            F.col("back"), F.substring(F.reverse("s.word"), F.col("pos") + 1, F.lit(1))).otherwise(F.substring("s.word", F.col("pos") + 1, F.lit(1))))
-        met = states.alias("s").join(edges.alias("e"), "node").where(ahead)
-        moved = cut(met.select("s.word", "back", "pos", "edits", "label", "child", F.col("e.word").alias("other"), F.col("e.n").alias("other_n"), "ahead")
+        met = states.alias("s").join(edges.alias("e"), "node").where(_may_move())
+        moved = cut(met.select("s.text", "back", "pos", "edits", "label", "child", F.col("e.word").alias("other"), F.col("e.n").alias("other_n"), "ahead")
                     .mapInArrow(_moves, _schema(_STATE)))
-        found.append(moved.where("near is not null").select("word", "near", "near_n"))
+        word = F.when(F.col("back"), F.reverse("text")).otherwise(F.col("text"))
+        found.append(moved.where("near is not null").select(word.alias("word"), "near", "near_n"))
         states = moved.where("near is null").drop("near", "near_n")
         if states.isEmpty():
             break
