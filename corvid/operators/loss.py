@@ -25,13 +25,14 @@ def token_nll(scored: DataFrame) -> DataFrame:
     """N2 per token: -log softmax(logits)[next label]; ignored targets dropped.
 
     Where the rows carry their sample's ``labels`` array, the shift is local to the row
-    and no logits are shuffled.  Otherwise the next row's ``label`` is taken within the
-    sample, which moves the rows."""
+    and no logits are shuffled.  Otherwise the next ``label`` within the sample is found on
+    the labels alone and joined back by (sample, pos), which must tell rows apart: a few
+    bytes per token, which Spark broadcasts up to its threshold, so logits stay in place."""
     if "labels" in scored.columns:
-        target = F.get("labels", F.col("pos") + 1)
+        df = scored.withColumn("_t", F.get("labels", F.col("pos") + 1))
     else:
-        target = F.lead("label").over(Window.partitionBy("sample").orderBy("pos"))
-    df = scored.withColumn("_t", target)
+        after = F.lead("label").over(Window.partitionBy("sample").orderBy("pos"))
+        df = scored.join(scored.select("sample", "pos", after.alias("_t")).where("_t is not null"), ["sample", "pos"])
     kept = df.where((F.col("_t") != IGNORE_INDEX) & (F.col("_t") >= 0) & (F.col("_t") < F.size("logits")))   # P6 clamp
 
     def nll(x: Column) -> Column:

@@ -165,3 +165,20 @@ def test_chunk_reassemble_merges_tool_deltas(spark):
 def test_perplexity_overflow_is_inf(spark):
     v = spark.range(1).select(F.exp(F.lit(1000.0))).first()[0]
     assert math.isinf(v)
+
+
+def test_nll_without_label_arrays_leaves_logits_in_place(spark):
+    from corvid.operators import loss as LS
+    rows = [(s, p, [float((s * 3 + p + i) % 7) for i in range(8)], [(s + p) % 9 if j == p else (s + j) % 9 for j in range(5)], (s + p) % 9, 1)
+            for s in range(20) for p in range(5)]
+    df = spark.createDataFrame(rows, "sample long, pos int, logits array<double>, labels array<int>, label int, step int")
+    path = tempfile.mkdtemp(prefix="corvid-nll-", dir="/tmp") + "/scored"
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    with_arrays = LS.token_nll(df.drop("label")).select("sample", "pos", F.round("nll", 9).alias("nll"))
+    plain = LS.token_nll(df.drop("labels"))
+    got = plain.select("sample", "pos", F.round("nll", 9).alias("nll"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, with_arrays.collect())) and got.count() > 50
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert "BroadcastHashJoin" in plan and len(moved) == 1
