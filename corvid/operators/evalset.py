@@ -18,12 +18,12 @@ TASK_SYSTEM = ("You are an expert Python programmer. Write a Python function tha
 
 
 def completion_user(prompt: Column) -> Column:
-    """E1 user turn."""
+    """E1 user turn (fixed value: its first line)."""
     return F.concat(F.lit("Complete this Python function:\n\n"), prompt)
 
 
 def task_user(prompt: Column, tests: Column) -> Column:
-    """E2 user turn: the first two tests, a missing list counts as empty."""
+    """E2 user turn: the first two tests, a missing list counts as empty (fixed values: its two labels)."""
     shown = F.array_join(F.slice(F.coalesce(tests, F.array().cast("array<string>")), 1, 2), "\n")
     return F.concat(F.lit("Task: "), prompt, F.lit("\n\nExample tests:\n"), shown)
 

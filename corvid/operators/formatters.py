@@ -127,6 +127,7 @@ def fmt_fanout(df: DataFrame) -> Column:
 
     def samples(of: Column) -> Column:
         content, sols = of["content"], of["sols"]
+        # fixed values: the texts of both tasks
         solve = F.transform(sols, lambda s: messages(
             ("user", F.concat(F.lit("Solve the following coding problem in "), s["display"], F.lit(":\n\n"), content)),
             ("assistant", s["code"])))
