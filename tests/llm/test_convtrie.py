@@ -46,9 +46,10 @@ def got(df):
     return sorted((tuple(r) for r in convtrie.shared_prefixes(df).drop("path", "parent_path").collect()), key=repr)
 
 
-@pytest.mark.parametrize("shard", [convtrie.SHARD, 7])
-def test_equals_a_plain_trie(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, segment", [(convtrie.SHARD, convtrie.SEGMENT), (7, 2), (1000, 1), (100, 3)])
+def test_equals_a_plain_trie(spark, monkeypatch, shard, segment):
     monkeypatch.setattr(convtrie, "SHARD", shard)
+    monkeypatch.setattr(convtrie, "SEGMENT", segment)
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant"]), "same first turn" if t == 0 and c % 3 else rng.choice(["a", "bb", "", "é日"]))
             for c in rng.sample(range(-150, 420), 260) for t in range(rng.randrange(1, 7))]
@@ -75,3 +76,17 @@ def test_empty_table_and_missing_base(spark):
     rows = [(c, 0, "user", "only") for c in range(201, 260)]
     want = brute(rows)
     assert got(spark.createDataFrame(rows, CONV)) == want and any(r[1] == 0 and r[3] == 59 for r in want)
+
+
+def test_long_conversations_in_segments(spark, monkeypatch):
+    """Many segments give what one walk gives; a conversation with most of the rows is many groups."""
+    rows = spark.range(12_000).select(F.lit(700).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"), (F.col("id") % 97).cast("string").alias("text"))
+    other = rows.where("turn < 9000").withColumn("conv_id", F.lit(701))
+    third = rows.where("turn < 8000").withColumn("conv_id", F.lit(703)).withColumn("text", F.when(F.col("turn") == 5000, "else").otherwise(F.col("text")))
+    df = rows.unionAll(other).unionAll(third).unionAll(rows.limit(0)).withColumn("conv_id", F.col("conv_id").cast("long"))
+    monkeypatch.setattr(convtrie, "SEGMENT", 10**6)
+    whole = got(df)
+    monkeypatch.setattr(convtrie, "SEGMENT", 1000)
+    assert got(df) == whole and max(r[1] for r in whole) >= 11_990
+    _, turn_rows = convtrie.rebuilt(convtrie.turns(df))
+    assert turn_rows.select("c", "pos").distinct().count() == turn_rows.count()
