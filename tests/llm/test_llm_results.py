@@ -76,7 +76,7 @@ def test_op1_is_linear_in_hostile_pages():
     for page in ("<div>" * 200_000 + "x", "<p " * 350_000, "<div>" * 100_000 + "</b>" * 100_000, "<div>a " * 100_000, '<p " ' * 200_000 + ">", "<" * 1_000_000):
         began = time.process_time()
         html_text.extract(page, weights)
-        assert time.process_time() - began < 2.0
+        assert time.process_time() - began < 8.0          # a second or less here; minutes if it were quadratic
     assert html_text.extract("<div>" * 5000 + "x", weights) == "x"
     assert html_text.extract("<p>kept words</p><!-- open > comment <p>no", weights) == "kept words"
     assert html_text.extract("<p>kept words<script>if (a > b) x", weights) == "kept words"
