@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
 
@@ -125,25 +126,20 @@ def limit(n, max_edits, per):
 
 
 def near_lines(docs, max_edits=2, min_chars=24, per=None, links=None):
-    """Per document: (lines, exact repeats, near repeats, text left); pairs of near lines if ``links``."""
-    if per is None:
-        classes = [(min_chars, None, max_edits, min_chars // (max_edits + 1))]
-    else:
-        edge = [3 * per - limit(3 * per, max_edits, per), 6 * per - limit(6 * per, max_edits, per)]
-        classes = [(min_chars, 3 * per, max_edits, min_chars // (max_edits + 1)), (edge[0], 6 * per, max_edits + 1, edge[0] // (max_edits + 2)),
-                   (edge[1], None, max_edits + 1, edge[1] // (max_edits + 2))]
+    """Per document: (lines, exact repeats, near repeats, text left); all pairs of near lines if ``links``."""
     keyed = [(d, i, ln) for d, t in sorted(docs) if t is not None for i, ln in enumerate(t.split("\n"))]
     first = {}
     for d, i, ln in keyed:
         if ln.strip():
             first.setdefault(ln, (d, i))
     distinct = [ln for ln in first if len(ln) >= min_chars]
-    parts = {ln: segments(ln, classes) for ln in distinct}
+    bags = {ln: Counter(ln) for ln in distinct}
     near = set()
     for i, a in enumerate(distinct):
         for b in distinct[i + 1:]:
             most = limit(max(len(a), len(b)), max_edits, per)
-            if (abs(len(a) - len(b)) <= most and (parts[a][0] & parts[b][1] or parts[b][0] & parts[a][1]) and edits(a, b) <= most):
+            # an edit changes the numbers of one or two characters by one
+            if abs(len(a) - len(b)) <= most and ((bags[a] - bags[b]) + (bags[b] - bags[a])).total() <= 2 * most and edits(a, b) <= most:
                 near.add(max((a, b), key=first.get))
                 if links is not None:
                     links.append((a, b))

@@ -394,6 +394,31 @@ def test_op9_edits_grow_with_the_line(spark, monkeypatch, segment_lines):
     assert got == want
 
 
+@pytest.mark.parametrize(("segment_lines", "pass_chars"), [(linededup.SEGMENT_LINES, 1), (2, linededup.PASS_CHARS)])
+def test_op9_links_all_lines_within_the_limit(spark, monkeypatch, segment_lines, pass_chars):
+    """Edits by length that leave no long run in place, all of them shifting what follows, are found."""
+    monkeypatch.setattr(linededup, "SEGMENT_LINES", segment_lines)
+    monkeypatch.setattr(linededup, "PASS_CHARS", pass_chars)           # one pass and several
+    rng = random.Random(23)
+    docs = []
+    for n in (24, 41, 60, 80, 83, 100, 139, 140, 200, 299, 300, 431, 559, 600, 777, 1250, 2500):
+        base = "".join(rng.choice("abcdefghiklmnop ") for _ in range(n))
+        k = brute.limit(n, 2, 20)
+        for kind in ("insert", "delete", "both", "replace", "one more"):
+            s, many = list(base), k + (kind == "one more")
+            for j in range(many):
+                i = min(n - 1, (2 * j + 1) * n // (2 * many) + rng.randrange(-2, 3))
+                s[i] = {"insert": s[i] + "X", "delete": "", "both": (s[i] + "X", "")[j < many // 2], "replace": "Y", "one more": "Z"}[kind]
+            line = "".join(s)
+            docs += [(len(docs), base), (len(docs) + 1, line)] if kind == "insert" else [(len(docs), line)]
+    links = []
+    want = brute.near_lines(docs, per=20, links=links)
+    assert len(links) > 60
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.text)
+           for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), chars_per_edit=20).collect()}
+    assert got == want
+
+
 def test_op9_orders_negative_ids_and_separates_null_ids(spark):
     a, b = "a line of more than twenty-four characters", "another line, as long as the one before it"
     docs = [(-5, f"{a}\n{b}\n{a}"), (-2, b), (3, a), (None, f"{a}\nfirst null"), (None, f"{b}\nsecond null")]
