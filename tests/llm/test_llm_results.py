@@ -394,11 +394,11 @@ def test_op9_edits_grow_with_the_line(spark, monkeypatch, segment_lines):
     assert got == want
 
 
-@pytest.mark.parametrize(("segment_lines", "pass_chars"), [(linededup.SEGMENT_LINES, 1), (2, linededup.PASS_CHARS)])
-def test_op9_links_all_lines_within_the_limit(spark, monkeypatch, segment_lines, pass_chars):
+@pytest.mark.parametrize(("segment_lines", "pass_keys"), [(linededup.SEGMENT_LINES, linededup.PASS_KEYS), (2, 1)])
+def test_op9_links_all_lines_within_the_limit(spark, monkeypatch, segment_lines, pass_keys):
     """Edits by length that leave no long run in place, all of them shifting what follows, are found."""
     monkeypatch.setattr(linededup, "SEGMENT_LINES", segment_lines)
-    monkeypatch.setattr(linededup, "PASS_CHARS", pass_chars)           # one pass and several
+    monkeypatch.setattr(linededup, "PASS_KEYS", pass_keys)             # one pass and several
     rng = random.Random(23)
     docs = []
     for n in (24, 41, 60, 80, 83, 100, 139, 140, 200, 299, 300, 431, 559, 600, 777, 1250, 2500):
