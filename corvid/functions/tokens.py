@@ -59,10 +59,14 @@ def piece_id(p: Column, vocab: HashVocab = DEFAULT_VOCAB) -> Column:
             .otherwise(h)).cast("int")
 
 
+def pieces_of(text: Column) -> Column:
+    """The pieces of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(PIECE_PATTERN), 0)
+
+
 def encode(text: Column, vocab: HashVocab = DEFAULT_VOCAB) -> Column:
     """Text -> ARRAY<INT> with the built-in hashed encoder (P3, untruncated)."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE_PATTERN), 0)
-    return F.transform(pieces, lambda p: piece_id(p, vocab))
+    return F.transform(pieces_of(text), lambda p: piece_id(p, vocab))
 
 
 def encode_py(text: str, vocab: HashVocab = DEFAULT_VOCAB) -> list[int]:

@@ -8,17 +8,21 @@
 """
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import json
 import re
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chat import ASSISTANT_MARKER, PROMPT
-from .tokens import Encoder
+from .chat import ASSISTANT_MARKER, ENDOFTEXT, IM_END, IM_START, PROMPT
+from .tokens import DEFAULT_VOCAB, Encoder, HashVocab, hash_encoder, pieces_of
 
 TOOL_CALL = T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.StringType())])
 
@@ -153,8 +157,7 @@ class _NoPrompt(Exception):
     """The template cannot be filled from this request."""
 
 
-def _template_json(value) -> str:
-    return json.dumps(value, ensure_ascii=False)
+_template_json = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def _joined_text(value) -> str:
@@ -203,12 +206,36 @@ def prompt_parts(body: str | None) -> dict | None:
         return None
 
 
-@F.pandas_udf(PROMPT)
-def prompt_parts_udf(bodies: pd.Series) -> pd.DataFrame:
+_CALLS = pa.list_(pa.struct([("name", pa.string()), ("arguments", pa.string())]))
+_PARTS = pa.struct([("messages", pa.list_(pa.struct([("role", pa.string()), ("content", pa.string()), ("calls", _CALLS)]))),
+                    ("tools", pa.list_(pa.string()))])
+
+
+@F.arrow_udf(PROMPT)
+def prompt_parts_udf(bodies: pa.Array) -> pa.Array:
     """``prompt_parts`` of each body; a body without a prompt has no messages."""
-    parts = [prompt_parts(b) or {"messages": None, "tools": None} for b in bodies]
-    return pd.DataFrame({"messages": pd.Series([p["messages"] for p in parts], dtype=object),
-                         "tools": pd.Series([p["tools"] for p in parts], dtype=object)})
+    return pa.array([prompt_parts(b) or {"messages": None, "tools": None} for b in bodies.to_pylist()], _PARTS)
+
+
+def piece_ids_udf(vocab: HashVocab = DEFAULT_VOCAB) -> Callable[[Column], Column]:
+    """Ids of the built-in encoder for arrays of pieces; a piece is hashed once per batch."""
+    base, special = vocab.base_vocab, {IM_START: vocab.im_start_id, IM_END: vocab.im_end_id, ENDOFTEXT: vocab.endoftext_id}
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def _ids(pieces: pa.Array) -> pa.Array:
+        flat = pieces.flatten().dictionary_encode()
+        known = pa.array([special[p] if p in special else int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % base
+                          for p in flat.dictionary.to_pylist()], pa.int32())
+        ends = np.cumsum(pieces.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), ends])), known.take(flat.indices), mask=pieces.is_null())
+
+    return _ids
+
+
+def batch_hash_encoder(vocab: HashVocab = DEFAULT_VOCAB) -> Encoder:
+    """``hash_encoder`` for long texts: the JVM cuts the pieces, their ids come from Arrow batches."""
+    ids = piece_ids_udf(vocab)
+    return dataclasses.replace(hash_encoder(vocab), ids=lambda text: ids(pieces_of(text)))
 
 
 # ------------------------------------------------------------------ U1

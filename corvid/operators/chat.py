@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import udfs as U
 from ..functions.chat import render_prompt
 from ..functions.text import py_lstrip, py_strip
-from ..functions.tokens import Encoder, hash_encoder
+from ..functions.tokens import Encoder
 from ..plans.barrier import compute_once
 
 # Generation defaults of the reference server.
@@ -157,7 +157,7 @@ def prompt_usage(df: DataFrame, encoder: Encoder | None = None, body: str = "bod
 
     Adds ``prompt`` and ``prompt_tokens_est`` (null without a prompt), the column that
     :func:`usage_totals` falls back on where generation has reported no count."""
-    encoder = encoder or hash_encoder()
+    encoder = encoder or U.batch_hash_encoder()
     held = compute_once(request_prompt(df, body), _ids=encoder.ids(F.col("prompt")))
     return held.withColumn("prompt_tokens_est", F.when(F.col("prompt").isNotNull(), F.size("_ids"))).drop("_ids")
 

@@ -117,7 +117,9 @@ p AS (SELECT * FROM a UNION ALL SELECT * FROM h UNION ALL SELECT * FROM c)"""
 def _bodies(spark, sf):
     parts = [view(spark, sf, v).select(F.lit(src).alias("src"), "request_id", "body")
              for src, v in (("requests", "v_requests"), ("history", "v_tool_history"), ("tools", "v_tool_chat"))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    # a table in one file is read by one task; the work per body is dealt to all
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).repartition(tasks, "src", "request_id", "body")
 
 
 @register("chat_prompt_tools", ("v_requests", "v_tool_history", "v_tool_chat"), _d_prompts() + """

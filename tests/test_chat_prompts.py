@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import udfs as U
 from corvid.functions.chat import QWEN_DEFAULT_SYSTEM, TOOLS_HEAD, TOOLS_TAIL
-from corvid.functions.tokens import encode_py
+from corvid.functions.tokens import encode, encode_py
 from corvid.operators import chat as CH
 
 HEAD = f"<|im_start|>system\n{QWEN_DEFAULT_SYSTEM}"
@@ -69,3 +69,19 @@ def test_prompt_counts_with_a_tokenizer_file(spark, bodies):
     tok = tokenizers.Tokenizer.from_file(path)
     got = {r.name: r.prompt_tokens_est for r in CH.prompt_usage(bodies, U.tokenizer_encoder(path)).collect()}
     assert got == {k: len(tok.encode(WANT[k], add_special_tokens=False).ids) if k in WANT else None for k in got}
+
+
+def test_batch_ids_are_the_ids_of_the_encoder(spark):
+    texts = [None, "", " ", WANT["calls"], WANT["plain"] * 3, "<<|im_start|><|im_end| >   a  <a<|endoftext|>é  ß_9\n\x00😀 <|im_end|", WANT["turns"]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: (r.a, r.b) for r in rows.select("i", U.batch_hash_encoder().ids(F.col("t")).alias("a"), encode(F.col("t")).alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and got[0] == (None, None) and got[1] == ([], [])
+    sliced = rows.where("i > 2").select(U.batch_hash_encoder().ids(F.col("t")).alias("a")).collect()
+    assert [r.a for r in sliced] == [encode_py(t) for t in texts[3:]]
+
+
+def test_bodies_of_one_file_are_dealt_to_all_tasks(spark):
+    from corvid.plans import chat_queries
+    bodies = chat_queries._bodies(spark, "/root/testdata/sf0.001")
+    assert bodies.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert min(len(p) for p in bodies.select("src").rdd.glom().collect()) > 0
