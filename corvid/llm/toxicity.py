@@ -194,28 +194,60 @@ def fit_linear(x: Sparse, earlier: np.ndarray, y: np.ndarray, k: int, rounds: in
     return w
 
 
-def fit_chain(categories, features, rows, y: np.ndarray, folds: np.ndarray) -> Chain:
-    """Fit the models in order; ``y`` is ``[row, category]`` with NaN for no label."""
-    x, k = Sparse.of(rows), len(features)
-    earlier = np.zeros((len(rows), 0))
-    weights = []
-    for c in range(len(categories)):
-        known = ~np.isnan(y[:, c])
-
-        def fit(keep, c=c, earlier=earlier):
-            return fit_linear(x.only(keep), earlier[keep], y[keep, c], k)
-        weights.append(fit(known))
-        if c == len(categories) - 1:
-            break                      # no later model asks for its predictions
-        out = np.zeros(len(rows))
-        for f in range(FOLDS):
-            held = folds == f
-            if held.any():
-                out[held] = _probability(x.only(held), earlier[held], fit(known & ~held), k)
+def fit_part(x: Sparse, y: np.ndarray, folds: np.ndarray, parts: list[dict[int, np.ndarray]], held: int, k: int) -> np.ndarray:
+    """Weights of the model that follows those of ``parts``, fitted on the labelled rows outside fold ``held``
+    (-1: on all); ``parts`` has per earlier category the weights fitted without each fold."""
+    earlier = np.zeros((len(folds), 0))
+    for of_fold in parts:
+        out = np.zeros(len(folds))
+        for f, w in of_fold.items():
+            at = folds == f
+            out[at] = _probability(x.only(at), earlier[at], w, k)
         earlier = np.column_stack([earlier, out])
+    label = y[:, len(parts)]
+    keep = ~np.isnan(label) & (folds != held)
+    return fit_linear(x.only(keep), earlier[keep], label[keep], k)
+
+
+def _chain(categories, features, fit) -> Chain:
+    """The models in order; ``fit(parts, folds held out)`` gives the weights of the next category's."""
+    weights, parts = [], []
+    for c in range(len(categories)):
+        # no later model asks for the predictions of the last
+        got = fit(parts, [-1, *range(FOLDS)] if c < len(categories) - 1 else [-1])
+        weights.append(got.pop(-1))
+        parts.append(got)
     return Chain(list(categories), list(features), weights)
 
 
+def fit_chain(categories, features, rows, y: np.ndarray, folds: np.ndarray) -> Chain:
+    """Fit the models in order; ``y`` is ``[row, category]`` with NaN for no label."""
+    x = Sparse.of(rows)
+    return _chain(categories, features, lambda parts, held: {h: fit_part(x, y, folds, parts, h, len(features)) for h in held})
+
+
+def _fit_spread(sample: DataFrame, k: int, categories: int):
+    """``fit`` of ``_chain`` with a task for each model; ``sample`` (``fold``, ``x``, ``y``), a bounded number
+    of rows, goes to each task, only weights come to the driver."""
+
+    def fit(parts, held):
+        def run(batches):
+            of_part: dict[int, list] = {}
+            for b in batches:
+                for part, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                    of_part.setdefault(part, []).append(row)
+            for part, got in of_part.items():
+                got.sort(key=lambda r: (r[0], r[1], repr(r[2])))     # the order of rows must not matter
+                y = np.array([[np.nan if v is None else float(v > 0) for v in r[2]] for r in got])
+                w = fit_part(Sparse.of([np.frombuffer(r[1], np.int32) for r in got]), y, np.array([r[0] for r in got], np.int64), parts, held[part], k)
+                yield pa.RecordBatch.from_arrays([pa.array([held[part]], pa.int32()), pa.array([w.tobytes()], pa.binary())], ["held", "w"])
+        dealt = sample.select(F.explode(F.array(*map(F.lit, range(len(held))))).alias("part"), "fold", "x", "y").repartitionById(len(held), "part")
+        found = {r.held: np.frombuffer(r.w) for r in dealt.mapInArrow(run, "held int, w binary").collect()}
+        none = Sparse.of([])                     # a sample without rows has no task that answers
+        return {h: found[h] if found else fit_part(none, np.zeros((0, categories)), np.zeros(0, np.int64), parts, h, k) for h in held}
+    return fit
+
+
 class Lookup:
     """Feature numbers of a text's words; remembers a bounded number of words."""
 
@@ -276,12 +308,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], [id_col, "x", "y"])
 
     fold = F.pmod(F.xxhash64(id_col, F.lit("fold")), F.lit(FOLDS))
-    got = (sample.select(id_col, "_text", "_y").mapInArrow(encode, T.StructType([
+    encoded = cut(sample.select(id_col, "_text", "_y").mapInArrow(encode, T.StructType([
         sample.schema[id_col], T.StructField("x", T.BinaryType()), T.StructField("y", T.ArrayType(T.IntegerType()))]))
-        .select(fold.alias("fold"), "x", "y").collect())
-    got.sort(key=lambda r: (r.fold, bytes(r.x), repr(r.y)))     # the order of rows must not matter
-    y = np.array([[np.nan if v is None else float(v > 0) for v in r.y] for r in got]).reshape(len(got), k)
-    return fit_chain(categories, names, [np.frombuffer(r.x, np.int32) for r in got], y, np.array([r.fold for r in got], np.int64))
+        .select(fold.alias("fold"), "x", "y"))
+    return _chain(categories, names, _fit_spread(encoded, len(names), k))
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
